@@ -1 +1 @@
-
+"""DataFrame operators. Every function takes and returns DataFrames or Columns and stays lazy."""

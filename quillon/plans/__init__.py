@@ -1 +1 @@
-
+"""Composite jobs, adapter views over the driver tables, and the registered queries."""

@@ -1 +1 @@
-
+"""Structured Streaming forms: file intake, status upsert, progress, gap-limited sequences."""
