@@ -25,9 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import whole_text
+from quillon.llm.common import Remembered, sliced, whole_text
 
-PIECES_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+PIECES_KEPT, PAIRS_KEPT = 120_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,7 +76,7 @@ class Bpe:
         self.longest = max(map(len, ranks))
         self._agree: dict[tuple[int, int], bool] = {}
         self._merged: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Remembered(PIECES_KEPT)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging by lowest rank: for pairs of tokens only."""
@@ -115,9 +115,7 @@ class Bpe:
     def encode(self, text: str) -> bytes:
         pieces = self.pattern.findall(text)
         known = self.pieces
-        if len(known) > PIECES_KEPT:
-            known.clear()
-        for p in set(pieces).difference(known):
+        for p in known.missing(set(pieces)):
             known[p] = self.piece(p)
         return b"".join(map(known.__getitem__, pieces))
 
@@ -165,7 +163,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 ids = bpe.encode(text)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,40 @@ def free_name(df: DataFrame, name: str) -> str:
 def whole_text(col: str = "text"):
     """A document's text; a null text counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: Bytes of text that a Python worker takes up at once; one longer text is taken by itself.
+SLICE = 8 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with at most so many bytes in a text column: rows all stay, memory is bounded."""
+    for b in batches:
+        texts = b.column(column)
+        if not b.num_rows:
+            continue
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+        runs = np.cumsum(sizes) // most
+        bounds = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), b.num_rows]
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            yield b.slice(i, j - i)
+
+
+class Remembered(dict):
+    """A cache of a bounded size in two generations: when the newer one is full it becomes the older one, and what is
+    asked for again moves up, so frequent keys stay."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that neither generation has; afterwards all others are in the newer one."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        older = self.older
+        for k in new.intersection(older):
+            self[k] = older[k]
+        return new.difference(self)

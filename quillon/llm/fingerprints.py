@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import partitions, whole_text
+from quillon.llm.common import partitions, sliced, whole_text
 
 BUCKETS = 512
 #: Offsets of the second and third byte of the triplets within a window of five bytes.
@@ -146,7 +146,7 @@ def edits(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in sliced(batches, 3):
             out = []
             for part, echo, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 own = digest(text.encode())

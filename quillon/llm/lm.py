@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, partitions, whole_text
+from quillon.llm.common import Remembered, materialize, partitions, sliced, whole_text
 
 FREQUENT = 1 << 18
 KEY_BITS, HASHES = 8, 4
@@ -41,7 +42,7 @@ SHARD_BYTES = 128 << 20
 STRENGTH = 200.0
 #: Above the level of any 64-bit count.
 MOST_LEVELS = 200
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
 FOLDS, HELD_OUT = 5, 1
 END = xxhash.xxh3_64_intdigest(b"\n end")
 _GOLD, _MIX, _LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
@@ -55,14 +56,12 @@ class Words:
     """Word to 64-bit id, remembered for a bounded number of words."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Remembered(WORDS_KEPT)
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
         known = self.known
-        for w in set(words).difference(known):
+        for w in known.missing(set(words)):
             known[w] = xxhash.xxh3_64_intdigest(w)
         out = np.empty(len(words) + 1, np.uint64)
         out[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -114,15 +113,18 @@ def segment(ids: np.ndarray, counts: np.ndarray, base: float) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-class Filter:
-    """Segments joined into one array; buckets that are elsewhere have size 0."""
+class Packed(NamedTuple):
+    """Segments of a filter one after the other; buckets that are elsewhere have size 0. Sizes and offsets in bits."""
+
+    bits: np.ndarray
+    sizes: np.ndarray
+    offsets: np.ndarray
 
-    def __init__(self, segments: dict[int, bytes], buckets: int, base: float) -> None:
-        sizes = np.zeros(buckets, np.uint64)
-        for b, s in segments.items():
-            sizes[b] = len(s) * 8
-        self.sizes, self.offsets = sizes, np.r_[np.uint64(0), np.cumsum(sizes)[:-1].astype(np.uint64)].astype(np.uint64)
-        self.bits, self.buckets, self.base = np.frombuffer(b"".join(segments[b] for b in sorted(segments)), np.uint8), buckets, base
+
+class Filter:
+    def __init__(self, packed: Packed, base: float) -> None:
+        self.bits, self.sizes, self.offsets = packed
+        self.buckets, self.base = len(self.sizes), base
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """Levels found for hashes; 0 where the bucket is elsewhere."""
@@ -151,7 +153,7 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in sliced(batches, 0):
             texts = batch.column(0).to_pylist()
             if not texts:
                 continue
@@ -202,22 +204,30 @@ def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
     return ids[order], counts[order]
 
 
-def _shards(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
-    """Buckets with their bytes, put together in order."""
+def _shards(sizes: list[tuple[int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """(bucket, bytes) put together in order."""
     out, now = [[]], 0
     for bucket, size in sizes:
         if out[-1] and now + size > most:
             out.append([])
             now = 0
-        out[-1].append(bucket)
+        out[-1].append((bucket, size))
         now += size
     return out
 
 
-def _segments(table: DataFrame, kind: int, buckets: list[int] | None = None) -> dict[int, bytes]:
-    rows = table.filter(F.col("kind") == kind)
-    rows = rows if buckets is None else rows.filter(F.col("bucket").between(buckets[0], buckets[-1]) if buckets else F.lit(False))
-    return {r.bucket: bytes(r.segment) for r in rows.select("bucket", "segment").collect()}
+def _packed(table: DataFrame, kind: int, sizes: list[tuple[int, int]], n_buckets: int) -> Packed:
+    """The segments of some buckets with their bytes, taken over one partition at a time into one array."""
+    bytes_of = np.zeros(n_buckets, np.int64)
+    for bucket, size in sizes:
+        bytes_of[bucket] = size
+    ends = np.cumsum(bytes_of)
+    bits = np.zeros(int(ends[-1]) if n_buckets else 0, np.uint8)
+    if sizes:
+        rows = table.filter((F.col("kind") == kind) & F.col("bucket").between(sizes[0][0], sizes[-1][0])).select("bucket", "segment")
+        for r in rows.toLocalIterator():
+            bits[ends[r.bucket] - bytes_of[r.bucket] : ends[r.bucket]] = np.frombuffer(r.segment, np.uint8)
+    return Packed(bits, (8 * bytes_of).astype(np.uint64), (8 * (ends - bytes_of)).astype(np.uint64))
 
 
 def score(docs: DataFrame, train: DataFrame, strength: float = STRENGTH, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -229,15 +239,15 @@ def score(docs: DataFrame, train: DataFrame, strength: float = STRENGTH, frequen
     n_train, v_train = (sums[1].n, sums[1].v) if 1 in sums else (0, 0)
     below = n_train + 0.5 * (v_train + 1)
     words = model.filter("kind = 1")
-    sizes = sorted((r.bucket, r.n) for r in model.filter("kind = 2").select("bucket", F.length("segment").alias("n")).collect())
-    common = spark.sparkContext.broadcast((*frequent_words(words, frequent), _segments(model, 1)))
-    passes, shards = [], _shards(sizes, shard_bytes)
+    sizes = {k: sorted((r.bucket, r.n) for r in model.filter(F.col("kind") == k).select("bucket", F.length("segment").alias("n")).collect()) for k in (1, 2)}
+    common = spark.sparkContext.broadcast((*frequent_words(words, frequent), _packed(model, 1, sizes[1], buckets)))
+    passes, shards = [], _shards(sizes[2], shard_bytes)
     for k, shard in enumerate(shards):
         mine = np.zeros(buckets, bool)
-        mine[shard] = True
+        mine[[b for b, _ in shard]] = True
         if k == 0:  # and the buckets that have no pairs
-            mine[[b for b in range(buckets) if b not in {b for b, _ in sizes}]] = True
-        pairs = spark.sparkContext.broadcast(_segments(model, 2, shard))
+            mine[list(set(range(buckets)).difference(b for b, _ in sizes[2]))] = True
+        pairs = spark.sparkContext.broadcast(_packed(model, 2, shard, buckets))
         passes.append(materialize(_score_pass(docs, common, pairs, mine, k == 0, buckets, below, strength), "lm-pass"))
     parts = passes[0]
     for p in passes[1:]:
@@ -258,9 +268,9 @@ def _score_pass(docs: DataFrame, common, pairs, mine: np.ndarray, first_pass: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        top_ids, top_counts, segments = common.value
-        unigrams, bigrams = Filter(segments, buckets, WORD_BASE), Filter(pairs.value, buckets, PAIR_BASE)
-        for batch in batches:
+        top_ids, top_counts, packed = common.value
+        unigrams, bigrams = Filter(packed, WORD_BASE), Filter(pairs.value, PAIR_BASE)
+        for batch in sliced(batches):
             uids = batch.column(0).to_numpy()
             if not len(uids):
                 continue

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import whole_text
+from quillon.llm.common import sliced, whole_text
 
 SCOPE = 200
 #: Order of kinds that start at one place.
@@ -107,7 +107,7 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [scan(t, scope) for t in b.column(1).to_pylist()]
             lists = [[[dict(start=s, stop=e, kind=k) for s, e, k in f[i]] for f in found] for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, span) for x in lists)], ["doc_id", "strong", "linked"])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import free_name, materialize, partitions, whole_text
+from quillon.llm.common import free_name, materialize, partitions, sliced, whole_text
 
 SEED = 42
 PIVOTS = 16
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int, words64: int = 1, text: str = "t
     names = _names(words64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint_of(t, shingle, words64) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, words64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, i].copy().view(np.int64)) for i in range(words64))], ["doc_id", *names])
 

@@ -29,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, whole_text
+from quillon.llm.common import Remembered, materialize, sliced, whole_text
 
 SAMPLE, LEXICON = 20_000, 2_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 BEGINNINGS = (4, 5, 6, 7)
 LEAST_RATIO, LEAST_WEIGHT = 30.0, 1.5
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
+_OTHER = ("other", 0.0)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.,;:!?\n|]+")
 
@@ -111,23 +112,20 @@ class Reader:
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.words = {k: v for k, v in lexicon.items() if k[-1] != "*"}
         self.beginnings = {k[:-1]: v for k, v in lexicon.items() if k[-1] == "*"}
-        self.grammar, self.known = Grammar(), {}
+        self.grammar, self.known = Grammar(), Remembered(WORDS_KEPT)
 
     def symbol(self, word: str) -> tuple[str, float]:
         weight = max([self.words.get(word, 0.0), *(self.beginnings.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n)])
         if weight:
             return "insult", weight
-        kind = CLASSES.get(word, "other")
-        return kind, THREAT_WEIGHT * (kind == "threat")
+        kind = CLASSES.get(word)
+        return (kind, THREAT_WEIGHT * (kind == "threat")) if kind else _OTHER
 
     def features(self, text: str) -> tuple[float, float, float]:
         low = text.lower()
         words = _WORD.findall(low)
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        known = self.known
-        distinct = set(words)
-        for w in distinct.difference(known):
+        known, distinct = self.known, set(words)
+        for w in known.missing(distinct):
             known[w] = self.symbol(w)
         if not any(known[w][1] for w in distinct):
             return 0.0, 0.0, 0.0
@@ -168,7 +166,7 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, flo
         return {}, (n0, n1)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 0):
             counts = {0: Counter(), 1: Counter()}
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = set(_WORD.findall(text.lower()))
@@ -214,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
-        for b in batches:
+        for b in sliced(batches, 0):
             rows = [(*reader.features(t), y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows, strict=True)], ["a", "b", "c", "y"])
