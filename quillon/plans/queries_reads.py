@@ -162,7 +162,7 @@ def j13_region_type(d):
     return intervals.region_type(p, part("size > 40"), part("size < 10")).select("probe", "region_type")
 
 
-@query("SELECT w.probe AS region, count(s.pos) AS n_snps, coalesce(string_agg(concat(s.contig, ':', s.pos), ',' ORDER BY s.pos), '') AS snps, coalesce(string_agg(s.genotype, ',' ORDER BY s.pos), '') AS genotypes FROM v_window w LEFT JOIN v_snp s ON s.contig = w.contig AND s.pos BETWEEN w.start1 AND w.end1 GROUP BY w.probe")
+@query("SELECT w.probe AS region, count(s.pos) AS n_snps, coalesce(string_agg(concat(s.contig, ':', s.pos), ',' ORDER BY s.pos) FILTER (s.pos IS NOT NULL), '') AS snps, coalesce(string_agg(s.genotype, ',' ORDER BY s.pos), '') AS genotypes FROM v_window w LEFT JOIN v_snp s ON s.contig = w.contig AND s.pos BETWEEN w.start1 AND w.end1 GROUP BY w.probe")
 def j14_snps_in_region(d):
     r = d.v_window.select(F.col("probe").alias("region"), "contig", F.col("start1").alias("r0"), F.col("end1").alias("r1"))
     return intervals.snps_in_region(r, d.v_snp).select("region", "n_snps", "snps", "genotypes")
