@@ -122,15 +122,21 @@ def parse_blast_report(reports: DataFrame, text: str = "value", least: int = 15)
     return out.select("probe", F.size("_h").alias("hits"), at(0).alias("identity1"), at(1).alias("identity2"), (F.size("_h") == 1).alias("unique"))
 
 
-def read_run_json(spark: SparkSession, path: str) -> DataFrame:
-    """Reports with reads and bases before and after filtering (default 0) and the whole-number mean length."""
-    part = "struct<total_reads:bigint,total_bases:bigint>"
-    df = spark.read.schema(f"sample string, summary struct<before_filtering:{part},after_filtering:{part}>").option("multiLine", True).json(path)
+RUN = "sample string, summary struct<before_filtering:struct<total_reads:bigint,total_bases:bigint>,after_filtering:struct<total_reads:bigint,total_bases:bigint>>"
+
+
+def run_columns(df: DataFrame) -> DataFrame:
+    """Reads and bases before and after filtering (default 0) and the whole-number mean length, of rows of the schema RUN."""
     v = lambda a, b: F.coalesce(F.col(f"summary.{a}_filtering.{b}"), F.lit(0))
     out = df.select("sample", v("before", "total_reads").alias("reads_before"), v("after", "total_reads").alias("reads_after"), v("before", "total_bases").alias("bases_before"))
     return out.withColumn("mean_length", F.expr("bases_before div greatest(reads_before, 1)"))
 
 
+def read_run_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON reports, one a file or one a line."""
+    return run_columns(spark.read.schema(RUN).option("multiLine", multi_line).json(path))
+
+
 def parse_acquisition(c: Column) -> Column:
     """(frames, pixel_size_um, exposure_ms, fps, interval_s) of a JSON text; anything but an object is empty; interval is 1 / fps,
     else exposure / 1000."""
