@@ -114,8 +114,8 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         pieces = self.pattern.findall(text)
-        known = self.pieces
-        for p in known.missing(set(pieces)):
+        known, new = self.pieces.missing(set(pieces))
+        for p in new:
             known[p] = self.piece(p)
         return b"".join(map(known.__getitem__, pieces))
 

@@ -70,21 +70,21 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
             yield b.slice(i, j - i)
 
 
-class Remembered(dict):
+class Remembered:
     """A cache of a bounded size in two generations: when the newer one is full it becomes the older one, and what is
     asked for again moves up, so frequent keys stay."""
 
     def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def missing(self, keys: set) -> set:
-        """Those of the keys that neither generation has; afterwards all others are in the newer one."""
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        new = keys.difference(self)
-        older = self.older
-        for k in new.intersection(older):
-            self[k] = older[k]
-        return new.difference(self)
+        self.most, self.newer, self.older = most, {}, {}
+
+    def missing(self, keys: set) -> tuple[dict, list]:
+        """The newer generation, and those of the keys that neither has; the others are in the newer one now."""
+        if len(self.newer) > self.most:
+            self.newer, self.older = {}, self.newer
+        newer, older, out = self.newer, self.older, []
+        for k in keys.difference(newer):
+            if k in older:
+                newer[k] = older[k]
+            else:
+                out.append(k)
+        return newer, out

@@ -60,8 +60,8 @@ class Words:
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
-        known = self.known
-        for w in known.missing(set(words)):
+        known, new = self.known.missing(set(words))
+        for w in new:
             known[w] = xxhash.xxh3_64_intdigest(w)
         out = np.empty(len(words) + 1, np.uint64)
         out[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

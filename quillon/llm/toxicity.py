@@ -124,8 +124,9 @@ class Reader:
     def features(self, text: str) -> tuple[float, float, float]:
         low = text.lower()
         words = _WORD.findall(low)
-        known, distinct = self.known, set(words)
-        for w in known.missing(distinct):
+        distinct = set(words)
+        known, new = self.known.missing(distinct)
+        for w in new:
             known[w] = self.symbol(w)
         if not any(known[w][1] for w in distinct):
             return 0.0, 0.0, 0.0
