@@ -34,7 +34,7 @@ from quillon.llm.common import Remembered, materialize, sliced, whole_text
 SAMPLE, LEXICON = 20_000, 2_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 BEGINNINGS = (4, 5, 6, 7)
-LEAST_RATIO, LEAST_WEIGHT = 30.0, 1.5
+LEAST_RATIO, LEAST_WEIGHT = 24.0, 1.5
 WORDS_KEPT = 120_000
 _OTHER = ("other", 0.0)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -42,7 +42,7 @@ _CLAUSE = re.compile(r"[.,;:!?\n|]+")
 
 # Fixed words of the grammar, by language.
 THREATS = {
-    "en": "kill hurt destroy burn beat smash die",
+    "en": "kill hurt destroy burn beat smash murder",
     "de": "töten verletzen zerstören verbrennen schlagen",
     "fr": "tuer blesser détruire brûler frapper",
     "es": "matar herir destruir quemar golpear",
@@ -185,7 +185,7 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, flo
     return {r.pattern: r.w for r in top.collect()}, (n0, n1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton's method; the last coefficient is the constant."""
     a = np.c_[x, np.ones(len(x))]
     w = np.zeros(a.shape[1])
