@@ -99,7 +99,7 @@ def s11_blast_report(d):
     return readers.parse_blast_report(reports).select("probe", "hits", "identity1", F.col("unique").alias("is_unique"))
 
 
-@query("SELECT p_name AS sample, CAST(p_size AS BIGINT) AS reads_before, 0 AS reads_after, CAST(floor(p_retailprice) AS BIGINT) AS bases_before, CAST(floor(p_retailprice) AS BIGINT) // greatest(p_size, 1) AS mean_length FROM part")
+@query("SELECT p_name AS sample, CAST(p_size AS BIGINT) AS reads_before, CAST(0 AS BIGINT) AS reads_after, CAST(floor(p_retailprice) AS BIGINT) AS bases_before, CAST(floor(p_retailprice) AS BIGINT) // greatest(p_size, 1) AS mean_length FROM part")
 def s12_run_json(d):
     j = d.part.select(F.to_json(F.struct(F.col("p_name").alias("sample"), F.struct(F.struct(F.col("p_size").alias("total_reads"), F.floor("p_retailprice").alias("total_bases")).alias("before_filtering")).alias("summary"))).alias("value"))
     path = fresh(d.spark, "json")

@@ -170,7 +170,7 @@ def j27_pair_counts_closed(d):
     return spatial.pair_counts_closed(p("i"), p("j"), bins, 15, ["fov"])
 
 
-@query("SELECT h.spot AS hub, CAST(k.bin AS INTEGER) AS bin, count(*) AS n_pixels, sum(p.value) AS total FROM (SELECT spot, fov, nucleus, 3 + spot % 3 AS x, 4 AS y FROM v_spot) h JOIN (SELECT fov, label, frame, x, y, value FROM v_pixel WHERE frame < 40) p ON p.fov = h.fov AND p.label = h.nucleus JOIN (SELECT i AS bin, i AS s, i + 1 AS e FROM (SELECT unnest(range(0, 4)) AS i)) k ON sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) >= s AND sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) < e GROUP BY ALL")
+@query("SELECT h.spot AS hub, CAST(k.bin AS INTEGER) AS bin, count(*) AS n_pixels, CAST(sum(p.value) AS BIGINT) AS total FROM (SELECT spot, fov, nucleus, 3 + spot % 3 AS x, 4 AS y FROM v_spot) h JOIN (SELECT fov, label, frame, x, y, value FROM v_pixel WHERE frame < 40) p ON p.fov = h.fov AND p.label = h.nucleus JOIN (SELECT i AS bin, i AS s, i + 1 AS e FROM (SELECT unnest(range(0, 4)) AS i)) k ON sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) >= s AND sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) < e GROUP BY ALL")
 def j28_annular(d):
     hubs = d.v_spot.select(F.col("spot").alias("hub"), "fov", "nucleus", (3 + F.col("spot") % 3).cast("double").alias("x"), F.lit(4.0).alias("y"))
     px = d.v_pixel.filter("frame < 40").select("fov", F.col("label").alias("nucleus"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "value")

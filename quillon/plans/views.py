@@ -94,5 +94,5 @@ def duck(sql: str, rounded: str = "") -> str:
             for t in TABLES:
                 text = text.replace("{" + t + "}", t)
             views.append(f"{name} AS ({text.replace('.0D0', '.0::DOUBLE').replace('AS STRING', 'AS VARCHAR').strip()})")
-    pick = "*" if not rounded else "* REPLACE (" + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in rounded.split()) + ")"
+    pick = "*" if not rounded else "* REPLACE (" + ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0::DOUBLE AS {c}" for c in rounded.split()) + ")"
     return (f"WITH {', '.join(views)} " if views else "") + f"SELECT {pick} FROM ({sql.strip()}) AS q"
