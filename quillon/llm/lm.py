@@ -39,7 +39,7 @@ KEY_BITS, HASHES = 8, 4
 #: Unigram levels are finer than those of word pairs.
 WORD_BASE, PAIR_BASE = 1.25, 2.0
 SHARD_BYTES = 128 << 20
-STRENGTH = 200.0
+STRENGTH = 1000.0
 #: Above the level of any 64-bit count.
 MOST_LEVELS = 200
 WORDS_KEPT = 120_000
