@@ -254,6 +254,26 @@ def add_handle(oligos: DataFrame, handles: dict[str, str], handle: str, order: S
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("handle").orderBy(*order)))
 
 
+def odd_even(df: DataFrame, within: Sequence[str], order: Sequence, into: str = "odd") -> DataFrame:
+    """True for the first, third, ... row of a group in order."""
+    return df.withColumn(into, F.row_number().over(Window.partitionBy(*within).orderBy(*order)) % 2 == 1)
+
+
+def top_unique(df: DataFrame, within: Sequence[str], place: Sequence[str], order: Sequence, n: int) -> DataFrame:
+    """The first row of each place (a rounded pixel) in order, then the first n of each group."""
+    return first_per_key(first_per_key(df, [*within, *place], order), within, order, n)
+
+
+def validate(df: DataFrame, checks: dict[str, Column], least_rows: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, check, failed, ok): rows that fail each named condition (null fails), and whether there are enough rows; one
+    aggregation for all checks, and never an early end."""
+    sums = [F.count_if(~F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(checks.values())]
+    out = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *sums)
+    named = [F.struct(F.lit(n).alias("check"), F.col(f"c{i}").alias("failed")) for i, n in enumerate(checks)]
+    rows = F.struct(F.lit("rows").alias("check"), F.greatest(F.lit(least_rows) - F.col("_rows"), F.lit(0)).cast("long").alias("failed"))
+    return out.select(*keys, F.explode(F.array(*named, rows)).alias("c")).select(*keys, "c.check", "c.failed", (F.col("c.failed") == 0).alias("ok"))
+
+
 # --- sorts and top-k -----------------------------------------------------------------------------------------
 
 

@@ -353,11 +353,15 @@ def a72_duplicates(d):
 
 @query("SELECT probe, (row_number() OVER (PARTITION BY gene ORDER BY start1, probe)) % 2 = 1 AS odd FROM v_window")
 def w7_odd_even(d):
-    return tables.rank_by(d.v_window, [F.col("start1"), F.col("probe")], "r", ["gene"]).select("probe", (F.col("r") % 2 == 1).alias("odd"))
+    return tables.odd_even(d.v_window, ["gene"], ["start1", "probe"]).select("probe", "odd")
 
 
 @query("SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS r FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS f FROM part) AS a WHERE f = 1) AS b WHERE r <= 3")
 def w6_top_unique(d):
     order = [F.desc("p_size"), F.desc("p_retailprice"), "p_partkey"]
-    one = tables.first_per_key(d.part, ["p_brand", "p_size"], order)
-    return tables.first_per_key(one, ["p_brand"], order, 3).select("p_brand", "p_partkey")
+    return tables.top_unique(d.part, ["p_brand"], ["p_size"], order, 3).select("p_brand", "p_partkey")
+
+
+@query("SELECT 'positive' AS \"check\", count(*) FILTER (NOT value > 10) AS failed, count(*) FILTER (NOT value > 10) = 0 AS ok FROM v_assay UNION ALL SELECT 'known', count(*) FILTER (status NOT IN ('F', 'O')), count(*) FILTER (status NOT IN ('F', 'O')) = 0 FROM v_assay UNION ALL SELECT 'rows', greatest(100000000 - count(*), 0), false FROM v_assay")
+def a71_validate(d):
+    return tables.validate(d.v_assay, {"positive": F.col("value") > 10, "known": F.col("status").isin("F", "O")}, 100000000)
