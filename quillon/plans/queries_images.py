@@ -126,9 +126,9 @@ def a74_occupation(d):
     return tracks.occupation(d.orders.select(F.col("o_orderpriority").alias("condition"), (F.col("o_custkey") % 20).alias("diff_coef"), F.col("o_totalprice").alias("posterior")))
 
 
-@query("SELECT track, CAST(session AS BIGINT) AS session, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM (SELECT track, frame, sum(s) OVER (PARTITION BY track ORDER BY frame) AS session FROM (SELECT track, frame, CASE WHEN frame - lag(frame) OVER (PARTITION BY track ORDER BY frame) <= 2 THEN 0 ELSE 1 END AS s FROM v_track WHERE spot % 5 <> 0)) GROUP BY ALL HAVING count(*) >= 5")
+@query("SELECT track, CAST(session AS BIGINT) AS session, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM (SELECT track, frame, sum(s) OVER (PARTITION BY track ORDER BY frame) AS session FROM (SELECT track, frame, CASE WHEN frame - lag(frame) OVER (PARTITION BY track ORDER BY frame) <= 2 THEN 0 ELSE 1 END AS s FROM v_track)) GROUP BY ALL HAVING count(*) >= 5")
 def t4_sessions_batch(d):
-    return tracks.sessions(d.v_track.filter("spot % 5 <> 0"), ["track"])
+    return tracks.sessions(d.v_track, ["track"])
 
 
 @query("SELECT a.fov, a.spot AS a, b.spot AS b, b.frame - a.frame AS lag, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM v_track a JOIN v_track b ON a.fov = b.fov AND b.frame - a.frame BETWEEN 1 AND 2 WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 0.5", "dist")
@@ -170,10 +170,10 @@ def j27_pair_counts_closed(d):
     return spatial.pair_counts_closed(p("i"), p("j"), bins, 15, ["fov"])
 
 
-@query("SELECT h.spot AS hub, CAST(k.bin AS INTEGER) AS bin, count(*) AS n_pixels, CAST(sum(p.value) AS BIGINT) AS total FROM (SELECT spot, fov, nucleus, 3 + spot % 3 AS x, 4 AS y FROM v_spot) h JOIN (SELECT fov, label, frame, x, y, value FROM v_pixel WHERE frame < 40) p ON p.fov = h.fov AND p.label = h.nucleus JOIN (SELECT i AS bin, i AS s, i + 1 AS e FROM (SELECT unnest(range(0, 4)) AS i)) k ON sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) >= s AND sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) < e GROUP BY ALL")
+@query("SELECT h.spot AS hub, CAST(k.bin AS INTEGER) AS bin, count(*) AS n_pixels, CAST(sum(p.value) AS BIGINT) AS total FROM (SELECT spot, fov, nucleus, 3 + spot % 3 AS x, 4 AS y FROM v_spot) h JOIN (SELECT fov, label, frame, x, y, value FROM v_pixel) p ON p.fov = h.fov AND p.label = h.nucleus JOIN (SELECT i AS bin, i AS s, i + 1 AS e FROM (SELECT unnest(range(0, 4)) AS i)) k ON sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) >= s AND sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) < e GROUP BY ALL")
 def j28_annular(d):
     hubs = d.v_spot.select(F.col("spot").alias("hub"), "fov", "nucleus", (3 + F.col("spot") % 3).cast("double").alias("x"), F.lit(4.0).alias("y"))
-    px = d.v_pixel.filter("frame < 40").select("fov", F.col("label").alias("nucleus"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "value")
+    px = d.v_pixel.select("fov", F.col("label").alias("nucleus"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "value")
     bins = curves.sliding_bins(d.spark, 4, 1, 1).select("bin", "start", "end")
     out = spatial.annular_rdf(hubs, px, bins, 4, 1)
     return out.select("hub", "bin", "n_pixels", "total")
@@ -188,10 +188,10 @@ def j29_labels(d):
 def _polys(d):
     v = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     r = (2 + F.col("spot") % 5).cast("double")
-    return d.v_spot.filter("spot % 4 = 0").select("fov", F.col("spot").alias("cell"), F.array(v(F.col("x") - r, F.col("y") - r), v(F.col("x") + r, F.col("y") - r), v(F.col("x") + r, F.col("y") + r), v(F.col("x") - r, F.col("y") + r)).alias("vertices"))
+    return d.v_spot.select("fov", F.col("spot").alias("cell"), F.array(v(F.col("x") - r, F.col("y") - r), v(F.col("x") + r, F.col("y") - r), v(F.col("x") + r, F.col("y") + r), v(F.col("x") - r, F.col("y") + r)).alias("vertices"))
 
 
-_POLY = "SELECT fov, spot AS cell, x - (2 + spot % 5) AS x0, x + (2 + spot % 5) AS x1, y - (2 + spot % 5) AS y0, y + (2 + spot % 5) AS y1 FROM v_spot WHERE spot % 4 = 0"
+_POLY = "SELECT fov, spot AS cell, x - (2 + spot % 5) AS x0, x + (2 + spot % 5) AS x1, y - (2 + spot % 5) AS y0, y + (2 + spot % 5) AS y1 FROM v_spot"
 
 
 @query(f"SELECT s.spot AS point, coalesce(min(p.cell), -1) AS cell FROM v_spot s LEFT JOIN ({_POLY}) p ON p.fov = s.fov AND s.x > x0 AND s.x < x1 AND s.y > y0 AND s.y < y1 GROUP BY s.spot")
@@ -629,7 +629,7 @@ def k5_pcf_polygon(d):
 @query(None)
 def k6_rdf_lsq(d):
     px = d.v_pixel.groupBy("fov", F.col("label").alias("nucleus"), "y", "x").agg(F.avg("value").alias("value"))
-    hubs = d.v_spot.filter("spot % 50 = 0").select("fov", "nucleus", F.pmod("y", F.lit(8.0)).alias("y"), F.pmod("x", F.lit(8.0)).alias("x"))
+    hubs = d.v_spot.select("fov", "nucleus", F.pmod("y", F.lit(8.0)).alias("y"), F.pmod("x", F.lit(8.0)).alias("x"))
     return curves.rdf_lsq(px, hubs, 4)
 
 

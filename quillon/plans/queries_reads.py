@@ -89,9 +89,9 @@ def a11_probe_status(d):
     return intervals.probe_status(prof)
 
 
-@query("SELECT w.probe, w.pos, count(r.read) AS depth FROM (SELECT probe, contig, unnest(range(start1, end1)) AS pos FROM v_window WHERE size < 6) w LEFT JOIN v_read r ON r.contig = w.contig AND r.start0 <= w.pos AND w.pos < r.end0 GROUP BY ALL")
+@query("SELECT w.probe, w.pos, count(r.read) AS depth FROM (SELECT probe, contig, unnest(range(start1, end1)) AS pos FROM v_window) w LEFT JOIN v_read r ON r.contig = w.contig AND r.start0 <= w.pos AND w.pos < r.end0 GROUP BY ALL")
 def a12_coverage(d):
-    w = d.v_window.filter("size < 6").select("probe", "contig", F.col("start1").alias("w0"), F.col("end1").alias("w1"))
+    w = d.v_window.select("probe", "contig", F.col("start1").alias("w0"), F.col("end1").alias("w1"))
     return intervals.coverage(d.v_read, w)
 
 
@@ -142,16 +142,16 @@ def j22_origin(d):
     return reads.origin(o, e, "R", 5).select("read", "origin")
 
 
-@query("SELECT DISTINCT r.read, w.probe AS gene FROM v_read r JOIN v_window w ON r.contig = w.contig AND w.start1 <= r.end0 AND w.end1 >= r.start0 + 1 WHERE w.size < 3")
+@query("SELECT DISTINCT r.read, w.probe AS gene FROM v_read r JOIN v_window w ON r.contig = w.contig AND w.start1 <= r.end0 AND w.end1 >= r.start0 + 1")
 def j11_gene_overlap(d):
     b = d.v_read.select("read", "contig", (F.col("start0") + 1).alias("b0"), F.col("end0").alias("b1"))
-    e = d.v_window.filter("size < 3").select(F.col("probe").alias("gene"), "contig", F.col("start1").alias("e0"), F.col("end1").alias("e1"))
+    e = d.v_window.select(F.col("probe").alias("gene"), "contig", F.col("start1").alias("e0"), F.col("end1").alias("e1"))
     return intervals.gene_overlap(b, e, 128)
 
 
-@query("SELECT DISTINCT r.read, w.probe AS locus FROM v_read r JOIN v_window w ON r.contig = w.contig AND r.start0 < w.end1 AND r.end0 > w.start1 - 1 WHERE w.price > 1950")
+@query("SELECT DISTINCT r.read, w.probe AS locus FROM v_read r JOIN v_window w ON r.contig = w.contig AND r.start0 < w.end1 AND r.end0 > w.start1 - 1")
 def j12_locus(d):
-    loci = d.v_window.filter("price > 1950").select(F.col("probe").alias("locus"), "contig", F.col("start1").alias("s"), F.col("end1").alias("e"))
+    loci = d.v_window.select(F.col("probe").alias("locus"), "contig", F.col("start1").alias("s"), F.col("end1").alias("e"))
     return intervals.hits_locus(d.v_read, loci)
 
 
@@ -188,9 +188,9 @@ def j17_exonic_snps(d):
     return intervals.exonic_snps(g, e, d.v_snp)
 
 
-@query("SELECT read, p_partkey AS plate FROM (SELECT read, p.p_partkey, row_number() OVER (PARTITION BY read ORDER BY p.p_partkey) AS r FROM v_seq LEFT JOIN (SELECT p_partkey, translate(lower(p_name), 'abcdefghijklmnopqrstuvwxyz ', 'acgtacgtacgtacgtacgtacgtac') AS k FROM part WHERE p_partkey < 200) p ON length(k) >= 1 AND contains(seq, upper(substr(k, 1, 6)))) WHERE r = 1")
+@query("SELECT read, p_partkey AS plate FROM (SELECT read, p.p_partkey, row_number() OVER (PARTITION BY read ORDER BY p.p_partkey) AS r FROM v_seq LEFT JOIN (SELECT p_partkey, translate(lower(p_name), 'abcdefghijklmnopqrstuvwxyz ', 'acgtacgtacgtacgtacgtacgtac') AS k FROM part) p ON length(k) >= 1 AND contains(seq, upper(substr(k, 1, 6)))) WHERE r = 1")
 def j18_substring_lookup(d):
-    p = d.part.filter("p_partkey < 200").select(F.col("p_partkey").alias("plate"), F.substring(F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz ", "acgtacgtacgtacgtacgtacgtac"), 1, 6).alias("needle"))
+    p = d.part.select(F.col("p_partkey").alias("plate"), F.substring(F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz ", "acgtacgtacgtacgtacgtacgtac"), 1, 6).alias("needle"))
     return intervals.substring_lookup(d.v_seq.select("read", "seq"), "seq", p, "needle", ["plate"], 6).select("read", "plate")
 
 
@@ -247,9 +247,9 @@ def j33_coherent_target(d):
     return intervals.coherent_target(h, 2000)
 
 
-@query("SELECT g.read AS guide, t.read AS contig, CAST(i - 1 AS BIGINT) AS start0, '+' AS strand FROM (SELECT read, substr(seq, 31, 24) AS g FROM v_seq WHERE length(seq) >= 60 AND read % 10 = 0) g JOIN (SELECT read, seq, unnest(range(1, length(seq) - 22)) AS i FROM v_seq) t ON substr(t.seq, i, 24) = g.g UNION SELECT g.read, t.read, CAST(i - 1 AS BIGINT), '-' FROM (SELECT read, reverse(translate(substr(seq, 31, 24), 'ACGT', 'TGCA')) AS g FROM v_seq WHERE length(seq) >= 60 AND read % 10 = 0) g JOIN (SELECT read, seq, unnest(range(1, length(seq) - 22)) AS i FROM v_seq) t ON substr(t.seq, i, 24) = g.g")
+@query("SELECT g.read AS guide, t.read AS contig, CAST(i - 1 AS BIGINT) AS start0, '+' AS strand FROM (SELECT read, substr(seq, 31, 24) AS g FROM v_seq WHERE length(seq) >= 60) g JOIN (SELECT read, seq, unnest(range(1, length(seq) - 22)) AS i FROM v_seq) t ON substr(t.seq, i, 24) = g.g UNION SELECT g.read, t.read, CAST(i - 1 AS BIGINT), '-' FROM (SELECT read, reverse(translate(substr(seq, 31, 24), 'ACGT', 'TGCA')) AS g FROM v_seq WHERE length(seq) >= 60) g JOIN (SELECT read, seq, unnest(range(1, length(seq) - 22)) AS i FROM v_seq) t ON substr(t.seq, i, 24) = g.g")
 def j34_placed(d):
-    g = d.v_seq.filter("length(seq) >= 60 and read % 10 = 0").select(F.col("read").alias("guide"), F.substring("seq", 31, 24).alias("seq"))
+    g = d.v_seq.filter("length(seq) >= 60").select(F.col("read").alias("guide"), F.substring("seq", 31, 24).alias("seq"))
     out = intervals.placed(g, d.v_seq.select(F.col("read").alias("contig"), "seq"))
     return out.withColumn("start0", F.col("start0").cast("long"))
 
@@ -269,24 +269,20 @@ def j36_target_spans(d):
     return design.target_spans(d.v_snp, 3, 10, "contig").select("contig", "s0", "s1", "n")
 
 
-@query("SELECT read, fov, concat_ws(':', 'x') AS one FROM v_seq WHERE false")
-def j19_empty_map(d):
-    m = reads.load_sample_map(d.region.filter("false").select(F.col("r_name").alias("SampleName"), F.col("r_name").alias("i7"), F.col("r_name").alias("i5")))
-    out = reads.demultiplex(d.v_seq.filter("false").select("read", "seq"), m, "GAT", "CAT")
-    return out.select("read", F.col("status").alias("fov"), F.col("sample").alias("one"))
+def _samples(d):
+    """A sample map of one row a nation, with barcodes from its name."""
+    code = lambda i: F.translate(F.substring(F.md5("n_name"), i, 8), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return reads.load_sample_map(d.nation.select(F.col("n_name").alias("SampleName"), code(1).alias("P7_Barcode"), code(9).alias("P5_Barcode")))
 
 
 @query(None)
 def j19_j20_demultiplex(d):
-    m = d.v_seq.filter("read < 40 and length(seq) >= 60").select(F.concat(F.lit("s"), F.col("read").cast("string")).alias("SampleName"), F.substring("seq", 21, 8).alias("P7_Barcode"), F.substring("seq", 41, 8).alias("P5_Barcode"))
-    m = m.dropDuplicates(["P7_Barcode", "P5_Barcode"])
-    return reads.demultiplex(d.v_seq.select("read", "seq"), reads.load_sample_map(m), "GCA", "TAC")
+    return reads.demultiplex(d.v_seq.select("read", "seq"), _samples(d), "GCA", "TAC", 4)
 
 
 @query(None)
 def s24_demux_summary(d):
-    m = d.v_seq.filter("read < 40 and length(seq) >= 60").select(F.concat(F.lit("s"), F.col("read").cast("string")).alias("SampleName"), F.substring("seq", 21, 8).alias("P7_Barcode"), F.substring("seq", 41, 8).alias("P5_Barcode"))
-    return reads.demux_summary(reads.demultiplex(d.v_seq.select("read", "seq"), reads.load_sample_map(m.dropDuplicates(["P7_Barcode", "P5_Barcode"])), "GCA", "TAC"))
+    return reads.demux_summary(reads.demultiplex(d.v_seq.select("read", "seq"), _samples(d), "GCA", "TAC", 4))
 
 
 @query("SELECT DISTINCT lang AS sample, CAST(doc_id AS VARCHAR) AS read_id FROM documents")
@@ -309,12 +305,14 @@ def s20_gene_expression(d):
 # --- design ---------------------------------------------------------------------------------------------------
 
 _E = ", ".join(f"('{k}', {v})" for k, v in design.DIMER_ENERGY.items())
-_DG = f"SELECT gene, start, length, dg, 1 - 0.1 * abs(dg + 32) AS score FROM (SELECT d.gene, d.start, l.n AS length, sum(e.e::DOUBLE) - ((ln(0.115::DOUBLE) * -0.175) - 0.2) AS dg FROM (SELECT read AS gene, seq, unnest(range(0, length(seq) - 1)) AS start FROM v_seq WHERE read < 60) d JOIN (SELECT unnest([26, 28]) AS n) l ON d.start + l.n <= length(d.seq) JOIN (SELECT read AS gene, seq, unnest(range(0, length(seq) - 1)) AS i FROM v_seq WHERE read < 60) m ON m.gene = d.gene AND m.i BETWEEN d.start AND d.start + l.n - 2 JOIN (VALUES {_E}) e(k, e) ON e.k = substr(m.seq, CAST(m.i AS INT) + 1, 2) GROUP BY ALL)"
+_DIMERS = f"SELECT read AS gene, i AS start, e.e::DOUBLE AS e FROM (SELECT read, seq, unnest(range(0, length(seq) - 1)) AS i FROM v_seq) d JOIN (VALUES {_E}) e(k, e) ON e.k = substr(d.seq, CAST(d.i AS INT) + 1, 2)"
+_SUMS = " UNION ALL ".join(f"SELECT gene, start, {n} AS length, sum(e) OVER w{n} AS s, count(*) OVER w{n} AS n FROM m WINDOW w{n} AS (PARTITION BY gene ORDER BY start ROWS BETWEEN CURRENT ROW AND {n - 2} FOLLOWING)" for n in (26, 28))
+_DG = f"WITH m AS ({_DIMERS}) SELECT gene, start, length, s - ((ln(0.115::DOUBLE) * -0.175) - 0.2) AS dg, 1 - 0.1 * abs(s - ((ln(0.115::DOUBLE) * -0.175) - 0.2) + 32) AS score FROM ({_SUMS}) WHERE n = length - 1"
 
 
 @query(f"SELECT gene, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, dg, score FROM ({_DG})", "dg score")
 def w8_rolling_dg(d):
-    out = design.rolling_dg(d.v_seq.filter("read < 60").select(F.col("read").alias("gene"), "seq"), [26, 28])
+    out = design.rolling_dg(d.v_seq.select(F.col("read").alias("gene"), "seq"), [26, 28])
     return out.withColumns({c: F.col(c).cast("long") for c in ("start", "length")})
 
 

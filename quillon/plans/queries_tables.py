@@ -153,9 +153,11 @@ def p21_p22_p24_sequence_rules(d):
     return d.v_seq.select("read", Q.rules_passed(s).alias("n"), Q.quality_ok(s).alias("good"), Q.low_complexity(s).alias("low"))
 
 
-@query("SELECT read, length(seq) <> 200 OR contains(seq, 'N') OR regexp_matches(seq, 'A{5}|C{5}|G{5}|T{5}') OR len(list_distinct(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3)))) / (length(seq) - 2)::DOUBLE < 0.5 AS rejected FROM v_seq")
+@query("SELECT read, CAST(i AS BIGINT) AS tile, length(seq) <> 31 OR contains(seq, 'N') OR regexp_matches(seq, 'A{5}|C{5}|G{5}|T{5}') OR len(list_distinct(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3)))) / (length(seq) - 2)::DOUBLE < 0.5 AS rejected FROM (SELECT read, i, substr(seq, CAST(i * 31 + 1 AS INT), 31) AS seq FROM (SELECT read, seq, unnest(range(0, CAST(ceil(length(seq) / 31.0) AS BIGINT))) AS i FROM v_seq) WHERE length(seq) - i * 31 >= 3)")
 def p23_reject(d):
-    return d.v_seq.select("read", Q.rejected(F.col("seq"), 200).alias("rejected"))
+    tiles = d.v_seq.select("read", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("seq") / 31) - 1)).alias("tile")).filter("length(seq) - tile * 31 >= 3")
+    probe = F.substring(F.col("seq"), (F.col("tile") * 31 + 1).cast("int"), F.lit(31))
+    return tiles.select("read", "tile", Q.rejected(probe, 31).alias("rejected"))
 
 
 @query("SELECT t.track, frame FROM v_track t JOIN (SELECT track FROM v_track GROUP BY track HAVING count(*) >= 60) g ON t.track = g.track")
@@ -237,9 +239,9 @@ def j32_pair_files(d):
     return tables.pair_files(files, S.fov_key(F.col("path")), F.regexp_extract("path", "(?i)(left|right)[.]tif$", 1), ("left", "right"))
 
 
-@query("SELECT g.Base, g.t, g.z FROM (SELECT * FROM (SELECT DISTINCT Base, Date AS t FROM v_assay WHERE cust < 40) JOIN (SELECT DISTINCT Base, cust AS z FROM v_assay WHERE cust < 40) USING (Base)) g LEFT JOIN (SELECT DISTINCT Base, Date AS t, cust AS z FROM v_assay WHERE cust < 40) p ON g.Base = p.Base AND g.t = p.t AND g.z = p.z WHERE p.z IS NULL")
+@query("SELECT g.Base, g.t, g.z FROM (SELECT * FROM (SELECT DISTINCT Base, Date AS t FROM v_assay) JOIN (SELECT DISTINCT Base, cust AS z FROM v_assay) USING (Base)) g LEFT JOIN (SELECT DISTINCT Base, Date AS t, cust AS z FROM v_assay) p ON g.Base = p.Base AND g.t = p.t AND g.z = p.z WHERE p.z IS NULL")
 def j41_missing_grid(d):
-    f = d.v_assay.filter("cust < 40").select("Base", F.col("Date").alias("t"), F.col("cust").alias("z"))
+    f = d.v_assay.select("Base", F.col("Date").alias("t"), F.col("cust").alias("z"))
     return tables.missing_grid(f, ["Base"])
 
 
@@ -292,9 +294,9 @@ def u7_melt(d):
     return tables.melt(d.lineitem.select("l_orderkey", "l_partkey", "l_tax", "l_discount"), ["l_orderkey", "l_partkey"], ["l_tax", "l_discount"])
 
 
-@query("SELECT p_partkey, concat('GATTACA', p_name) AS full_sequence, CAST(length(p_name) + 7 AS INTEGER) AS full_length, CAST(row_number() OVER (PARTITION BY 1 ORDER BY p_partkey) AS INTEGER) AS rank FROM part WHERE p_size < 5")
+@query("SELECT p_partkey, concat('GATTACA', p_name) AS full_sequence, CAST(length(p_name) + 7 AS INTEGER) AS full_length, CAST(row_number() OVER (PARTITION BY 1 ORDER BY p_partkey) AS INTEGER) AS rank FROM part")
 def u9_handles(d):
-    out = tables.add_handle(d.part.filter("p_size < 5"), {"H1": "GATTACA"}, "H1", ["p_partkey"], "p_name")
+    out = tables.add_handle(d.part, {"H1": "GATTACA"}, "H1", ["p_partkey"], "p_name")
     return out.select("p_partkey", "full_sequence", "full_length", "rank")
 
 

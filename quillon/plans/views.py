@@ -44,7 +44,7 @@ _META = "SELECT event_id, props AS json, event_type, value FROM {events}"
 #: name: (Spark text, DuckDB text)
 _SPOT = "SELECT vec_id AS spot, CAST(label AS BIGINT) AS fov, CAST(label AS BIGINT) + 1 AS nucleus, CAST(vec_id % 3 AS BIGINT) AS channel, CAST({0} AS DOUBLE) * 100 AS x, CAST({1} AS DOUBLE) * 100 AS y FROM {{embeddings}}"
 _PIXEL = "SELECT fov, frame, label, CAST(p % 8 AS BIGINT) AS x, CAST(floor(p / 8) AS BIGINT) AS y, CAST(floor(v * 1000) AS BIGINT) AS value FROM ({0}) AS p"
-_SEQ = "SELECT doc_id AS read, fov, source, substr(s, 1, 200) AS seq FROM (SELECT doc_id, lang AS fov, source, translate(lower(regexp_replace(text, '[^A-Za-z]', ''{0})), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM {{documents}}) AS q WHERE length(s) >= 26"
+_SEQ = "SELECT doc_id AS read, fov, source, s AS seq FROM (SELECT doc_id, lang AS fov, source, translate(lower(regexp_replace(text, '[^A-Za-z]', ''{0})), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM {{documents}}) AS q WHERE length(s) >= 26"
 VIEWS = {
     "v_track": (_TRACK, _TRACK),
     "v_read": (_READ.format("CAST(conv(substr(h, 1, 15), 16, 10) AS BIGINT)"), _READ.format("CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)")),
