@@ -6,11 +6,16 @@ verified by their exact distance. On the cluster fingerprints meet by keys:
 
 * exact (deal_exact): the bits are cut into d + 2 parts, of which two at least are equal; one key for each pair of parts;
 * for large d (deal_sampled): keys of sampled bits, as wide as the number of fingerprints asks for and as many
-  as find RECALL of the pairs that differ in NEAR of their bits (closer ones more often).
+  as find RECALL of the pairs that differ in d bits, whatever that number is (closer ones more often).
 
 Groups with one key give verified pairs if small; larger ones are swept in the order of the first pivot
 distance and give a spanning tree, one edge a fingerprint at most. Copies share a fingerprint and never meet.
 
+keep_one, which deletes, goes by the shingle sets themselves: candidates share one of BANDS keys of WIDTH minima each
+(a pair at SIMILAR is missed with probability (1 - 0.8^WIDTH)^BANDS, whatever the size of the table), and only
+pairs whose exact Jaccard similarity is SIMILAR or more are links. Groups with one key are compared pair by pair if small;
+in larger ones all meet the first, and then all pairs that these links leave apart and whose minima don't rule SIMILAR out.
+
 Shingles are words of the text, ASCII letters in lower case, hashed by XXH64. Further 64-bit words of long
 fingerprints come from the same hash, mixed.
 
@@ -38,9 +43,13 @@ SEED = 42
 PIVOTS = 16
 #: 64-bit fingerprints: links at so many bits or fewer.
 DISTANCE = 2
-#: For copies of a similarity of 0.8 or more on shingles of five words: bits of a fingerprint, and the distance.
+#: Shingles of near copies; bits and distance of fingerprints that stand for a similarity of about 0.8.
 NEAR_SHINGLE, NEAR_BITS, NEAR_DISTANCE = 5, 128, 22
-RECALL, NEAR = 0.98, 1 / 8
+RECALL = 0.98
+#: Exact similarity of near copies as a fraction, keys of a text, and minima in a key.
+SIMILAR, BANDS, WIDTH = (4, 5), 24, 5
+#: Of a text's BANDS * WIDTH minima so many agree at least in a pair at SIMILAR (96 are expected; fewer have a probability below 2e-7).
+AGREE = 72
 #: Rows of a group that are compared pair by pair, and pairs that a sweep holds at once.
 SMALL, SWEEP = 8, 1 << 22
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -145,10 +154,16 @@ def deal_exact(distance: int) -> list[Column]:
     return [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks)]
 
 
-def deal_sampled(n: int, words64: int) -> list[Column]:
+def sampled_tables(n: int, words64: int, distance: int) -> tuple[int, int]:
+    """Bits of a key, and keys: RECALL of the pairs at distance share one (bits are drawn without replacement)."""
+    bits = 64 * words64
+    width = min(64, bits - distance, math.ceil(math.log2(n + 2)) + 2)
+    return width, math.ceil(math.log(1 - RECALL) / math.log1p(-math.comb(bits - distance, width) / math.comb(bits, width))) if distance else 1
+
+
+def deal_sampled(n: int, words64: int, distance: int) -> list[Column]:
     """Keys of sampled bits for n distinct fingerprints."""
-    width = min(64, math.ceil(math.log2(n + 2)) + 2)
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - NEAR) ** width))
+    width, tables = sampled_tables(n, words64, distance)
     rng, out = random.Random(SEED), []
     for k in range(tables):
         masks = [0] * words64
@@ -236,7 +251,7 @@ def classes(docs: DataFrame, shingle: int, bits: int = 64, distance: int = DISTA
     fps = materialize(fingerprints(docs, shingle, words64), "simhash")
     distinct = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "distinct")
     own = distinct.filter("node is not null")
-    keys = deal_exact(distance) if words64 == 1 and distance <= 4 else deal_sampled(own.count(), words64)
+    keys = deal_exact(distance) if words64 == 1 and distance <= 4 else deal_sampled(own.count(), words64, distance)
     edges = links(own, keys, words64, distance)
     # rows with one doc_id are one node, whatever their fingerprints
     same_id = fps.filter("doc_id is not null").join(own, names).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"), *names)
@@ -253,10 +268,109 @@ def near_duplicates(docs: DataFrame, shingle: int, bits: int = 64, distance: int
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, bits: int = NEAR_BITS, distance: int = NEAR_DISTANCE) -> DataFrame:
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; none for a text without words."""
+    words = text.encode().lower().split()
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)] if words else [], np.uint64))
+
+
+_FACTORS = np.array([xxhash.xxh64_intdigest(f"minimum {i}".encode(), SEED) | 1 for i in range(BANDS * WIDTH)], np.uint64)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set's hashes under each factor."""
+    out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        np.minimum(out, (hashes[at : at + (1 << 12), None] * _FACTORS).min(0), out=out)
+    return out
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, v, keys, mins): the key of the shingle set, a key for each band, and a byte of each minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            v, keys, mins = [], [], []
+            for text in b.column(1).to_pylist():
+                hashes = shingle_set(text, shingle)
+                least = minima(hashes)
+                v.append(_set_key(hashes))
+                keys.append(np.array([xxhash.xxh64_intdigest(least[i * WIDTH : (i + 1) * WIDTH].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64))
+                mins.append((least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], ["doc_id", "v", "keys", "mins"])
+
+    return docs.select(docs["doc_id"].cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, v long, keys array<long>, mins binary")
+
+
+def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of distinct shingle sets (v, node) with an exact Jaccard similarity of SIMILAR or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["v", "hashes"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    nodes = distinct.join(needed, "v", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.select(docs["doc_id"].cast("long"), whole_text().alias("text")).join(nodes, "doc_id", "left_semi")
+    sets = materialize(texts.mapInArrow(run, "v long, hashes array<long>").groupBy("v").agg(F.first("hashes").alias("hashes")), "sets")
+    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b")
+    n = F.size(F.array_intersect("x", "y"))
+    return both.filter(SIMILAR[1] * n >= SIMILAR[0] * (F.size("x") + F.size("y") - n)).select("a", "b")
+
+
+def apart(group: pa.Table) -> pa.Table:
+    """(a, b): pairs of a group (v, root, mins) with different roots whose minima agree in AGREE places or more."""
+    v, root = group.column("v").to_numpy(), group.column("root").to_numpy()
+    mins = np.stack([np.frombuffer(x, np.uint8) for x in group.column("mins").to_pylist()])
+    _, at, count = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((at, count[at]))  # small components first: each row meets those behind it
+    v, root, mins = v[order], root[order], mins[order]
+    a, b = [v[:0]], [v[:0]]
+    for i in range(len(v) - 1):
+        j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if not len(j):
+            continue
+        for part in np.array_split(j, 1 + len(j) * mins.shape[1] // SWEEP):
+            part = part[(mins[part] == mins[i]).sum(1) >= AGREE]
+            a.append(np.minimum(v[i], v[part]))
+            b.append(np.maximum(v[i], v[part]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def copies(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id): the smallest of each class of documents that exact similarities of SIMILAR or more link."""
+    found = materialize(sketches(docs.filter(docs["doc_id"].isNotNull()), shingle), "sketches")
+    distinct = materialize(found.groupBy("v").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("mins").alias("mins")), "distinct")
+    groups = distinct.select("v", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs")).filter(F.size("vs") > 1)
+    groups = materialize(groups, "groups")
+    small, large = groups.filter(F.size("vs") <= SMALL), groups.filter(F.size("vs") > SMALL)
+    pairs = F.flatten(F.transform("vs", lambda x: F.transform(F.filter("vs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    first = large.select(F.get("vs", F.lit(0)).alias("a"), F.explode("vs").alias("b")).filter("a <> b")
+    pairs = materialize(small.select(F.inline(pairs)).unionByName(first).distinct(), "pairs")
+    # rows with one doc_id are one node, whatever their texts
+    same_id = found.groupBy("doc_id").agg(F.min("v").alias("b"), F.max("v").alias("c")).filter("b <> c").select("doc_id", "b")
+    edges = similar(docs, distinct, pairs, shingle).unionByName(found.join(same_id, "doc_id").filter("v <> b").select(F.col("v").alias("a"), "b"))
+    edges = materialize(edges, "links")
+    roots = components(edges).withColumnRenamed("node", "v")
+    if not large.isEmpty():
+        rows = large.select("key", F.explode("vs").alias("v")).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        several = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+        rows = rows.join(several, "key", "left_semi").join(distinct.select("v", "mins"), "v")
+        rest = materialize(rows.groupBy("key").applyInArrow(apart, "a long, b long").distinct(), "pairs")
+        roots = components(edges.unionByName(similar(docs, distinct, rest, shingle))).withColumnRenamed("node", "v")
+    return distinct.join(roots, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("node").alias("doc_id")).select("doc_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """docs without near copies: of each class the row with the smallest doc_id stays (of repeated rows the one with
     the smallest text); rows without an id stay."""
-    found = near_duplicates(docs, shingle, bits, distance).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    found = copies(docs, shingle).withColumnRenamed("doc_id", "_kept").distinct()
     n = free_name(docs, "_n")
     kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
     kept = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(n) == 1).drop(n)

@@ -312,6 +312,43 @@ def test_near_copies_go_and_others_stay(spark, docs):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_near_copies_are_those_of_exact_similarity(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for size, group in ((60, 4), (200, 4), (200, 4), (300, 30)):  # the last group is compared by its first member and what that leaves apart
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(size)]
+        for k in range(group * 5):
+            u = list(base)
+            for _ in range(k % 12 * size // 300):
+                u[rng.randint(0, size - 1)] = f"c{rng.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(u), "en", "s", 1))
+    sets = []
+    for r in rows:
+        w = r[1].split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    alike = [(i, j) for j in range(len(rows)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in alike:
+        a, b = sorted((root[i], root[j]))
+        root = [a if x == b else x for x in root]
+    want = {i for i, x in enumerate(root) if i == x}
+    assert 10 < len(want) < len(rows) - 10
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_recall_of_candidates():
+    import math
+
+    assert (1 - 0.8**simhash.WIDTH) ** simhash.BANDS < 1e-4
+    n = simhash.BANDS * simhash.WIDTH
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(simhash.AGREE)) < 1e-6
+    for size in (20_000, 1_000_000):
+        width, tables = simhash.sampled_tables(size, 2, 22)
+        assert 1 - (1 - math.comb(106, width) / math.comb(128, width)) ** tables >= 0.98
+
+
 def test_urls(spark):
     rows = [(i, u, "<html>") for i, u in enumerate([None, "", "nohost", "http://A.Net/x", "https://m.example.net/en/1?x#y", "https://example.net", "ftp://org/fr/", "https://a.org/fr/x#z", "http://b.example.com/de/?q", "http://b.example.com?u=/de/", "x://y://net/"])]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
