@@ -201,6 +201,16 @@ def test_lines(spark, docs, none):
     assert all(r.n_removed == 0 for r in lines.strip(spark.createDataFrame(few, "doc_id long, text string, source string")).collect())
 
 
+def test_pages_of_boilerplate_lose_it_unless_they_are_copies(spark):
+    rows = [(i, f"own text {i} of some length\nmenu line\nfoot line", f"s{i}") for i in range(12)]
+    rows += [(20, "menu line\nfoot line\nx", "s0"), (21, "foot line\nmenu line", "s1"), (22, "foot line\nmenu line\n \nfoot line", "s2"), (22, "foot line\nmenu line\n \nfoot line", "s2")]
+    rows += [(30, "menu line\n\nmenu line", "s3"), (31, "menu line\nmenu line", "s4"), (None, "foot line", "s5"), (None, "foot line", "s6")]
+    got = {(r.doc_id, r.source): (r.text, r.n_removed) for r in lines.strip(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[20, "s0"] == ("x", 2) and got[21, "s1"] == ("", 2) and got[22, "s2"] == (" ", 3)
+    assert got[30, "s3"] == ("menu line\n\nmenu line", 0) and got[31, "s4"] == ("menu line\nmenu line", 0) and got[None, "s5"] == ("foot line", 0)
+    assert all(got[i, f"s{i}"] == (f"own text {i} of some length", 2) for i in range(12))
+
+
 def test_bpe_round_trip_and_library(spark, docs, none):
     import tiktoken
 
