@@ -90,7 +90,8 @@ def test_topk(spark):
     assert topk.top_k(v.filter("false"), v.filter("false")).count() == 0
 
 
-def test_lm_base_by_brute_force(spark, docs, none):
+@pytest.mark.parametrize("frequent", [3, lm.FREQUENT])
+def test_lm_base_by_brute_force(spark, docs, none, frequent):
     import math
     import re
     from collections import Counter
@@ -98,7 +99,7 @@ def test_lm_base_by_brute_force(spark, docs, none):
 
     rows = [(i, r.text) for i, r in enumerate(docs.collect())]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"uid": F.monotonically_increasing_id(), "held": lm.held_out()})
-    got = {r.doc_id: r for r in lm.score(d.select("uid", "text"), d.filter("not held"), frequent=3).join(d.select("uid", "doc_id"), "uid").collect()}
+    got = {r.doc_id: r for r in lm.score(d.select("uid", "text"), d.filter("not held"), frequent=frequent).join(d.select("uid", "doc_id"), "uid").collect()}
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
     counts = Counter()
     for i, t in rows:
@@ -119,21 +120,44 @@ def test_lm_filter_gives_counts_back():
     ids = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ids.sort()
     counts = 1 + np.arange(len(ids)) % 1000
-    bits = lm.segment(ids, counts, 2.0)
-    f = lm.Filter(lm.Packed(np.frombuffer(bits, np.uint8), np.array([len(bits) * 8], np.uint64), np.array([0], np.uint64)), 2.0)
-    level = f.level(ids)
-    assert (level >= lm.levels(counts, 2.0)).all() and (level == lm.levels(counts, 2.0)).mean() > 0.9
-    unseen = ids + np.uint64(12345)
-    assert (f.level(unseen) > 0).mean() < 0.06
+    bits = lm.segment(ids, counts)
+    level = lm.probed(bits, ids)
+    assert (level >= lm.levels(counts)).all() and (level == lm.levels(counts)).mean() > 0.95
+    assert lm.lower_end(lm.levels(np.arange(5))).tolist() == [0, 1, 2, 3, 4] and (lm.lower_end(lm.levels(counts)) <= counts).all()
+    assert (lm.probed(bits, ids + np.uint64(12345)) > 0).mean() < 0.03
+    assert len(bits) * 8 <= lm.KEY_BITS * lm.levels(counts).sum() + 8 and (lm.probed(None, ids) == 0).all()
 
 
-def test_lm_shards_change_nothing(spark):
-    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(40))) for i in range(60)]
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 100, 20])
+def test_lm_score_by_exact_counts(spark, frequent):
+    """Whatever share of words is broadcast, scores are those of exact pair counts, but for false positives of the filter."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice((5, 50, 300))]) for _ in range(rng.randint(0, 60)))) for i in range(80)]
     d = spark.createDataFrame(rows, "uid long, text string")
-    one = {r.uid: r for r in lm.score(d, d).collect()}
-    many = {r.uid: r for r in lm.score(d, d, shard_bytes=200).collect()}
-    for k, r in one.items():
-        assert many[k].score == pytest.approx(r.score) and many[k].base_score == pytest.approx(r.base_score)
+    single, pairs = Counter(), Counter()
+    sequence = lambda t: [*t.split(), "end"]
+    for i, t in rows:
+        if i % 4 != 1:
+            single.update(sequence(t))
+            pairs.update(zip(["end", *t.split()], sequence(t), strict=True))
+    n, followers = sum(single.values()), Counter(u for u, _ in pairs)
+    least = -(-n // frequent)
+    low = lambda c: math.ceil(lm.BASE ** math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) - 1e-9) if c else 0
+    got = {r.uid: r.score for r in lm.score(d, d.filter("uid % 4 <> 1"), frequent).collect()}
+    off = []
+    for i, t in rows:
+        want = 0.0
+        for u, w in zip(["end", *t.split()], sequence(t), strict=True):
+            p, c = (single[w] + 0.5) / (n + 0.5 * (len(single) + 1)), low(pairs[u, w])
+            often = single[u] >= least
+            want += math.log10((max(c - lm.DISCOUNT, 0) + lm.DISCOUNT * followers[u] * p) / single[u] if often else (c + lm.STRENGTH * p) / (single[u] + lm.STRENGTH))
+        off.append(got[i] - want)
+    assert min(off) > -1e-6 and sum(x > 1e-6 for x in off) < 25 and sum(off) < 0.02 * len(off) * 60
 
 
 def test_secrets(docs, none):
