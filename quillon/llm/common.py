@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -21,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoint"  # one machine: any folder is shared
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
@@ -40,12 +44,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, with underscores added until df has no such column (Spark compares names without case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def boxed(docs: DataFrame, *named: str) -> DataFrame:
+    """docs with all columns in one struct, row, beside those that an operator works on: names of its own clash with none."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(docs[c] for c in named))
+
+
+def unboxed(rows: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The columns of row as they were, but for those that are new."""
+    left = dict(new)
+    own = [left.pop(c).alias(c) if c in left else F.col("row").getField(c).alias(c) for c in columns]
+    return rows.select(*own, *(v.alias(k) for k, v in left.items()))
 
 
 def whole_text(col: str = "text"):

@@ -8,7 +8,7 @@ where the source's target is met, to half a document.
 
 Defined results: null text has size 0; a null source is a source of its own; documents without words
 are taken zero times; repeated rows count each; an empty table gives an empty result. Columns of the
-input stay, those named like a result column are replaced.
+input stay as they are, whatever their names; mix replaces those named like a result column, repeated none.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, whole_text
+from quillon.llm.common import WORD, boxed, materialize, unboxed, whole_text
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -51,31 +51,33 @@ def water_fill(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("rest") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, repetitions and taken (words, repeats counted)."""
-    docs = docs.drop(*ADDED)
-    sized = docs.withColumn("size", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
-    sized = sized.withColumn("_u", order_key(F.col("doc_id"), seed)).withColumn("_slice", F.shiftright(F.col("_u"), 60 - SLICES.bit_length() + 1).cast("int"))
-    sized = sized.withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
-    slices = sized.groupBy("_key", "_none", "_slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size"))
-    before = Window.partitionBy("_key", "_none").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_before", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    totals = slices.groupBy("_key", "_none").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
-    filled = water_fill(totals).withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull()).drop("source")
-    facts = slices.select("_key", "_none", "_slice", "_before").join(filled, ["_key", "_none"])
-    keys = ["_key", "_none", "_slice"]
-    joined = sized.join(facts, keys)
-    inside = Window.partitionBy(*keys).orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+def _mixed(docs: DataFrame, seed: int) -> DataFrame:
+    """The rows of docs, boxed, with size, source_size, target, repetitions and taken."""
+    rows = boxed(docs, "text", "doc_id", "source").withColumn("size", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
+    rows = rows.withColumn("u", order_key(F.col("doc_id"), seed)).withColumn("slice", F.shiftright("u", 60 - SLICES.bit_length() + 1).cast("int"))
+    rows = rows.withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    slices = rows.groupBy("key", "none", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size"))
+    before = Window.partitionBy("key", "none").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = materialize(slices.withColumn("before", F.coalesce(F.sum("slice_size").over(before), F.lit(0))), "slices")
+    totals = slices.groupBy("key", "none").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
+    filled = water_fill(totals).withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull()).drop("source")
+    facts = slices.select("key", "none", "slice", "before").join(filled, ["key", "none"])
+    keys = ["key", "none", "slice"]
+    inside = Window.partitionBy(*keys).orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - whole * F.col("source_size")
-    ahead = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     more = F.when((F.col("size") > 0) & (2 * ahead + F.col("size") <= 2 * rest), 1).otherwise(0)
-    mixed = joined.withColumn("repetitions", (whole + more).cast("long")).withColumn("taken", F.col("repetitions") * F.col("size"))
-    return mixed.select(*docs.columns, *ADDED)
+    mixed = rows.drop("text").join(facts, keys).withColumn("repetitions", (whole + more).cast("long"))
+    return mixed.withColumn("taken", F.col("repetitions") * F.col("size"))
+
+
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """docs with size, source_size, target, repetitions and taken (words, repeats counted), which replace columns of these names."""
+    return unboxed(_mixed(docs, seed), [c for c in docs.columns if c.lower() not in ADDED], {c: F.col(c) for c in ADDED})
 
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    columns = docs.columns
-    out = mix(docs, seed).filter("repetitions > 0 and size > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int")))).select(*columns)
+    """The mix itself: each document as often as it is taken, with the columns of docs as they are."""
+    rows = _mixed(docs, seed).filter("repetitions > 0 and size > 0")
+    return unboxed(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int")))), docs.columns, {})

@@ -1,57 +1,57 @@
 """Operator 9: SimHash near-duplicates with pivot distance tables.
 
 Every distinct fingerprint gets its Hamming distances to PIVOTS reference fingerprints. Two fingerprints within
-d bits differ by d at most in each of these; pairs that differ more anywhere are discarded, the rest are
-verified by their exact distance. On the cluster fingerprints meet by keys:
-
-* exact (deal_exact): the bits are cut into d + 2 parts, of which two at least are equal; one key for each pair of parts;
-* for large d (deal_sampled): keys of sampled bits, as wide as the number of fingerprints asks for and as many
-  as find RECALL of the pairs that differ in d bits, whatever that number is (closer ones more often).
-
-Groups with one key give verified pairs if small; larger ones are swept in the order of the first pivot
-distance and give a spanning tree, one edge a fingerprint at most. Copies share a fingerprint and never meet.
-
-keep_one, which deletes, goes by the shingle sets themselves: candidates share one of BANDS keys of WIDTH minima each
-(a pair at SIMILAR is missed with probability (1 - 0.8^WIDTH)^BANDS, whatever the size of the table), and only
-pairs whose exact Jaccard similarity is SIMILAR or more are links. Groups with one key are compared pair by pair if small;
-in larger ones all meet the first, and then all pairs that these links leave apart and whose minima don't rule SIMILAR out.
+d bits differ by d at most in each of these. The first few distances, the coordinates, deal the fingerprints over the
+cluster: a coordinate is cut into buckets of 2 d + 1, a fingerprint goes to the bucket of x and to that of x + d, so that two
+within d bits share the bucket of the one further on in every coordinate, and thus a cell. How many coordinates deal is worked
+out from the number of fingerprints. Within a cell, pairs that differ by more than d in any of the other distances are
+discarded, the rest are verified by their exact distance. Cells of more than CELL fingerprints are cut into blocks, and pairs of
+blocks are dealt, so no task holds more than two blocks; what links in one is handed on as a forest, not as all its pairs.
+Copies share a fingerprint and never meet.
+
+keep_one, which deletes, needs links at an exact similarity of SIMILAR on shingle sets. Pivot distances can't find these: a pair
+at 0.8 differs in up to 38 of 128 bits, and coordinates of random pairs differ by 8 on average. So candidates share one of BANDS
+keys of WIDTH minima each (a pair at SIMILAR is missed with probability (1 - 0.8^WIDTH)^BANDS, whatever the size of the table),
+and only pairs whose exact Jaccard similarity is SIMILAR or more are links. Sets with one key are compared pair by pair if few;
+in larger groups all meet the least, and then, block by block, all pairs that these links leave apart and whose minima don't rule
+SIMILAR out.
 
 Shingles are words of the text, ASCII letters in lower case, hashed by XXH64. Further 64-bit words of long
 fingerprints come from the same hash, mixed.
 
 Defined results: null text is the empty text; a text without words has fingerprint 0 and links like any other; fewer
 words than a shingle are one shingle; rows with one doc_id are one node; rows with a null id get the class of an
-equal fingerprint, or null, and link nothing. An empty table gives no rows.
+equal fingerprint, or null, and link nothing (keep_one keeps them). Columns stay as they are, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import free_name, materialize, partitions, sliced, whole_text
+from quillon.llm.common import boxed, materialize, partitions, sliced, unboxed, whole_text
 
 SEED = 42
 PIVOTS = 16
 #: 64-bit fingerprints: links at so many bits or fewer.
 DISTANCE = 2
-#: Shingles of near copies; bits and distance of fingerprints that stand for a similarity of about 0.8.
-NEAR_SHINGLE, NEAR_BITS, NEAR_DISTANCE = 5, 128, 22
-RECALL = 0.98
+#: Words in a shingle of near copies.
+NEAR_SHINGLE = 5
 #: Exact similarity of near copies as a fraction, keys of a text, and minima in a key.
 SIMILAR, BANDS, WIDTH = (4, 5), 24, 5
 #: Of a text's BANDS * WIDTH minima so many agree at least in a pair at SIMILAR (96 are expected; fewer have a probability below 2e-7).
 AGREE = 72
-#: Rows of a group that are compared pair by pair, and pairs that a sweep holds at once.
-SMALL, SWEEP = 8, 1 << 22
+#: Rows of a group that are compared pair by pair, rows of a block, and pairs that a sweep holds at once.
+SMALL, CELL, SWEEP = 8, 4096, 1 << 22
+#: What dealing a row costs, in comparisons of a pair.
+ROW_COST = 50
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -146,82 +146,106 @@ def sweep(fps: np.ndarray, table: np.ndarray, distance: int) -> tuple[np.ndarray
     return order[moved], order[roots[moved]]
 
 
-def deal_exact(distance: int) -> list[Column]:
-    """Keys of 64-bit fingerprints, one of which two fingerprints within distance share."""
-    parts = distance + 2
-    cuts = [round(64 * i / parts) for i in range(parts + 1)]
-    masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) | ((1 << cuts[j + 1]) - (1 << cuts[j])) for i, j in combinations(range(parts), 2)]
-    return [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks)]
+def coordinates(n: int, bits: int, distance: int) -> int:
+    """How many pivot distances deal n fingerprints: those at which rows dealt and pairs met cost least."""
+    width = 2 * distance + 1
+    more, met = 1 + distance / width, min(1.0, width / math.sqrt(math.pi * bits))  # rows for one; chance that two meet
+    return min(range(PIVOTS + 1), key=lambda k: n * more**k * (ROW_COST + n / 2 * met**k))
+
+
+def cells(table: np.ndarray, k: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the cells of each row of pivot distances, by its first k."""
+    row, cell, width = np.arange(len(table)), np.zeros(len(table), np.uint64), 2 * distance + 1
+    for p in range(k):
+        x = table[row, p].astype(np.int64)
+        near, far = x // width, (x + distance) // width
+        two = np.flatnonzero(near != far)
+        row, bucket, cell = np.r_[row, row[two]], np.r_[near, far[two]], np.r_[cell, cell[two]]
+        cell = cell * np.uint64(0x9E3779B97F4A7C15) + bucket.astype(np.uint64) + np.uint64(1)
+    return row, cell.view(np.int64)
+
+
+def in_blocks(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """rows with i and j: one pair of blocks for each group of key up to most rows; in larger ones a row is in the block
+    that by deals it to and goes to the pairs of that block with all others."""
+    big = materialize(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("blocks")), "big")
+    rows = rows.join(big, key, "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"), F.lit(0)))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))
+    rows = rows.withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the bounds of the groups, from batches in the order of keys."""
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in keys:
+            x = t[k].to_numpy()
+            new |= x[1:] != x[:-1]
+        return np.r_[0, np.flatnonzero(new) + 1]
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        if batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            if held and all(held[-1][k][-1] == t[k][-1] for k in keys):  # one group goes on
+                held.append(t)
+                continue
+            t = pa.concat_tables([*held, t]).combine_chunks()
+            bounds = starts(t)
+            held = [t.slice(int(bounds[-1]))]
+            if len(bounds) > 1:
+                yield t.slice(0, int(bounds[-1])), bounds
+    if held:
+        t = pa.concat_tables(held).combine_chunks()
+        yield t, np.r_[starts(t), t.num_rows]
 
 
-def sampled_tables(n: int, words64: int, distance: int) -> tuple[int, int]:
-    """Bits of a key, and keys: RECALL of the pairs at distance share one (bits are drawn without replacement)."""
-    bits = 64 * words64
-    width = min(64, bits - distance, math.ceil(math.log2(n + 2)) + 2)
-    return width, math.ceil(math.log(1 - RECALL) / math.log1p(-math.comb(bits - distance, width) / math.comb(bits, width))) if distance else 1
+def dealt(distinct: DataFrame, words64: int, distance: int) -> DataFrame:
+    """(cell, node, pivots, f0, ...): distinct fingerprints (node, f0, ...) with their row of the pivot table, by their cells."""
+    names, k = _names(words64), coordinates(distinct.count(), 64 * words64, distance)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = pivot_table(np.stack([b.column(n).to_numpy().view(np.uint64) for n in names], axis=1))
+            row, cell = cells(table, k, distance)
+            rows = [x.tobytes() for x in table]
+            picked = b.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), picked.column("node"), pa.array(rows, pa.binary()).take(pa.array(row)), *(picked.column(n) for n in names)], ["cell", "node", "pivots", *names])
 
-def deal_sampled(n: int, words64: int, distance: int) -> list[Column]:
-    """Keys of sampled bits for n distinct fingerprints."""
-    width, tables = sampled_tables(n, words64, distance)
-    rng, out = random.Random(SEED), []
-    for k in range(tables):
-        masks = [0] * words64
-        for bit in rng.sample(range(64 * words64), width):
-            masks[bit // 64] |= 1 << bit % 64
-        out.append(F.xxhash64(F.lit(k), *(F.col(f).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for f, m in zip(_names(words64), masks, strict=True))))
-    return out
+    return distinct.select("node", *names).mapInArrow(run, "cell long, node long, pivots binary, " + ", ".join(f"{n} long" for n in names))
 
 
-def links(distinct: DataFrame, keys: list[Column], words64: int, distance: int) -> DataFrame:
+def links(distinct: DataFrame, words64: int, distance: int) -> DataFrame:
     """(a, b): edges between the nodes of distinct fingerprints (node, f0, ...), with the connected components of all links."""
-    names = _names(words64)
-    keyed = distinct.select("node", *names, F.explode(F.array(*keys)).alias("key"))
+    names, keys = _names(words64), ["cell", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            bounds = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-            size = np.repeat(np.diff(bounds), np.diff(bounds))
-            several = size > 1
-            key, node, fps, size = key[several], node[several], fps[several], size[several]
-            table = pivot_table(fps)
-            a, b = [], []
-            for lag in range(1, SMALL):
-                i = np.flatnonzero((key[lag:] == key[:-lag]) & (size[lag:] <= SMALL))
+        for t, bounds in by_group(batches, keys):
+            node, sizes = t["node"].to_numpy(), np.diff(bounds)
+            fps = np.stack([t[n].to_numpy().view(np.uint64) for n in names], axis=1)
+            table = np.frombuffer(b"".join(t["pivots"].to_pylist()), np.int16).reshape(len(node), PIVOTS)
+            group, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
+            a, b = [node[:0]], [node[:0]]
+            left = np.flatnonzero((size > 1) & (size <= 64))
+            for lag in range(1, 64):
+                left = left[(left + lag < len(node)) & (size[left] > lag)]
+                if not len(left):
+                    break
+                i = left[group[left] == group[left + lag]]
                 i, j = survivors(fps, table, i, i + lag, distance)
                 a.append(node[i])
                 b.append(node[j])
-            at = 0
-            while at < len(key):  # large groups are few
-                big = np.flatnonzero(size[at:] > SMALL)
-                if not len(big):
-                    break
-                at += int(big[0])
-                stop = at + int(size[at])
+            for g in np.flatnonzero(sizes > 64).tolist():
+                at, stop = int(bounds[g]), int(bounds[g + 1])
                 i, j = sweep(fps[at:stop], table[at:stop], distance)
                 a.append(node[at:stop][i])
                 b.append(node[at:stop][j])
-                at = stop
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            fps = np.stack([batch.column(n).to_numpy().view(np.uint64) for n in names], axis=1)
-            if held and held[-1][0][-1] == key[-1]:  # one group goes on
-                held.append((key, node, fps))
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            done = [*held, (key[:last], node[:last], fps[:last])]
-            held = [(key[last:], node[last:], fps[last:])]
-            if sum(len(x[0]) for x in done):
-                yield edges(*(np.concatenate([x[i] for x in done]) for i in range(3)))
-        if held:
-            yield edges(*(np.concatenate([x[i] for x in held]) for i in range(3)))
-
-    return keyed.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    met = in_blocks(materialize(dealt(distinct, words64, distance), "cells"), "cell", "node", CELL)
+    return met.repartition(partitions(distinct.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,8 +275,7 @@ def classes(docs: DataFrame, shingle: int, bits: int = 64, distance: int = DISTA
     fps = materialize(fingerprints(docs, shingle, words64), "simhash")
     distinct = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "distinct")
     own = distinct.filter("node is not null")
-    keys = deal_exact(distance) if words64 == 1 and distance <= 4 else deal_sampled(own.count(), words64, distance)
-    edges = links(own, keys, words64, distance)
+    edges = links(own, words64, distance)
     # rows with one doc_id are one node, whatever their fingerprints
     same_id = fps.filter("doc_id is not null").join(own, names).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"), *names)
     repeated = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.count_distinct(*names).alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))
@@ -291,7 +314,7 @@ def _set_key(hashes: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, v, keys, mins): the key of the shingle set, a key for each band, and a byte of each minimum."""
+    """(doc_id, text_key, v, keys, mins): the hash of the text, the key of the shingle set, a key for each band, and a byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -302,9 +325,10 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 v.append(_set_key(hashes))
                 keys.append(np.array([xxhash.xxh64_intdigest(least[i * WIDTH : (i + 1) * WIDTH].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64))
                 mins.append((least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], ["doc_id", "v", "keys", "mins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(v, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], ["doc_id", "text_key", "v", "keys", "mins"])
 
-    return docs.select(docs["doc_id"].cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, v long, keys array<long>, mins binary")
+    text = whole_text()
+    return docs.select(docs["doc_id"].cast("long"), text.alias("text"), F.md5(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key string, v long, keys array<long>, mins binary")
 
 
 def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -316,7 +340,7 @@ def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["v", "hashes"])
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    nodes = distinct.join(needed, "v", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    nodes = distinct.join(needed, "v", "left_semi").select("node.doc_id").distinct()
     texts = docs.select(docs["doc_id"].cast("long"), whole_text().alias("text")).join(nodes, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(run, "v long, hashes array<long>").groupBy("v").agg(F.first("hashes").alias("hashes")), "sets")
     both = pairs.join(sets.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b")
@@ -324,54 +348,72 @@ def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int
     return both.filter(SIMILAR[1] * n >= SIMILAR[0] * (F.size("x") + F.size("y") - n)).select("a", "b")
 
 
-def apart(group: pa.Table) -> pa.Table:
-    """(a, b): pairs of a group (v, root, mins) with different roots whose minima agree in AGREE places or more."""
-    v, root = group.column("v").to_numpy(), group.column("root").to_numpy()
-    mins = np.stack([np.frombuffer(x, np.uint8) for x in group.column("mins").to_pylist()])
+def apart(v: np.ndarray, root: np.ndarray, mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group with different roots whose minima agree in AGREE places or more."""
     _, at, count = np.unique(root, return_inverse=True, return_counts=True)
     order = np.lexsort((at, count[at]))  # small components first: each row meets those behind it
     v, root, mins = v[order], root[order], mins[order]
     a, b = [v[:0]], [v[:0]]
     for i in range(len(v) - 1):
         j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        if not len(j):
-            continue
-        for part in np.array_split(j, 1 + len(j) * mins.shape[1] // SWEEP):
-            part = part[(mins[part] == mins[i]).sum(1) >= AGREE]
-            a.append(np.minimum(v[i], v[part]))
-            b.append(np.maximum(v[i], v[part]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        if len(j):
+            j = j[(mins[j] == mins[i]).sum(1) >= AGREE]
+            a.append(np.minimum(v[i], v[j]))
+            b.append(np.maximum(v[i], v[j]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sets with keys (v, key): pairs (a, b) of small groups and of the least of larger groups with each other one;
+    and the rows (v, key) of the larger groups."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")).filter("n > 1")
+    sizes = materialize(sizes, "sizes")
+    rows = materialize(keyed.join(sizes, "key"), "groups")
+    small = rows.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("v").alias("vs"))
+    pairs = F.flatten(F.transform("vs", lambda x: F.transform(F.filter("vs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    large = rows.filter(F.col("n") > SMALL)
+    first = large.filter("v <> least").select(F.col("least").alias("a"), F.col("v").alias("b"))
+    return small.select(F.inline(pairs)).unionByName(first).distinct(), large.select("v", "key")
+
+
+def left_apart(large: DataFrame, roots: DataFrame, mins: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets with one key that different classes hold and whose minima don't rule SIMILAR out."""
+    rows = large.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    several = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+    rows = materialize(rows.join(several, "key", "left_semi").join(mins, "v"), "apart")
+    keys = ["key", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in by_group(batches, keys):
+            v, root = t["v"].to_numpy(), t["root"].to_numpy()
+            least = np.frombuffer(b"".join(t["mins"].to_pylist()), np.uint8).reshape(len(v), BANDS * WIDTH)
+            for at, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                a, b = apart(v[at:stop], root[at:stop], least[at:stop])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    met = in_blocks(rows, "key", "v", CELL).repartition(partitions(large.sparkSession), *keys).sortWithinPartitions(*keys)
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def copies(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id): the smallest of each class of documents that exact similarities of SIMILAR or more link."""
+    """(doc_id, text_key): of each class of texts that exact similarities of SIMILAR or more link, the smallest."""
     found = materialize(sketches(docs.filter(docs["doc_id"].isNotNull()), shingle), "sketches")
-    distinct = materialize(found.groupBy("v").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("mins").alias("mins")), "distinct")
-    groups = distinct.select("v", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs")).filter(F.size("vs") > 1)
-    groups = materialize(groups, "groups")
-    small, large = groups.filter(F.size("vs") <= SMALL), groups.filter(F.size("vs") > SMALL)
-    pairs = F.flatten(F.transform("vs", lambda x: F.transform(F.filter("vs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    first = large.select(F.get("vs", F.lit(0)).alias("a"), F.explode("vs").alias("b")).filter("a <> b")
-    pairs = materialize(small.select(F.inline(pairs)).unionByName(first).distinct(), "pairs")
-    # rows with one doc_id are one node, whatever their texts
-    same_id = found.groupBy("doc_id").agg(F.min("v").alias("b"), F.max("v").alias("c")).filter("b <> c").select("doc_id", "b")
-    edges = similar(docs, distinct, pairs, shingle).unionByName(found.join(same_id, "doc_id").filter("v <> b").select(F.col("v").alias("a"), "b"))
-    edges = materialize(edges, "links")
+    distinct = found.groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), F.first("keys").alias("keys"), F.first("mins").alias("mins"))
+    distinct = materialize(distinct, "distinct")
+    pairs, large = candidates(distinct.select("v", F.explode("keys").alias("key")))
+    edges = materialize(similar(docs, distinct, materialize(pairs, "pairs"), shingle), "links")
     roots = components(edges).withColumnRenamed("node", "v")
-    if not large.isEmpty():
-        rows = large.select("key", F.explode("vs").alias("v")).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        several = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-        rows = rows.join(several, "key", "left_semi").join(distinct.select("v", "mins"), "v")
-        rest = materialize(rows.groupBy("key").applyInArrow(apart, "a long, b long").distinct(), "pairs")
+    rest = materialize(left_apart(large, roots, distinct.select("v", "mins")), "pairs")
+    if not rest.isEmpty():
         roots = components(edges.unionByName(similar(docs, distinct, rest, shingle))).withColumnRenamed("node", "v")
-    return distinct.join(roots, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("node").alias("doc_id")).select("doc_id")
+    return distinct.join(roots, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("node").alias("node")).select("node.*")
 
 
 def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """docs without near copies: of each class the row with the smallest doc_id stays (of repeated rows the one with
-    the smallest text); rows without an id stay."""
-    found = copies(docs, shingle).withColumnRenamed("doc_id", "_kept").distinct()
-    n = free_name(docs, "_n")
-    kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
-    kept = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(n) == 1).drop(n)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """docs without near copies: of each class the row with the smallest doc_id stays (then with the smallest hash of the
+    text; of rows that repeat both, one); rows without an id stay."""
+    found = copies(docs, shingle)
+    rows = boxed(docs, "doc_id", "text").withColumn("text_key", F.md5(whole_text()))
+    kept = rows.join(found, ["doc_id", "text_key"], "left_semi").withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.lit(0))))
+    return unboxed(kept.filter("again = 1").select("row").unionByName(rows.filter("doc_id is null").select("row")), docs.columns, {})

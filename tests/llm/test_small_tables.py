@@ -217,22 +217,31 @@ def test_grammar_scales_matches():
 def test_lines(spark, docs, none):
     assert lines.strip(docs).count() == len(ROWS) and lines.strip(none).count() == 0
     rows = [(i, f"own text of document {i} that is long\nboiler plate\n\nmore of {i}", f"s{i % 12}") for i in range(24)]
-    rows += [(100, "boiler plate", "s1"), (101, "boiler plate\nboiler plate\nshort", None)]
-    got = {r.doc_id: r for r in lines.strip(spark.createDataFrame(rows, "doc_id long, text string, source string"), whole=0.9).collect()}
+    rows += [(100, "boiler plate", "s1"), (101, "boiler plate\nboiler plate\nshort", None), (102, None, "s1")]
+    got = {r.doc_id: r for r in lines.strip(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[3].text == "own text of document 3 that is long\n\nmore of 3" and got[3].n_removed == 1 and got[3].n_lines == 4
-    assert got[100].text == "boiler plate" and got[101].text == "short"
+    assert got[100].text == "" and got[100].n_removed == 1 and got[101].text == "short" and got[102].text is None and got[102].n_lines == 0
     few = [(i, f"own {i} text\nseldom line", f"s{i % 9}") for i in range(24)]
     assert all(r.n_removed == 0 for r in lines.strip(spark.createDataFrame(few, "doc_id long, text string, source string")).collect())
 
 
-def test_pages_of_boilerplate_lose_it_unless_they_are_copies(spark):
+def test_the_threshold_of_sites_is_exact(spark):
+    """Nine sites keep a line, ten lose it; a null source is a site; a line of tabs and spaces is blank and never goes."""
+    rows = [(i, f"own {i}\nnine\nten\nnull too\n \t\r ", None if i == 9 else f"s{i}") for i in range(10)]
+    rows = [(i, t.replace("\nnine", "") if i == 3 else t, s) for i, t, s in rows] + [(20 + i, f"again {i}\nnine\nelse", "s4") for i in range(5)]
+    got = {r.doc_id: r.text.split("\n") for r in lines.strip(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == ["own 0", "nine", " \t\r "] and got[3] == ["own 3", " \t\r "] and got[20] == ["again 0", "nine", "else"]
+
+
+def test_copied_texts_are_not_boilerplate(spark):
+    """A text on many sites counts once; pages that are nothing but boilerplate lose it."""
     rows = [(i, f"own text {i} of some length\nmenu line\nfoot line", f"s{i}") for i in range(12)]
-    rows += [(20, "menu line\nfoot line\nx", "s0"), (21, "foot line\nmenu line", "s1"), (22, "foot line\nmenu line\n \nfoot line", "s2"), (22, "foot line\nmenu line\n \nfoot line", "s2")]
-    rows += [(30, "menu line\n\nmenu line", "s3"), (31, "menu line\nmenu line", "s4"), (None, "foot line", "s5"), (None, "foot line", "s6")]
-    got = {(r.doc_id, r.source): (r.text, r.n_removed) for r in lines.strip(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[20, "s0"] == ("x", 2) and got[21, "s1"] == ("", 2) and got[22, "s2"] == (" ", 3)
-    assert got[30, "s3"] == ("menu line\n\nmenu line", 0) and got[31, "s4"] == ("menu line\nmenu line", 0) and got[None, "s5"] == ("foot line", 0)
-    assert all(got[i, f"s{i}"] == (f"own text {i} of some length", 2) for i in range(12))
+    rows += [(20, "menu line\nfoot line\nx", "s0"), (21, "foot line\nmenu line", "s1")]
+    rows += [(100 + i, "a story that many sites copy whole\nand its end\nmenu line", f"s{i}") for i in range(20)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[20] == ("x", 2) and got[21] == ("", 2)
+    assert all(got[i] == (f"own text {i} of some length", 2) for i in range(12))
+    assert all(got[100 + i] == ("a story that many sites copy whole\nand its end", 1) for i in range(20))
 
 
 def test_bpe_round_trip_and_library(spark, docs, none):
@@ -378,9 +387,62 @@ def test_recall_of_candidates():
     assert (1 - 0.8**simhash.WIDTH) ** simhash.BANDS < 1e-4
     n = simhash.BANDS * simhash.WIDTH
     assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(simhash.AGREE)) < 1e-6
-    for size in (20_000, 1_000_000):
-        width, tables = simhash.sampled_tables(size, 2, 22)
-        assert 1 - (1 - math.comb(106, width) / math.comb(128, width)) ** tables >= 0.98
+
+
+@pytest.mark.parametrize("distance", [0, 2, 4])
+def test_pivot_cells_hold_every_close_pair_together(distance):
+    import numpy as np
+
+    rng = np.random.default_rng(distance)
+    seeds = rng.integers(0, 1 << 63, size=300, dtype=np.uint64)
+    near = seeds.copy()
+    for _ in range(distance):
+        near ^= np.uint64(1) << rng.integers(0, 63, size=300).astype(np.uint64)
+    assert (np.bitwise_count(seeds ^ near) <= distance).all()
+    for k in (1, 4, 8):
+        held = [set() for _ in range(600)]
+        for r, c in zip(*(x.tolist() for x in simhash.cells(simhash.pivot_table(np.r_[seeds, near][:, None]), k, distance)), strict=True):
+            held[r].add(c)
+        assert all(held[i] & held[300 + i] for i in range(300))
+        if k == 8 and distance <= 2:
+            assert sum(map(len, held)) < 600 * 1.6**k and np.mean([bool(held[i] & held[j]) for i in range(100) for j in range(i)]) < 0.02
+
+
+def test_pivots_discard_nearly_all_pairs():
+    """Of random pairs that the cells of a table of 10^6 leave, the other pivots leave a thousandth; coordinates grow slowly."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, size=2000, dtype=np.uint64)
+    table = simhash.pivot_table(fps[:, None])
+    i, j = np.triu_indices(2000, 1)
+    left = np.ones(len(i), bool)
+    for p in range(simhash.PIVOTS):
+        left &= np.abs(table[i, p] - table[j, p]) <= 2
+    assert left.mean() < 1e-4
+    assert [simhash.coordinates(n, 64, 2) for n in (1, 1000, 10**6, 10**10)] == [0, 3, 10, 16]
+
+
+@pytest.mark.parametrize("cell", [4, 4096])
+def test_large_cells_lose_no_link(spark, monkeypatch, cell):
+    """Whether cells are cut into blocks or not, classes are those of all pairs."""
+    import random
+
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(3)
+    fps = {0: 0}
+    for i in range(1, 400):  # chains of fingerprints about a few seeds
+        fps[i] = fps[rng.randint(0, i - 1)] ^ 1 << rng.randint(0, 63) ^ 1 << rng.randint(0, 63) if rng.random() < 0.8 else rng.getrandbits(64)
+    own = {v: k for k, v in reversed(fps.items())}
+    d = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for v, k in own.items()], "node long, f0 long")
+    root = {k: k for k in own.values()}
+    for v, k in own.items():
+        for x, y in own.items():
+            if (v ^ x).bit_count() <= 2 and root[k] != root[y]:
+                a, b = sorted((root[k], root[y]))
+                root = {n: a if r == b else r for n, r in root.items()}
+    got = {r.node: r.root for r in simhash.components(simhash.links(d, 1, 2)).collect()}
+    assert {k: got.get(k, k) for k in root} == root and len(set(root.values())) < len(root) - 100
 
 
 def test_urls(spark):
