@@ -82,19 +82,16 @@ def starts_with_g(s: Column) -> Column:
 
 
 def complement_run(a: Column, b: Column) -> Column:
-    """longest run of matches between a and the reverse complement of b, over all offsets."""
-    x, y = _chars(F.upper(a)), _chars(revcomp(b))
-    n, m = F.size(x), F.size(y)
-
-    def longest(offset: Column) -> Column:
-        places = F.sequence(F.lit(0), n - 1)
-        step = lambda s, i: F.struct(
-            F.when(F.get(x, i) == F.get(y, i + offset), s["now"] + 1).otherwise(0).alias("now"),
-            F.greatest(s["best"], F.when(F.get(x, i) == F.get(y, i + offset), s["now"] + 1).otherwise(0)).alias("best"),
-        )
-        return F.aggregate(places, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step, lambda s: s["best"])
-
-    return F.when((n > 0) & (m > 0), F.array_max(F.transform(F.sequence(1 - n, m - 1), longest))).otherwise(0)
+    """longest run of matches between a and the reverse complement of b, over all offsets: as many as there are lengths of
+    which a piece of a is in it."""
+
+    def longest(s: Column) -> Column:
+        held = lambda k: F.exists(F.sequence(F.lit(1), s["n"] - k + 1), lambda i: F.contains(s["y"], F.substring(s["x"], i, k)))
+        return F.when(F.least(s["n"], F.length(s["y"])) > 0, F.size(F.filter(F.sequence(F.lit(1), F.least(s["n"], F.length(s["y"]))), held))).otherwise(0)
+
+    x = F.upper(a)
+    once = F.array(F.struct(x.alias("x"), revcomp(b).alias("y"), F.length(x).alias("n")))  # worked out once, not at every step
+    return F.coalesce(F.get(F.transform(once, longest), F.lit(0)), F.lit(0))
 
 
 def mask_positions(seq: Column, positions: Column) -> Column:

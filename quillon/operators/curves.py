@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.spatial import pair_counts
 from quillon.operators.stats import finite
+from quillon.operators.ordering import numbered
 
 
 def sliding_bins(spark: SparkSession, rmax: float, width: float, step: float) -> DataFrame:
@@ -102,10 +103,10 @@ def bootstrap(curves: DataFrame, cell: str, rounds: int, n: int, seed: int = 0,
     """K7: rounds of n cells drawn with replacement by a seeded hash; the weighted mean curve of each is fitted; 5, 50 and 95 % of A
     and r0; failed fits (null) are skipped. Cells are numbered once, draws meet them by an equi-join."""
     spark = curves.sparkSession
-    cells = curves.select(cell).distinct().withColumn("_i", F.row_number().over(Window.orderBy(cell)) - 1)
+    cells = numbered(curves.select(cell).distinct(), [cell], "_i")
     count = cells.agg(F.count("*").alias("_n"))
     draws = spark.range(rounds * n).select((F.col("id") % rounds).alias("round"), F.xxhash64(F.lit(seed), "id").alias("_h")).crossJoin(F.broadcast(count))
-    draws = draws.withColumn("_i", F.pmod("_h", F.col("_n")).cast("int")).groupBy("round", "_i").agg(F.count("*").alias("_times"))
+    draws = draws.withColumn("_i", F.pmod("_h", F.col("_n"))).groupBy("round", "_i").agg(F.count("*").alias("_times"))
     drawn = draws.join(cells, "_i").join(curves, cell)
     w = F.col(weight) * F.col("_times")
     mean = drawn.groupBy("round", r).agg(F.try_divide(F.sum(w * F.col(value)), F.sum(w)).alias(value)).filter(F.col(value).isNotNull())

@@ -12,25 +12,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import initiation_window
+from quillon.plans.storage import materialize
 
 
-def range_join(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], on: Sequence[str] = (), bucket: int = 1024, how: str = "inner") -> DataFrame:
+#: Intervals of more than so many buckets meet in buckets so many times as wide.
+LONG = 16
+
+
+def bucket_width(*sides: tuple[DataFrame, tuple[str, str]]) -> tuple[int, bool]:
+    """The least power of two from 64 on that 95 % of the intervals don't exceed, and if some are longer than LONG of it."""
+    width, most = 64, 0
+    for df, (a, b) in sides:
+        size = F.col(b) - F.col(a) + 1
+        often, top = df.filter(F.col(a) <= F.col(b)).agg(F.percentile_approx(size, 0.95), F.max(size)).first()
+        width, most = max(width, 1 << max(0, int(often or 1) - 1).bit_length()), max(most, int(top or 0))
+    return width, most > LONG * width
+
+
+def range_join(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], on: Sequence[str] = (), bucket: int | None = 1024, how: str = "inner") -> DataFrame:
     """Closed intervals [l0, l1] and [r0, r1] that overlap, with equal columns on (as inner, left_semi or left_anti).
 
     Columns of the two sides must have different names but for on. Intervals with end before start or null ends meet nothing.
+    bucket None: the width is measured on the intervals, and pairs with a long one meet in wider buckets of their own.
     """
-    buckets = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
-    valid = lambda d, p: d.filter(F.col(p[0]) <= F.col(p[1]))
-    if how == "inner":
-        a, b = valid(left, l).withColumn("_bucket", buckets(*l)), valid(right, r).withColumn("_bucket", buckets(*r))
-        both = a.join(b, [*on, "_bucket"])
+    if how != "inner":
+        marked = left.withColumn("_row", F.struct(*left.columns))
+        keys = right.select(*on, *(F.col(c).alias(f"_r{i}") for i, c in enumerate(r)))
+        hits = range_join(marked.select("_row", *on, *(F.col(c).alias(f"_l{i}") for i, c in enumerate(l))), keys, ("_l0", "_l1"), ("_r0", "_r1"), on, bucket).select("_row").distinct()
+        return marked.join(hits, marked["_row"] == hits["_row"], how).select(*left.columns)
+    a, b = (d.filter(F.col(p[0]) <= F.col(p[1])) for d, p in ((left, l), (right, r)))
+    width, some_long = (bucket, False) if bucket else bucket_width((a, l), (b, r))
+
+    def meet(x: DataFrame, y: DataFrame, w: int) -> DataFrame:
+        buckets = lambda p: F.explode(F.sequence(F.floor(F.col(p[0]) / w), F.floor(F.col(p[1]) / w)))
+        both = x.withColumn("_bucket", buckets(l)).join(y.withColumn("_bucket", buckets(r)), [*on, "_bucket"])
         hit = (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))
-        first = F.greatest(F.floor(F.col(l[0]) / bucket), F.floor(F.col(r[0]) / bucket)) == F.col("_bucket")
+        first = F.greatest(F.floor(F.col(l[0]) / w), F.floor(F.col(r[0]) / w)) == F.col("_bucket")
         return both.filter(hit & first).drop("_bucket")
-    marked = left.withColumn("_row", F.struct(*left.columns))
-    keys = right.select(*on, *(F.col(c).alias(f"_r{i}") for i, c in enumerate(r)))
-    hits = range_join(marked.select("_row", *on, *(F.col(c).alias(f"_l{i}") for i, c in enumerate(l))), keys, ("_l0", "_l1"), ("_r0", "_r1"), on, bucket).select("_row").distinct()
-    return marked.join(hits, marked["_row"] == hits["_row"], how).select(*left.columns)
+
+    if not some_long:
+        return meet(a, b, width)
+    is_long = lambda p: F.col(p[1]) - F.col(p[0]) >= LONG * width
+    (a0, a1), (b0, b1) = ((d.filter(~is_long(p)), d.filter(is_long(p))) for d, p in ((a, l), (b, r)))
+    wide = width * LONG * LONG
+    return meet(a0, b0, width).unionByName(meet(a1, b, wide)).unionByName(meet(a0, b1, wide))
 
 
 def overlap_counts(left: DataFrame, right: DataFrame, key: str, l: tuple[str, str], r: tuple[str, str], on: Sequence[str] = (), bucket: int = 1024, name: str = "n") -> DataFrame:
@@ -54,7 +79,7 @@ def on_target_rate(reads: DataFrame, windows: DataFrame, sample: str = "sample")
     return out.withColumn("rate", F.coalesce(F.try_divide(100.0 * F.col("n_on_target"), F.col("n_reads")), F.lit(0.0)))
 
 
-def gene_overlap(blocks: DataFrame, exons: DataFrame, bin: int = 100_000) -> DataFrame:
+def gene_overlap(blocks: DataFrame, exons: DataFrame, bin: int | None = None) -> DataFrame:
     """(read, gene) where an exon touches a block; both 1-based closed. blocks: read, contig, b0, b1; exons: gene, contig, e0, e1."""
     return range_join(blocks, exons, ("b0", "b1"), ("e0", "e1"), ["contig"], bin).select("read", "gene").distinct()
 
@@ -63,7 +88,7 @@ def hits_locus(reads: DataFrame, loci: DataFrame) -> DataFrame:
     """(read, locus) of reads (0-based half-open) that touch a named 1-based locus: start0 < e and end0 > s - 1."""
     r = reads.select("read", "contig", "start0", (F.col("end0") - 1).alias("last0"))
     l = loci.select("locus", "contig", (F.col("s") - 1).alias("s0"), (F.col("e") - 1).alias("e0"))
-    return range_join(r, l, ("start0", "last0"), ("s0", "e0"), ["contig"], 100_000).select("read", "locus").distinct()
+    return range_join(r, l, ("start0", "last0"), ("s0", "e0"), ["contig"], None).select("read", "locus").distinct()
 
 
 def region_type(probes: DataFrame, exons: DataFrame, introns: DataFrame) -> DataFrame:
@@ -200,33 +225,76 @@ def probe_windows(probes: DataFrame, n: int = 15) -> DataFrame:
     return probes.withColumn("_w", w).filter("_w is not null").withColumn("w0", F.col("_w.start")).withColumn("w1", F.col("_w.end")).drop("_w")
 
 
+PIECE = 1024
+
+
+def pieces(df: DataFrame, text: str, more) -> DataFrame:
+    """df with _start (from 0) and _piece for text: runs of PIECE letters with more of what follows, so that later work on
+    places walks short strings."""
+    cut = df.withColumn("_start", F.explode(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(PIECE))))
+    return cut.withColumn("_piece", F.substring(F.col(text), F.col("_start") + 1, PIECE + more)).drop(text)
+
+
+def _seeded(texts: DataFrame, text: str, key: str, needles: DataFrame, k: int) -> DataFrame:
+    """(key, needle columns): texts that hold the seed of a needle: its first k letters, or all of a shorter one. Needles have
+    _seed. Texts give one row for each place and each seed length that is there, with nothing but key and seed."""
+    widths = F.broadcast(needles.select(F.length("_seed").alias("_k")).distinct())  # k rows at most
+    cut = pieces(texts.select(key, text), text, F.lit(k)).crossJoin(widths)
+    starts = F.sequence(F.lit(1), F.least(F.length("_piece") - F.col("_k") + 1, F.lit(PIECE)))
+    seeds = cut.filter(F.length("_piece") >= F.col("_k")).select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("_piece", i, F.col("_k"))))).alias("_seed"))
+    return seeds.distinct().join(needles, "_seed")
+
+
 def substring_lookup(df: DataFrame, text: str, plates: DataFrame, needle: str, order: Sequence[str], k: int = 12) -> DataFrame:
-    """For each row the first plate row (in order) whose needle its text holds, in any case.
+    """For each row the first plate row (in order) whose needle its text holds, in any case; nulls where none does.
 
-    Needles of k letters or more meet the text's k-mers by an equi-join on their first k; shorter ones have their own length as k.
+    Needles of k letters or more meet the text's k-mers by an equi-join on their first k, shorter ones by their own length;
+    what meets carries a row number and a place only, the text and the rows join once the candidates are known.
     """
-    d, p = df.withColumn("_t", F.upper(text)), plates.withColumn("_s", F.upper(needle)).filter("_s <> ''").withColumn("_k", F.least(F.length("_s"), F.lit(k)))
-    widths = F.sequence(F.lit(1), F.lit(k))
-    kmers = F.flatten(F.transform(widths, lambda w: F.when(F.length("_t") >= w, F.transform(F.sequence(F.lit(1), F.length("_t") - w + 1), lambda i: F.substring("_t", i, w))).otherwise(F.array().cast("array<string>"))))
-    left = d.select(*df.columns, "_t", F.explode_outer(F.array_distinct(kmers)).alias("_kmer"))
-    right = p.withColumn("_kmer", F.substring(F.col("_s"), F.lit(1), F.col("_k"))).drop("_k")
-    hit = left.join(right, "_kmer").filter(F.col("_t").contains(F.col("_s")))
-    first = Window.partitionBy(*(F.col(c) for c in df.columns)).orderBy(*order)
-    hit = hit.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(*df.columns, *(c for c in plates.columns))
-    return df.join(hit, df.columns, "left")
-
-
-def placed(guides: DataFrame, genome: DataFrame, k: int = 20) -> DataFrame:
-    """Full-length exact places (guide, contig, start0, strand) of guides of k letters or more: their first k letters
-    meet the genome's k-mers. genome: contig, seq."""
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", F.upper(text)), "texts")
+    p = plates.withColumn("_s", F.upper(needle)).filter("_s <> ''").withColumn("_seed", F.left("_s", F.lit(k)))
+    met = _seeded(rows.select("_row", "_t").filter("_t <> ''"), "_t", "_row", p, k).select("_row", *plates.columns, "_s").distinct()
+    long = met.filter(F.length("_s") > k).join(rows.select("_row", "_t"), "_row").filter(F.contains("_t", "_s")).drop("_t")
+    hit = met.filter(F.length("_s") <= k).unionByName(long)
+    first = Window.partitionBy("_row").orderBy(*order)
+    hit = hit.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("_row", *plates.columns)
+    return rows.drop("_t").join(hit, "_row", "left").drop("_row")
+
+
+def _places(guides: DataFrame, genome: DataFrame, k: int) -> DataFrame:
+    """(guide, contig, start0, strand, exact): places of the guides' seeds on either strand, and if all letters agree."""
     from quillon.functions.sequence import revcomp
 
     both = guides.select("guide", F.upper("seq").alias("g"), F.lit("+").alias("strand")).unionByName(guides.select("guide", revcomp(F.col("seq")).alias("g"), F.lit("-").alias("strand")))
-    kmers = genome.select("contig", F.upper("seq").alias("_ref")).filter(F.length("_ref") >= k)
-    at = kmers.select("contig", "_ref", F.explode(F.sequence(F.lit(1), F.length("_ref") - k + 1)).alias("_i"))
-    at = at.select("contig", "_i", F.substring("_ref", F.col("_i"), F.lit(k)).alias("_k"), F.substring("_ref", F.col("_i"), F.lit(64)).alias("_here"))
-    hit = both.withColumn("_k", F.left("g", F.lit(k))).join(at, "_k").filter(F.left("_here", F.length("g")) == F.col("g"))
-    return hit.select("guide", "contig", (F.col("_i") - 1).alias("start0"), "strand").distinct()
+    both = both.filter("g <> ''").withColumn("_seed", F.left("g", F.lit(k)))
+    ref = genome.select("contig", F.upper("seq").alias("_ref"))
+    longest = F.broadcast(guides.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("_longest")))
+    widths = F.broadcast(both.select(F.length("_seed").alias("_k")).distinct())  # k rows at most
+    cut = pieces(ref.crossJoin(longest), "_ref", F.col("_longest")).crossJoin(widths).filter(F.length("_piece") >= F.col("_k"))
+    at = cut.withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.length("_piece") - F.col("_k") + 1, F.lit(PIECE)))))
+    at = at.select("contig", (F.col("_start") + F.col("_i") - 1).alias("start0"), F.substring("_piece", F.col("_i"), F.col("_k")).alias("_seed"), F.substring("_piece", F.col("_i"), F.col("_longest")).alias("_here"))
+    hit = at.join(both, "_seed")
+    return hit.select("guide", "contig", "start0", "strand", (F.left("_here", F.length("g")) == F.col("g")).alias("exact")).distinct()
+
+
+def placed(guides: DataFrame, genome: DataFrame, k: int = 20, strict: bool = True) -> DataFrame:
+    """Full-length exact places (guide, contig, start0, strand) of guides of any length: their first k letters, or all of
+    shorter ones, meet the genome's, and the rest is compared. strict: a guide without a place is an error. guides: guide, seq;
+    genome: contig, seq."""
+    hits = _places(guides, genome, k).filter("exact").drop("exact")
+    if not strict:
+        return hits
+    hits = materialize(hits, "places")
+    missing = guides.select("guide").distinct().join(hits, "guide", "left_anti").agg(F.min("guide").alias("g"), F.count("*").alias("n"))
+    text = F.concat(F.lit("no full-length exact place for guide "), F.col("g").cast("string"), F.lit(" and "), (F.col("n") - 1).cast("string"), F.lit(" others"))
+    check = missing.select(F.when(F.col("n") > 0, F.raise_error(text).cast("int")).otherwise(1).alias("_ok"))
+    return hits.crossJoin(F.broadcast(check)).filter("_ok = 1").drop("_ok")
+
+
+def partial_places(guides: DataFrame, genome: DataFrame, k: int = 20) -> DataFrame:
+    """(guide, n): places of a guide's first k letters where the rest differs or the contig ends, 0 if none."""
+    n = _places(guides, genome, k).filter("not exact").groupBy("guide").agg(F.count("*").alias("n"))
+    return guides.select("guide").distinct().join(n, "guide", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def coherent_target(hits: DataFrame, max_span: int) -> DataFrame:

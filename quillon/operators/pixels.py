@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordering import quantiles
+
 
 def mip(pixels: DataFrame, keys: Sequence[str] = ("fov", "channel")) -> DataFrame:
     """Maximum over frames."""
@@ -305,7 +307,7 @@ def keep_hub(hubs: DataFrame, value: str, median: str, std: str, k: float, hard:
 def scale_check(hubs: DataFrame, a: str, b: str, low: float = 0.01, high: float = 100.0, least: int = 20) -> DataFrame:
     """One row (n, ratio, ok): the median ratio of positive pairs must lie within the limits if there are at least 20."""
     r = F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(a) / F.col(b))
-    out = hubs.agg(F.count(r).alias("n"), F.percentile(r, 0.5).alias("ratio"))
+    out = quantiles(hubs, r, [0.5]).select("n", F.col("q0").alias("ratio"))
     return out.withColumn("ok", (F.col("n") < least) | F.col("ratio").between(low, high))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scalar import safe_ratio
 from quillon.functions.sequence import candidates, find, hamming, mean_phred, revcomp, rfind
 from quillon.operators.intervals import range_join
+from quillon.plans.storage import materialize
 
 
 def load_sample_map(df: DataFrame, allow_blank: bool = False, length: int = 8) -> DataFrame:
@@ -26,37 +27,67 @@ def load_sample_map(df: DataFrame, allow_blank: bool = False, length: int = 8) -
     return out.withColumn("sample", F.when(bad, F.raise_error(F.concat(F.lit("bad sample map row: "), "sample"))).otherwise(F.col("sample"))).drop("_p", "_s")
 
 
+def close_words(words: DataFrame, codes: DataFrame, k: int, width: int) -> DataFrame:
+    """(word, code, d): pairs of distinct words and codes of a width with at most k mismatches. Cut into k + 1 parts, at least one
+    part is equal, so pairs meet by an equi-join on a part; with more parts than letters all of them meet."""
+    n = k + 1 if k < width else 1
+    cuts = [width * i // n for i in range(n + 1)] if k < width else [0, 0]
+    parts = lambda c: F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("part")) for i in range(n))))
+    a = words.select("word").distinct().select("word", parts("word").alias("p"))
+    b = codes.select("code").distinct().select("code", parts("code").alias("p"))
+    return a.join(b, "p").select("word", "code").distinct().withColumn("d", hamming(F.col("word"), F.col("code"))).filter(F.col("d") <= k)
+
+
 def demultiplex(reads: DataFrame, sample_map: DataFrame, anchor7: str, anchor5: str, k: int = 1, width: int = 8, reach: int = 2) -> DataFrame:
-    """(read, status, sample, orientation, distance). In both orientations the words of the barcode width at offsets
-    -reach..reach before the first anchor7 and after the last anchor5 are candidates. Each side keeps, for each barcode, its
-    best (Hamming, |offset|); a sample's total is the sum of both. Total over k: unmatched; a tie on (distance, offset): ambiguous;
-    no anchors: unrecognized. The map is a small table: it is broadcast only if Spark finds it so."""
+    """(read, status, sample, orientation, distance, i7, i5, word7, word5, offset7, offset5). In both orientations the words
+    of the barcode width at offsets -reach..reach before the first anchor7 and after the last anchor5 are candidates. Each side
+    keeps, for each barcode, its best (Hamming, |offset|); a sample's total is the sum of both. Total over k: unmatched; a tie on
+    (distance, offset), also of one sample's two orientations: ambiguous, with the first by name; no anchors: unrecognized."""
     both = reads.select("read", F.upper("seq").alias("s"), F.lit("forward").alias("orientation")).unionByName(reads.select("read", revcomp(F.col("seq")).alias("s"), F.lit("reverse").alias("orientation")))
     at7, at5 = find(F.col("s"), anchor7), rfind(F.col("s"), anchor5)
     found = both.withColumn("_a", at7).withColumn("_b", at5).filter("_a >= 0 and _b >= 0")
     sides = []
     for name, at, code in (("7", F.col("_a") - width, "i7"), ("5", F.col("_b") + len(anchor5), "i5")):
         words = found.select("read", "orientation", F.explode(candidates(F.col("s"), at, width, reach)).alias("c")).select("read", "orientation", "c.offset", "c.word")
-        distinct = words.select("word").distinct()
-        codes = sample_map.select(F.col(code).alias("code")).distinct()
-        near = distinct.crossJoin(F.broadcast(codes)).withColumn("d", hamming(F.col("word"), F.col("code"))).filter(F.col("d") <= k)
-        best = words.join(near, "word").groupBy("read", "orientation", "code").agg(F.min(F.struct("d", F.abs("offset").alias("o"))).alias(f"b{name}"))
+        near = close_words(words, sample_map.select(F.col(code).alias("code")), k, width)
+        best = words.join(near, "word").groupBy("read", "orientation", "code").agg(F.min(F.struct("d", F.abs("offset").alias("o"), "offset", "word")).alias(f"b{name}"))
         sides.append(best.withColumnRenamed("code", code))
     pairs = sides[0].join(sides[1], ["read", "orientation"]).join(sample_map, ["i7", "i5"])
     pairs = pairs.withColumn("distance", F.col("b7.d") + F.col("b5.d")).withColumn("offset", F.col("b7.o") + F.col("b5.o")).filter(F.col("distance") <= k)
     order = Window.partitionBy("read").orderBy("distance", "offset")
-    ranked = pairs.withColumn("_r", F.rank().over(order)).filter("_r = 1").groupBy("read").agg(F.count_distinct("sample").alias("_n"), F.min(F.struct("sample", "orientation", "distance")).alias("_m"))
+    match = F.struct("sample", "orientation", "distance", "i7", "i5", F.col("b7.word").alias("word7"), F.col("b5.word").alias("word5"), F.col("b7.offset").alias("offset7"), F.col("b5.offset").alias("offset5"))
+    ranked = pairs.withColumn("_r", F.rank().over(order)).filter("_r = 1").groupBy("read").agg(F.count("*").alias("_n"), F.min(match).alias("_m"))
     out = reads.select("read").join(found.select("read").distinct().withColumn("_anchored", F.lit(True)), "read", "left").join(ranked, "read", "left")
     status = F.when(F.col("_anchored").isNull(), "unrecognized").when(F.col("_n").isNull(), "unmatched").when(F.col("_n") > 1, "ambiguous").otherwise("assigned")
     chosen = lambda c: F.when(F.col("_n") == 1, F.col(f"_m.{c}"))
-    return out.select("read", status.alias("status"), chosen("sample").alias("sample"), chosen("orientation").alias("orientation"), chosen("distance").alias("distance"))
+    pair = (F.col(f"_m.{c}").alias(c) for c in ("i7", "i5"))
+    return out.select("read", status.alias("status"), *(chosen(c).alias(c) for c in ("sample", "orientation", "distance")), *pair, *(chosen(c).alias(c) for c in ("word7", "word5", "offset7", "offset5")))
+
+
+#: Keys of the overall section and the statuses they count.
+OVERALL = {"assigned": "assigned", "unrecognized_structure": "unrecognized", "unmatched_barcode": "unmatched", "ambiguous_barcode": "ambiguous"}
 
 
 def demux_summary(assigned: DataFrame, n: int = 100) -> DataFrame:
-    """(Section, Key, Value) of status, orientation, mismatches and the n most frequent samples, stacked."""
-    part = lambda section, column, rows=assigned: rows.filter(F.col(column).isNotNull()).groupBy(F.lit(section).alias("Section"), F.col(column).cast("string").alias("Key")).agg(F.count("*").alias("Value"))
-    samples = part("Sample", "sample").orderBy(F.desc("Value"), "Key").limit(n)
-    return part("Overall", "status").unionByName(part("Orientation", "orientation")).unionByName(part("Mismatches", "distance")).unionByName(samples)
+    """(Section, Key, Value), stacked: overall counts, orientations, mismatches, offsets and samples of the assigned reads,
+    their pairs of the map with the statuses of all reads that fit best there, and the n most frequent pairs as observed (ties by
+    key). A matched pair with a blank sample name counts as matched_blank_sample, not as assigned."""
+    d = materialize(assigned, "assigned")
+    matched = d.filter("status = 'assigned'")
+    blank = F.coalesce(F.col("sample"), F.lit("")) == ""
+    part = lambda section, key, rows: rows.groupBy(F.lit(section).alias("Section"), key.cast("string").alias("Key")).agg(F.count("*").alias("Value"))
+    counts = [F.count("*").alias("total_reads"), F.count_if((F.col("status") == "assigned") & ~blank).alias("assigned"), F.count_if((F.col("status") == "assigned") & blank).alias("matched_blank_sample")]
+    counts += [F.count_if(F.col("status") == s).alias(k) for k, s in OVERALL.items() if s != "assigned"]
+    keys = ["total_reads", "assigned", "matched_blank_sample", *(k for k in OVERALL if k != "assigned")]
+    overall = d.agg(*counts).unpivot([], keys, "Key", "Value").select(F.lit("overall").alias("Section"), "Key", "Value")
+    by_status = d.filter("i7 is not null").groupBy("i7", "i5", "status").agg(F.count("*").alias("n"))
+    name = F.when(F.col("status") == "assigned", "matched").otherwise(F.concat("status", F.lit("_barcode")))
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat(name, F.lit(":"), F.col("n").cast("string")))), ";")  # one entry a status
+    canonical = by_status.groupBy("i7", "i5").agg(listed.alias("s"), F.sum(F.when(F.col("status") == "assigned", F.col("n"))).alias("Value")).filter("Value is not null")
+    canonical = canonical.select(F.lit("canonical_pair").alias("Section"), F.concat_ws(",", "i7", "i5", "s").alias("Key"), "Value")
+    out = overall.unionByName(part("orientation", F.col("orientation"), matched)).unionByName(part("barcode_mismatches", F.col("distance"), matched))
+    out = out.unionByName(part("barcode_offsets", F.concat(F.lit("P7="), "offset7", F.lit(";P5="), "offset5"), matched)).unionByName(part("sample", F.col("sample"), matched.filter(~blank)))
+    return out.unionByName(canonical).unionByName(part("observed_pair", F.concat_ws(",", "word7", "word5"), matched).orderBy(F.desc("Value"), "Key").limit(n))
 
 
 def n50(df: DataFrame, length: str, keys: Sequence[str] = ()) -> DataFrame:

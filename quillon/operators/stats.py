@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillon.operators.ordering import quantiles, running
+
 
 def finite(c: Column) -> Column:
     """The value if it is finite, else null."""
@@ -40,7 +42,9 @@ def screen_summary(df: DataFrame, keys: Sequence[str], value: str, flag: str, fi
 def control_threshold(ctrl: DataFrame, value: str, q: float | None = 0.95, manual: float | None = None) -> DataFrame:
     """One row, threshold: the linear quantile (or the largest, q None) of finite control values, or the manual one."""
     v = finite(F.col(value).cast("double"))
-    return ctrl.agg((F.lit(float(manual)) if manual is not None else F.max(v) if q is None else F.percentile(v, q)).alias("threshold"))
+    if manual is None and q is not None:
+        return quantiles(ctrl, v, [q]).select(F.col("q0").alias("threshold"))
+    return ctrl.agg((F.max(v) if manual is None else F.lit(float(manual))).alias("threshold"))
 
 
 def sweep_k(df: DataFrame, ks: Sequence[float], value: str, median: str, std: str, first: str, last: str) -> DataFrame:
@@ -52,7 +56,7 @@ def sweep_k(df: DataFrame, ks: Sequence[float], value: str, median: str, std: st
 
 def tails(df: DataFrame, value: str, q: float = 0.1) -> DataFrame:
     """Low at or below the q quantile, high at or above the 1 - q quantile, else middle."""
-    cuts = df.agg(F.percentile(value, q).alias("_lo"), F.percentile(value, 1 - q).alias("_hi"))
+    cuts = quantiles(df, F.col(value), [q, 1 - q]).select(F.col("q0").alias("_lo"), F.col("q1").alias("_hi"))
     c = F.col(value)
     return df.crossJoin(F.broadcast(cuts)).withColumn("group", F.when(c <= F.col("_lo"), "low").when(c >= F.col("_hi"), "high").otherwise("middle")).drop("_lo", "_hi")
 
@@ -191,10 +195,9 @@ def ttest_1samp(df: DataFrame, keys: Sequence[str], value: str, mu: float = 1.0)
 
 def mwu(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
     """One row: U of the first group, z with tie correction, two-sided p by the normal approximation. Values are
-    counted first, so the ordered window holds one row for each distinct value."""
+    counted first, and ranks run over ranges of them."""
     c = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("t"), F.count_if(F.col(group) == first).alias("a"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("rank", before + (F.col("t") + 1) / 2)
+    c = running(c, [value], F.col("t")).withColumn("rank", F.col("_before") + (F.col("t") + 1) / 2)
     s = c.agg(F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum("a").cast("double").alias("n1"), F.sum("t").cast("double").alias("n"), F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
     n1, n = F.col("n1"), F.col("n")
     n2 = n - n1

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordering import numbered
+
 
 # --- columns -------------------------------------------------------------------------------------------------
 
@@ -251,7 +253,7 @@ def add_handle(oligos: DataFrame, handles: dict[str, str], handle: str, order: S
     if handle not in handles:
         raise KeyError(f"unknown handle {handle!r}; known: {', '.join(sorted(handles))}")
     out = oligos.withColumn("handle", F.lit(handle)).withColumn("full_sequence", F.concat(F.lit(handles[handle]), sequence)).withColumn("full_length", F.length("full_sequence"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("handle").orderBy(*order)))
+    return numbered(out, order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def odd_even(df: DataFrame, within: Sequence[str], order: Sequence, into: str = "odd") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import safe_log10
+from quillon.operators.ordering import numbered
 
 TRACK = ("track",)
 HISTORY = "array<struct<frame:bigint,x:double,y:double>>"
@@ -98,7 +99,7 @@ def aio_table(tracks: DataFrame, keys: Sequence[str] = TRACK, intensity: str = "
 def explode_tracks(aio: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
     """U8: arrays (or their texts) of t, x, y to detections, with a running trajectory number."""
     parse = lambda c: F.from_json(c, "array<double>") if dict(aio.dtypes)[c] == "string" else F.col(c).cast("array<double>")
-    ids = aio.select(*keys).distinct().withColumn("trajectory", F.dense_rank().over(Window.orderBy(*keys)))
+    ids = numbered(aio.select(*keys).distinct(), keys, "trajectory").withColumn("trajectory", (F.col("trajectory") + 1).cast("int"))
     z = aio.select(*keys, F.explode(F.arrays_zip(parse("list_of_t").alias("t"), parse("list_of_x").alias("x"), parse("list_of_y").alias("y"))).alias("d"))
     return z.select(*keys, F.col("d.t").alias("frame"), F.col("d.x").alias("x"), F.col("d.y").alias("y")).join(ids, list(keys))
 

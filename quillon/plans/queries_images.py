@@ -23,17 +23,17 @@ def a22_track_summary(d):
     return tracks.track_summary(d.v_track)
 
 
-_MSD = "SELECT a.track, b.frame - a.frame AS lag, avg((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS msd, count(*) AS n_pairs FROM v_track a JOIN v_track b ON a.track = b.track AND b.frame - a.frame BETWEEN 1 AND 20 JOIN (SELECT track, count(*) AS n FROM v_track GROUP BY track) s ON s.track = a.track AND b.frame - a.frame <= n - 1 GROUP BY ALL"
+_MSD = "SELECT a.track, b.frame - a.frame AS lag, avg((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS msd, count(*) AS n_pairs FROM v_track a JOIN v_track b ON a.track = b.track AND b.frame > a.frame JOIN (SELECT track, count(*) AS n FROM v_track GROUP BY track) s ON s.track = a.track AND b.frame - a.frame <= n - 1 GROUP BY ALL"
 
 
 @query(_MSD, "msd")
 def w2_msd(d):
-    return tracks.msd(d.v_track, max_lag=20)
+    return tracks.msd(d.v_track)
 
 
 @query(f"SELECT track, lag FROM (SELECT track, lag, row_number() OVER (PARTITION BY track ORDER BY lag) AS r, count(*) OVER (PARTITION BY track) AS n FROM ({_MSD})) WHERE r <= least(greatest(3, round_even(n / 2.0::DOUBLE, 0)), n)")
 def w4_fit_lags(d):
-    return tracks.fit_lags(tracks.msd(d.v_track, max_lag=20)).select("track", "lag")
+    return tracks.fit_lags(tracks.msd(d.v_track)).select("track", "lag")
 
 
 _ANGLE = "SELECT track, frame, CASE WHEN d > 180 THEN d - 360 WHEN d < -180 THEN d + 360 ELSE d END AS angle FROM (SELECT track, frame, degrees(lead(h) OVER w - h) AS d FROM (SELECT track, frame, spot, atan2(lead(y) OVER w - y, lead(x) OVER w - x) AS h FROM v_track WINDOW w AS (PARTITION BY track ORDER BY frame, spot)) WINDOW w AS (PARTITION BY track ORDER BY frame, spot)) WHERE d IS NOT NULL"
@@ -54,7 +54,7 @@ _FIT = f"SELECT * FROM (SELECT track, lag, msd, row_number() OVER (PARTITION BY
 
 @query(f"SELECT track, slope, r2, alpha, CASE WHEN slope > 0 THEN slope / (8 / 3.0::DOUBLE) END AS D, CASE WHEN b >= 0 THEN 1000 * sqrt(b / 4) END AS sigma FROM (SELECT track, regr_slope(msd, lag) AS slope, regr_intercept(msd, lag) AS b, regr_r2(msd, lag) AS r2, regr_slope(CASE WHEN msd > 0 THEN log10(msd) END, log10(lag)) AS alpha FROM ({_FIT}) GROUP BY track)", "slope r2 alpha D sigma")
 def k2_diffusion(d):
-    return tracks.diffusion(tracks.msd(d.v_track, max_lag=20)).select("track", "slope", "r2", "alpha", "D", "sigma")
+    return tracks.diffusion(tracks.msd(d.v_track)).select("track", "slope", "r2", "alpha", "D", "sigma")
 
 
 @query("SELECT track, spot FROM v_track WHERE track NOT IN (SELECT track FROM v_track GROUP BY track, x HAVING count(*) > 2) AND track NOT IN (SELECT track FROM v_track GROUP BY track, y HAVING count(*) > 2)")
@@ -165,17 +165,15 @@ def j26_w22_pair_counts(d):
 
 @query("SELECT a.fov, CAST(bin AS INTEGER) AS bin, count(*) AS n FROM v_spot a JOIN v_spot b ON a.fov = b.fov JOIN (SELECT i AS bin, i * 3 AS s, i * 3 + 3 AS e FROM (SELECT unnest(range(0, 5)) AS i)) k ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) BETWEEN s AND e GROUP BY ALL")
 def j27_pair_counts_closed(d):
-    bins = curves.sliding_bins(d.spark, 15, 3, 3).select("bin", "start", "end")
     p = lambda n: d.v_spot.select("fov", F.col("spot").alias(n), "x", "y")
-    return spatial.pair_counts_closed(p("i"), p("j"), bins, 15, ["fov"])
+    return spatial.pair_counts_closed(p("i"), p("j"), 3, 3, 15, ["fov"])
 
 
 @query("SELECT h.spot AS hub, CAST(k.bin AS INTEGER) AS bin, count(*) AS n_pixels, CAST(sum(p.value) AS BIGINT) AS total FROM (SELECT spot, fov, nucleus, 3 + spot % 3 AS x, 4 AS y FROM v_spot) h JOIN (SELECT fov, label, frame, x, y, value FROM v_pixel) p ON p.fov = h.fov AND p.label = h.nucleus JOIN (SELECT i AS bin, i AS s, i + 1 AS e FROM (SELECT unnest(range(0, 4)) AS i)) k ON sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) >= s AND sqrt((h.x - p.x) * (h.x - p.x) + (h.y - p.y) * (h.y - p.y)) < e GROUP BY ALL")
 def j28_annular(d):
     hubs = d.v_spot.select(F.col("spot").alias("hub"), "fov", "nucleus", (3 + F.col("spot") % 3).cast("double").alias("x"), F.lit(4.0).alias("y"))
     px = d.v_pixel.select("fov", F.col("label").alias("nucleus"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "value")
-    bins = curves.sliding_bins(d.spark, 4, 1, 1).select("bin", "start", "end")
-    out = spatial.annular_rdf(hubs, px, bins, 4, 1)
+    out = spatial.annular_rdf(hubs, px, 1, 1, 4, 1)
     return out.select("hub", "bin", "n_pixels", "total")
 
 

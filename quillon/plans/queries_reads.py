@@ -116,9 +116,9 @@ def a17_trim(d):
     return reads.trim_umi(d.v_seq, "GCA", "TAC").select("read", "status", "umi")
 
 
-@query("SELECT c AS origin, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / t, 2) AS percent, round(100.0 * coalesce(n, 0) / 20000, 2) AS percent_of_all FROM (VALUES ('F'), ('O'), ('X')) v(c) LEFT JOIN (SELECT status, count(*) AS n FROM v_assay WHERE status IN ('F', 'O') GROUP BY status) q ON q.status = c CROSS JOIN (SELECT count(*) AS t FROM v_assay WHERE status IN ('F', 'O'))")
+@query("SELECT c AS origin, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / t, 2) AS percent, round(100.0 * coalesce(n, 0) / 20000, 2) AS percent_of_all FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(c) LEFT JOIN (SELECT status, count(*) AS n FROM v_assay GROUP BY status) q ON q.status = c CROSS JOIN (SELECT count(*) AS t FROM v_assay)")
 def a18_categories(d):
-    return reads.origin_summary(d.v_assay.filter("status in ('F', 'O')").withColumnRenamed("status", "origin"), ["F", "O", "X"], all_reads=20000)
+    return reads.origin_summary(d.v_assay.withColumnRenamed("status", "origin"), ["F", "O", "P", "X"], all_reads=20000)
 
 
 _EVID = "SELECT qname AS read, CASE WHEN supp % 5 = 0 THEN 'ncrna' ELSE 'genome' END AS source, contig, mapq, CAST(supp % 7 AS BIGINT) AS locus FROM v_read"
@@ -254,10 +254,10 @@ def j34_placed(d):
     return out.withColumn("start0", F.col("start0").cast("long"))
 
 
-@query("SELECT p.probe AS primer, count(h.l) FILTER (h.l >= least(20, 18 + p.size % 5) AND h.i >= 90) AS n_perfect, count(h.l) FILTER (NOT (h.l >= least(20, 18 + p.size % 5) AND h.i >= 90) AND h.l >= 15) AS n_noise FROM v_window p LEFT JOIN (SELECT l_partkey, CAST(l_quantity AS INT) AS l, 80 + l_suppkey % 21 AS i FROM lineitem WHERE l_quantity < 25) h ON h.l_partkey = p.probe GROUP BY p.probe")
+@query("SELECT p.probe AS primer, count(h.l) FILTER (h.l >= least(20, 18 + p.size % 5) AND h.i >= 90) AS n_perfect, count(h.l) FILTER (NOT (h.l >= least(20, 18 + p.size % 5) AND h.i >= 90) AND h.l >= 15) AS n_noise FROM v_window p LEFT JOIN (SELECT l_partkey, CAST(l_quantity AS INT) AS l, 80 + l_suppkey % 21 AS i FROM lineitem) h ON h.l_partkey = p.probe GROUP BY p.probe")
 def j35_specificity(d):
     p = d.v_window.select(F.col("probe").alias("primer"), F.expr("repeat('A', cast(18 + size % 5 as int))").alias("seq"))
-    h = d.lineitem.filter("l_quantity < 25").select(F.col("l_partkey").alias("primer"), F.col("l_quantity").cast("int").alias("length"), (80 + F.col("l_suppkey") % 21).alias("pident"))
+    h = d.lineitem.select(F.col("l_partkey").alias("primer"), F.col("l_quantity").cast("int").alias("length"), (80 + F.col("l_suppkey") % 21).alias("pident"))
     return design.specificity(p, h, 90, 20, 15).select("primer", "n_perfect", "n_noise")
 
 
@@ -275,12 +275,52 @@ def _samples(d):
     return reads.load_sample_map(d.nation.select(F.col("n_name").alias("SampleName"), code(1).alias("P7_Barcode"), code(9).alias("P5_Barcode")))
 
 
-@query(None)
+_CODE = "translate(substr(md5(n_name), {}, 8), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_BEST = "min(struct_pack(d := hamming({0}, {1}), a := abs(o), o := o, w := {0})) FILTER ({0} IS NOT NULL)"
+_DEMUX = f"""
+WITH s AS (
+  SELECT read, upper(seq) AS s, 'forward' AS orientation FROM v_seq
+  UNION ALL SELECT read, reverse(translate(upper(seq), 'ACGT', 'TGCA')), 'reverse' FROM v_seq),
+f AS (SELECT *, instr(s, 'GCA') - 1 AS a, length(s) - instr(reverse(s), 'CAT') - 2 AS b FROM s WHERE contains(s, 'GCA') AND contains(s, 'TAC')),
+m AS (SELECT n_name AS sample, {_CODE.format(1)} AS i7, {_CODE.format(9)} AS i5 FROM nation),
+w AS (SELECT read, orientation, o, CASE WHEN a - 8 + o >= 0 AND a + o <= length(s) THEN substr(s, a - 8 + o + 1, 8) END AS w7,
+             CASE WHEN b + 3 + o >= 0 AND b + 11 + o <= length(s) THEN substr(s, b + 3 + o + 1, 8) END AS w5
+      FROM f, (SELECT unnest(range(-2, 3)) AS o)),
+c AS (SELECT read, orientation, sample, i7, i5, {_BEST.format("w7", "i7")} AS b7, {_BEST.format("w5", "i5")} AS b5 FROM w, m GROUP BY ALL),
+p AS (SELECT *, b7.d + b5.d AS distance, rank() OVER (PARTITION BY read ORDER BY b7.d + b5.d, b7.a + b5.a) AS k
+      FROM c WHERE b7.d + b5.d <= 4),
+g AS (SELECT read, count(*) AS n, min(struct_pack(sample := sample, orientation := orientation, distance := distance, i7 := i7, i5 := i5,
+             word7 := b7.w, word5 := b5.w, offset7 := b7.o, offset5 := b5.o)) AS x FROM p WHERE k = 1 GROUP BY read)
+SELECT v.read, CASE WHEN a.read IS NULL THEN 'unrecognized' WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'assigned' END AS status,
+       CASE WHEN n = 1 THEN x.sample END AS sample, CASE WHEN n = 1 THEN x.orientation END AS orientation, CASE WHEN n = 1 THEN x.distance END AS distance,
+       x.i7 AS i7, x.i5 AS i5, CASE WHEN n = 1 THEN x.word7 END AS word7, CASE WHEN n = 1 THEN x.word5 END AS word5,
+       CASE WHEN n = 1 THEN x.offset7 END AS offset7, CASE WHEN n = 1 THEN x.offset5 END AS offset5
+FROM v_seq v LEFT JOIN (SELECT DISTINCT read FROM f) a ON a.read = v.read LEFT JOIN g ON g.read = v.read
+"""
+_COUNT = "SELECT '{0}' AS Section, {1} AS Key, count(*) AS Value FROM d WHERE {2} GROUP BY ALL"
+_SUMMARY = f"""
+WITH d AS ({_DEMUX}), o AS (
+  SELECT count(*) AS total_reads, count(*) FILTER (status = 'assigned') AS assigned, CAST(0 AS BIGINT) AS matched_blank_sample,
+         count(*) FILTER (status = 'unrecognized') AS unrecognized_structure, count(*) FILTER (status = 'unmatched') AS unmatched_barcode,
+         count(*) FILTER (status = 'ambiguous') AS ambiguous_barcode FROM d),
+b AS (SELECT i7, i5, status, count(*) AS n FROM d WHERE i7 IS NOT NULL GROUP BY ALL)
+SELECT 'overall' AS Section, Key, Value FROM (UNPIVOT o ON COLUMNS(*) INTO NAME Key VALUE Value)
+UNION ALL {_COUNT.format("orientation", "orientation", "status = 'assigned'")}
+UNION ALL {_COUNT.format("barcode_mismatches", "CAST(distance AS VARCHAR)", "status = 'assigned'")}
+UNION ALL {_COUNT.format("barcode_offsets", "concat('P7=', offset7, ';P5=', offset5)", "status = 'assigned'")}
+UNION ALL {_COUNT.format("sample", "sample", "status = 'assigned'")}
+UNION ALL SELECT 'canonical_pair', concat_ws(',', i7, i5, string_agg(concat(CASE WHEN status = 'assigned' THEN 'matched' ELSE status || '_barcode' END, ':', n), ';' ORDER BY status DESC)),
+       CAST(sum(n) FILTER (status = 'assigned') AS BIGINT) FROM b GROUP BY i7, i5 HAVING count(*) FILTER (status = 'assigned') > 0
+UNION ALL SELECT * FROM ({_COUNT.format("observed_pair", "concat_ws(',', word7, word5)", "status = 'assigned'")} ORDER BY Value DESC, Key LIMIT 100)
+"""
+
+
+@query(_DEMUX)
 def j19_j20_demultiplex(d):
     return reads.demultiplex(d.v_seq.select("read", "seq"), _samples(d), "GCA", "TAC", 4)
 
 
-@query(None)
+@query(_SUMMARY)
 def s24_demux_summary(d):
     return reads.demux_summary(reads.demultiplex(d.v_seq.select("read", "seq"), _samples(d), "GCA", "TAC", 4))
 
@@ -316,6 +356,18 @@ def w8_rolling_dg(d):
     return out.withColumns({c: F.col(c).cast("long") for c in ("start", "length")})
 
 
+_SCORES = "WITH m AS ({0}) SELECT gene, start, length, s - ((ln(0.115::DOUBLE) * -0.175) - 0.2) AS dg, 1 - 0.1 * abs(s - ((ln(0.115::DOUBLE) * -0.175) - 0.2) + 32) AS score FROM ({1}) WHERE n = length - 1".format(
+    _DIMERS, " UNION ALL ".join(f"SELECT gene, start, {n} AS length, sum(e) OVER w{n} AS s, count(*) OVER w{n} AS n FROM m WINDOW w{n} AS (PARTITION BY gene ORDER BY start ROWS BETWEEN CURRENT ROW AND {n - 2} FOLLOWING)" for n in range(26, 33))
+)
+
+
+@query(f"SELECT gene, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, score FROM (SELECT *, row_number() OVER (PARTITION BY gene, start ORDER BY round(score, 9) DESC, length) AS r FROM ({_SCORES})) WHERE r = 1 AND score >= 0.9", "score")
+def w9_best_length(d):
+    scores = design.rolling_dg(d.v_seq.select(F.col("read").alias("gene"), "seq"), range(26, 33))
+    out = design.best_length(scores.withColumn("score", F.round("score", 9)))
+    return out.select("gene", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.round("score", 6).alias("score"))
+
+
 @query(None)
 def w9_w10_spacing(d):
     scores = design.rolling_dg(d.v_seq.select(F.col("read").alias("gene"), "seq"), range(26, 33))
@@ -324,25 +376,73 @@ def w9_w10_spacing(d):
 
 @query(None)
 def k14_design_probes(d):
-    genes = d.v_seq.select(F.col("read").alias("gene"), F.lit("A").alias("contig"), F.when(F.col("read") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("read") * 20).alias("g0"), "seq")
-    part = lambda c: d.v_window.filter(c).filter("contig = 'A'").select("contig", F.col("start1").alias("i0"), F.col("end1").alias("i1"))
+    contig = F.element_at(F.array(*map(F.lit, "ANR")), (F.col("read") % 3 + 1).cast("int"))
+    genes = d.v_seq.select(F.col("read").alias("gene"), contig.alias("contig"), F.when(F.col("read") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("read") * 20).alias("g0"), "seq")
+    part = lambda c: d.v_window.filter(c).select("contig", F.col("start1").alias("i0"), F.col("end1").alias("i1"))
     return design.design_probes(genes, part("size > 30"), part("size < 10"))
 
 
-def _pairs(d):
-    p = d.v_seq.filter("length(seq) >= 100")
-    return p.select(F.col("read").alias("pair"), F.col("fov").alias("gene"), F.substring("seq", 1, 20).alias("left_seq"), F.substring("seq", 61, 20).alias("right_seq"), (57 + F.col("read") % 7).cast("double").alias("left_tm"), (57 + F.col("read") % 5).cast("double").alias("right_tm"), (50 + F.col("read") % 260).alias("amplicon_size"), (F.col("read") % 3 != 0).alias("specific"))
+#: Whole sequences in tiles of 20 letters; a pair is a tile and the one three further on.
+_TILES = "SELECT read, fov, seq, CAST(t AS BIGINT) AS tile FROM (SELECT read, fov, seq, unnest(range(0, CAST(floor(length(seq) / 20.0) AS BIGINT))) AS t FROM v_seq)"
+_TILE = "substr(seq, CAST(tile * 20 + {} AS INT), 20)"
 
 
-@query(None)
+def _tiles(d):
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("seq") / 20) - 1)).alias("tile")
+    return d.v_seq.filter("length(seq) >= 20").select("read", "fov", "seq", at)
+
+
+def _tile(start):
+    return F.substring(F.col("seq"), (F.col("tile") * 20 + start).cast("int"), F.lit(20))
+
+
+def _pairs(d):
+    k = F.col("read") + F.col("tile")
+    return _tiles(d).filter("length(seq) >= tile * 20 + 80").select(
+        (F.col("read") * 100_000 + F.col("tile")).alias("pair"), F.concat_ws("-", "fov", (F.col("read") % 50).cast("string")).alias("gene"), _tile(1).alias("left_seq"), _tile(61).alias("right_seq"),
+        (57 + k % 7).cast("double").alias("left_tm"), (57 + k % 5).cast("double").alias("right_tm"), (50 + k % 260).alias("amplicon_size"), (k % 3 != 0).alias("specific"),
+    )
+
+
+_GC = "((20 - length(translate({0}, 'GC', ''))) / 20.0::DOUBLE)"
+_BOTH = "({0} BETWEEN {2} AND {3} AND {1} BETWEEN {2} AND {3})"
+_RUN5 = "regexp_matches({}, 'A{{5}}|C{{5}}|G{{5}}|T{{5}}')"
+_ALTERNATING = "regexp_matches({}, '" + "|".join(f"({x}{y}){{{{4}}}}" for x in "ACGT" for y in "ACGT" if x != y) + "')"
+_LONGEST = "len(list_filter(range(1, 21), lambda n: len(list_filter(range(1, 22 - n), lambda i: contains({1}, substr({0}, i, n)))) > 0))"
+_RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
+_HARD = {
+    "homopolymer": f"{_RUN5.format('l')} OR {_RUN5.format('r')}",
+    "quad_g": "contains(l, 'GGGG') OR contains(r, 'GGGG')",
+    "dinucleotide": f"{_ALTERNATING.format('l')} OR {_ALTERNATING.format('r')}",
+    "clamp": "right(l, 1) NOT IN ('G', 'C') OR right(r, 1) NOT IN ('G', 'C')",
+    "inter_primer": "run > 4",
+    "dtm": "abs(tl - tr) > 2",
+}
+_TIGHT = f"{_BOTH.format(_GC.format('l'), _GC.format('r'), 0.4, 0.6)} AND {_BOTH.format('tl', 'tr', 58, 62)}"
+_WIDE = f"{_BOTH.format(_GC.format('l'), _GC.format('r'), 0.3, 0.7)} AND {_BOTH.format('tl', 'tr', 55, 65)}"
+_SOFT = {"amplicon": "NOT size BETWEEN 80 AND 200", "specificity": "NOT specific", "gc_tm": f"NOT ({_TIGHT})"}
+_TIERED = f"""
+SELECT *, concat_ws(';', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in (_HARD | _SOFT).items())}) AS reasons,
+       CASE WHEN {" OR ".join(f"({c})" for c in _HARD.values())} THEN 'failed'
+            WHEN size BETWEEN 80 AND 200 AND specific AND {_TIGHT} THEN 'strict_all' WHEN size BETWEEN 60 AND 300 AND specific AND {_TIGHT} THEN 'relaxed_amplicon'
+            WHEN size BETWEEN 60 AND 300 AND {_TIGHT} THEN 'relaxed_specificity' WHEN size BETWEEN 60 AND 300 AND {_WIDE} THEN 'relaxed_gc_tm' ELSE 'failed' END AS tier
+FROM (SELECT *, {_LONGEST.format("l", _RC.format("r"))} AS run
+      FROM (SELECT read * 100000 + tile AS pair, concat(fov, '-', read % 50) AS gene, {_TILE.format(1)} AS l, {_TILE.format(61)} AS r, 57.0::DOUBLE + (read + tile) % 7 AS tl,
+                   57.0::DOUBLE + (read + tile) % 5 AS tr, 50 + (read + tile) % 260 AS size, (read + tile) % 3 <> 0 AS specific
+            FROM ({_TILES}) WHERE length(seq) >= tile * 20 + 80))
+"""
+
+
+@query(f"SELECT pair, tier, reasons FROM ({_TIERED})")
 def p25_primer_tier(d):
     return design.primer_tier(_pairs(d)).select("pair", "tier", "reasons")
 
 
-@query("SELECT read AS primer, concat_ws(';', CASE WHEN NOT g BETWEEN 0.4 AND 0.6 THEN 'gc' END, CASE WHEN NOT 50 + read % 20 BETWEEN 55 AND 65 THEN 'tm' END, CASE WHEN right(s, 1) NOT IN ('G', 'C') THEN 'clamp' END, CASE WHEN regexp_matches(s, 'A{5}|C{5}|G{5}|T{5}') THEN 'homopolymer' END, CASE WHEN contains(s, 'GGGG') THEN 'quad_g' END, CASE WHEN read % 4 > 0 THEN 'snp' END, CASE WHEN read % 3 = 0 THEN 'specificity' END) AS reasons FROM (SELECT read, substr(seq, 1, 20) AS s, (20 - length(translate(substr(seq, 1, 20), 'GC', ''))) / 20.0::DOUBLE AS g FROM v_seq)")
+@query(f"SELECT read, tile, concat_ws(';', CASE WHEN NOT g BETWEEN 0.4 AND 0.6 THEN 'gc' END, CASE WHEN NOT 50 + (read + tile) % 20 BETWEEN 55 AND 65 THEN 'tm' END, CASE WHEN right(s, 1) NOT IN ('G', 'C') THEN 'clamp' END, CASE WHEN regexp_matches(s, 'A{{5}}|C{{5}}|G{{5}}|T{{5}}') THEN 'homopolymer' END, CASE WHEN contains(s, 'GGGG') THEN 'quad_g' END, CASE WHEN (read + tile) % 4 > 0 THEN 'snp' END, CASE WHEN (read + tile) % 3 = 0 THEN 'specificity' END) AS reasons FROM (SELECT read, tile, {_TILE.format(1)} AS s, {_GC.format(_TILE.format(1))} AS g FROM ({_TILES}))")
 def p26_score_primer(d):
-    p = d.v_seq.select(F.col("read").alias("primer"), F.substring("seq", 1, 20).alias("seq"), (50 + F.col("read") % 20).alias("tm"), (F.col("read") % 4).alias("n_snps"), (F.col("read") % 3 != 0).alias("specific"))
-    return design.score_primer(p).select("primer", "reasons")
+    k = F.col("read") + F.col("tile")
+    p = _tiles(d).select("read", "tile", _tile(1).alias("seq"), (50 + k % 20).alias("tm"), (k % 4).alias("n_snps"), (k % 3 != 0).alias("specific"))
+    return design.score_primer(p).select("read", "tile", "reasons")
 
 
 @query("SELECT tx, CASE WHEN NOT starts_with(tx, 'NM_') THEN 'not_curated_refseq' WHEN n_exons < 2 THEN 'single_exon_or_no_exons' ELSE '' END AS reason FROM (SELECT concat(CASE WHEN p_size % 2 = 0 THEN 'NM_' ELSE 'XM_' END, p_partkey) AS tx, p_size % 4 AS n_exons FROM part)")
@@ -365,22 +465,28 @@ def a69_gene_stats(d):
     return design.gene_stats(_probes(d))
 
 
-@query("SELECT g.gene, CAST(coalesce(n, 0) AS BIGINT) AS candidates, CAST(coalesce(s, 0) AS BIGINT) AS selected, CAST(coalesce(k, 0) AS BIGINT) AS n_snps, CASE WHEN coalesce(s, 0) > 0 THEN 'success' ELSE 'failed' END AS status FROM (SELECT DISTINCT gene FROM v_window) g LEFT JOIN (SELECT gene, count(*) AS n, count(*) FILTER (size > 45) AS s, sum(size % 4) AS k FROM v_window WHERE price > 1200 GROUP BY gene) r ON r.gene = g.gene")
+@query("SELECT g.gene, CAST(coalesce(n, 0) AS BIGINT) AS candidates, CAST(coalesce(s, 0) AS BIGINT) AS selected, CAST(coalesce(k, 0) AS BIGINT) AS n_snps, CASE WHEN coalesce(s, 0) > 0 THEN 'success' ELSE 'failed' END AS status FROM (SELECT DISTINCT gene FROM v_window) g LEFT JOIN (SELECT gene, count(*) AS n, count(*) FILTER (size > 45) AS s, sum(size % 4) AS k FROM v_window GROUP BY gene) r ON r.gene = g.gene")
 def a78_batch_summary(d):
-    r = d.v_window.filter("price > 1200").select("gene", F.col("kind").alias("tx"), F.lit("strict_all").alias("tier"), (F.col("size") > 45).alias("selected"), (F.col("size") % 4).alias("n_snps"))
+    r = d.v_window.select("gene", F.col("kind").alias("tx"), F.lit("strict_all").alias("tier"), (F.col("size") > 45).alias("selected"), (F.col("size") % 4).alias("n_snps"))
     return design.batch_summary(d.v_window.select("gene").distinct(), r).select("gene", "candidates", "selected", "n_snps", "status")
 
 
-@query(None)
+_RANKED = f"""
+SELECT gene, pair, tier, CAST(row_number() OVER (PARTITION BY gene ORDER BY list_position(['strict_all', 'relaxed_amplicon', 'relaxed_specificity', 'relaxed_gc_tm', 'failed'], tier),
+       pair % 3, -(pair % 5), pair % 2, abs(tl - tr), size, pair) AS INTEGER) AS rank FROM ({_TIERED})
+"""
+
+
+@query(_RANKED)
 def o4_rank_pairs(d):
     return design.rank_pairs(design.primer_tier(_pairs(d)).withColumns({"primer_snps": F.col("pair") % 3, "amplicon_snps": F.col("pair") % 5, "n_noise": F.col("pair") % 2, "dtm": F.abs(F.col("left_tm") - F.col("right_tm"))})).select("gene", "pair", "tier", "rank")
 
 
-@query(None)
+@query(f"SELECT read, tile, CAST({_LONGEST.format('x', _RC.format('y'))} AS INTEGER) AS run FROM (SELECT read, tile, {_TILE.format(1)} AS x, {_TILE.format(5)} AS y FROM ({_TILES}) WHERE length(seq) >= tile * 20 + 24)")
 def f7_complement_run(d):
     from quillon.functions.sequence import complement_run
 
-    return d.v_seq.select("read", complement_run(F.substring("seq", 1, 20), F.substring("seq", 5, 20)).alias("run"))
+    return _tiles(d).filter("length(seq) >= tile * 20 + 24").select("read", "tile", complement_run(_tile(1), _tile(5)).alias("run"))
 
 
 @query(f"SELECT r.sample, r.n_reads, r.n_on_target, n.raw, n.dedup, coalesce(p.probes, 0) AS probes FROM (SELECT sample, count(*) AS n_reads, count(h.read) AS n_on_target FROM v_read r LEFT JOIN (SELECT DISTINCT read FROM ({_HIT})) h ON r.read = h.read GROUP BY sample) r JOIN (SELECT sample, count(*) AS raw, count(DISTINCT qname) AS dedup FROM v_read GROUP BY sample) n ON n.sample = r.sample LEFT JOIN (SELECT sample, count(*) AS probes FROM (SELECT sample, probe, count(*) AS n FROM ({_HIT}) h JOIN v_read r ON r.read = h.read GROUP BY ALL) WHERE n >= 3 GROUP BY sample) p ON p.sample = r.sample")

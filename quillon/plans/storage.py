@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one where it isn't set (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it isn't set, one below the warehouse, but on
+    one machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoint"
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 

@@ -13,8 +13,8 @@ _TRACK = """
 SELECT user_id AS track, event_id AS spot, frame, floor(value * 10) / 100.0D0 AS x, (k + (event_id % 97) / 97.0D0) / 10.0D0 AS y,
        CAST(event_id % 4 AS BIGINT) AS cell, event_type AS fov, value, k
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k,
-             CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS frame FROM {events}) AS e
-WHERE event_id % 7 <> 0
+             CAST(row_number() OVER w + sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS frame FROM {events}
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS e
 """
 _READ = """
 SELECT {0} AS read, qname, contig, start0, end0, reverse, mapq, sample, supp

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HITS6 = "qseqid string, sseqid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart long, send long, evalue double, bitscore double"
@@ -31,23 +31,35 @@ def read_track_export(spark: SparkSession, path: str, columns: dict[str, str] =
     return df.filter(F.col("ID").try_cast("double").isNotNull()).select(*(F.col(a).cast("double").alias(b) for a, b in columns.items())).orderBy("trackID", "t")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, value): the lines of text files with their number, from 0, in their file.
+
+    Lines are numbered within the block of the file that a task reads and offset by the counts of the file's blocks before it.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).select("file", "block", "offset")
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("at") + F.col("offset")).alias("i"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, seq, qual) of four-line records, plain or gz; a record without all lines, or with unequal lengths, is an error.
 
-    Lines are numbered within each partition of a file and offset by the counts before it (zipWithIndex, one pass more), then
-    gathered four by four. A gz file is one task.
+    Numbered lines are gathered four by four. A gz file is one task.
     """
-    lines = spark.read.text(path).select("value").rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, i long")
-    records = lines.groupBy(F.expr("i div 4").alias("record")).agg(*(F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(n) for k, n in enumerate(("header", "seq", "plus", "qual"))))
+    lines = numbered_lines(spark, path)
+    records = lines.groupBy("file", F.expr("i div 4").alias("record")).agg(*(F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(n) for k, n in enumerate(("header", "seq", "plus", "qual"))))
     bad = F.col("qual").isNull() | ~F.col("header").startswith("@") | (F.length("seq") != F.length("qual"))
     header = F.when(bad, F.raise_error(F.lit("truncated record"))).otherwise(F.col("header"))
     return records.select(F.regexp_replace(F.regexp_extract(header, r"^@(\S+)", 1), "/[12]$", "").alias("read_id"), "seq", "qual")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq): records between '>' signs, sequence lines joined and kept as they are."""
-    rows = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    lines = F.split("value", r"\r?\n")
+    """(id, seq): records from one '>' at a line's start to the next, sequence lines joined and kept as they are; other '>'
+    belong to the header."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).filter(F.trim("value") != "")
+    lines = F.split("value", r"\r?\n|\r$")
     return rows.select(F.regexp_extract(F.get(lines, F.lit(0)), r"^(\S+)", 1).alias("id"), F.concat_ws("", F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1)))).alias("seq"))
 
 

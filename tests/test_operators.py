@@ -212,3 +212,119 @@ def test_empty_tables(spark):
     for f in (tracks.edges, tracks.msd, tracks.angles, tracks.assign_cell, tracks.track_summary):
         assert f(t).count() == 0
     assert stats.hist(spark.createDataFrame([], "v double"), "v", 0, 1, 4).count() == 0
+
+
+def test_guides_of_any_length_are_placed(spark):
+    import random
+
+    rng = random.Random(4)
+    genome = "".join(rng.choice("ACGT") for _ in range(3000))
+    revcomp = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [("g70", genome[1000:1070]), ("g60", genome[40:100]), ("g15", genome[2000:2015]), ("end", genome[-25:]), ("minus", revcomp(genome[1020:1055])), ("half", genome[500:520] + "ACGTACGTAC")]
+    d, ref = spark.createDataFrame(rows, "guide string, seq string"), spark.createDataFrame([("c", genome)], "contig string, seq string")
+    got = {(r.guide, r.start0, r.strand) for r in intervals.placed(d.filter("guide <> 'half'"), ref).collect()}
+    want = {(g, i, s) for g, q in rows[:-1] for s, t in (("+", q), ("-", revcomp(q))) for i in range(len(genome)) if genome.startswith(t, i)}
+    assert got == want and len({g for g, *_ in got}) == 5
+    with pytest.raises(Exception, match="no full-length exact place for guide half"):
+        intervals.placed(d, ref).collect()
+    assert {r.guide: r.n for r in intervals.partial_places(d, ref).collect()}["half"] == 1
+    assert "half" not in {r.guide for r in intervals.placed(d, ref, strict=False).collect()}
+
+
+def test_fasta_headers_may_hold_the_sign(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">a x>y\nACGT\nAC\n>b >> z\r\nGG\r\nTT\r\n>c\nA")
+    got = {r.id: r.seq for r in readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()}
+    assert got == {"a": "ACGTAC", "b": "GGTT", "c": "A"}
+
+
+def test_fastq_lines_are_numbered_by_file(spark, tmp_path):
+    for f in "ab":
+        (tmp_path / f"{f}.fq").write_text("".join(f"@{f}{i}/1 x\nACG{'T' * (i % 7)}\n+\nIII{'@' * (i % 7)}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r.read_id: (r.seq, r.qual) for r in readers.read_fastq(spark, str(tmp_path / "*.fq")).collect()}
+        assert spark.read.text(str(tmp_path / "*.fq")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"{f}{i}": ("ACG" + "T" * (i % 7), "III" + "@" * (i % 7)) for f in "ab" for i in range(3000)}
+
+
+def test_measured_buckets_bound_the_candidates(spark):
+    import random
+
+    rng = random.Random(6)
+    a = [(i, s, s + rng.randint(0, 49)) for i, s in enumerate(rng.randint(0, 200_000) for _ in range(2000))]
+    b = [(i, s, s + (150_000 if i < 3 else rng.randint(0, 49))) for i, s in enumerate(rng.randint(0, 50_000 if i < 3 else 200_000) for i in range(2000))]
+    left, right = spark.createDataFrame(a, "i long, a0 long, a1 long"), spark.createDataFrame(b, "j long, b0 long, b1 long")
+    assert intervals.bucket_width((left, ("a0", "a1")), (right, ("b0", "b1"))) == (64, True)
+    got = sorted((r.i, r.j) for r in intervals.range_join(left, right, ("a0", "a1"), ("b0", "b1"), bucket=None).collect())
+    assert got == sorted((i, j) for i, a0, a1 in a for j, b0, b1 in b if a0 <= b1 and b0 <= a1)
+    key = lambda d, p: d.selectExpr(f"explode(sequence(floor({p}0 / 64), floor({p}1 / 64))) as k").groupBy("k").count()
+    short = right.filter("b1 - b0 < 1024")
+    met = key(left, "a").join(key(short, "b").withColumnRenamed("count", "m"), "k").selectExpr("sum(count * m)").first()[0]
+    assert met < 8 * sum(1 for i, j in got if b[j][2] - b[j][1] < 1024) + 4000
+
+
+def test_global_order_without_one_task(spark):
+    import random
+
+    from quillon.operators import ordering, stats
+
+    rng = random.Random(7)
+    values = [rng.randint(0, 300) / 4 for _ in range(2001)] + [None]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    import numpy as np
+
+    got = ordering.quantiles(d, F.col("v"), [0.05, 0.5, 0.95, 0, 1]).first()
+    assert got.n == 2001 and list(got)[1:] == pytest.approx(np.quantile([v for v in values if v is not None], [0.05, 0.5, 0.95, 0, 1]))
+    assert ordering.quantiles(d.filter("false"), F.col("v"), [0.5]).first().asDict() == {"n": 0, "q0": None}
+    ids = spark.range(1000).withColumnRenamed("id", "k").orderBy(F.rand(3))
+    assert all(r.k == r.n for r in ordering.numbered(ids, ["k"], "n").collect())
+    assert stats.control_threshold(d, "v", 0.95).first().threshold == pytest.approx(np.quantile([v for v in values if v is not None], 0.95))
+
+
+def test_distance_bins_plan_no_nested_loop(spark):
+    points = spark.createDataFrame([(0, i, float(i % 13), float(i % 7)) for i in range(60)], "fov long, i long, x double, y double")
+    out = spatial.pair_counts_closed(points, points.withColumnRenamed("i", "j"), 2.5, 0.5, 9, ["fov"])
+    want = {}
+    rows = points.collect()
+    for a in rows:
+        for b in rows:
+            dist = ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5
+            for k in range(14):
+                if k * 0.5 <= dist <= k * 0.5 + 2.5:
+                    want[k] = want.get(k, 0) + 1
+    assert {r.bin: r.n for r in out.collect()} == want
+    hubs = points.selectExpr("i as hub", "fov", "0 as nucleus", "x", "y")
+    px = points.selectExpr("fov", "0 as nucleus", "x", "y", "i as value")
+    rdf = spatial.annular_rdf(hubs, px, 1, 1, 4, 1)
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() + rdf._jdf.queryExecution().toString()
+
+
+def test_summary_keeps_all_samples_and_sections(spark):
+    rows = [(i, "assigned", f"s{i % 150:03d}", "forward", 0, f"A{i % 150}", "C", f"W{i}", "V", 0, i % 3 - 1) for i in range(300)]
+    rows += [(900, "ambiguous", None, None, None, "A0", "C", None, None, None, None), (901, "unmatched", *[None] * 9), (902, "assigned", "", "reverse", 1, "B", "C", "W", "V", 1, 1)]
+    d = spark.createDataFrame(rows, "read long, status string, sample string, orientation string, distance int, i7 string, i5 string, word7 string, word5 string, offset7 int, offset5 int")
+    got = {}
+    for r in reads.demux_summary(d).collect():
+        got.setdefault(r.Section, {})[r.Key] = r.Value
+    assert got["overall"] == {"total_reads": 303, "assigned": 300, "matched_blank_sample": 1, "unrecognized_structure": 0, "unmatched_barcode": 1, "ambiguous_barcode": 1}
+    assert len(got["sample"]) == 150 and got["barcode_offsets"] == {"P7=0;P5=-1": 100, "P7=0;P5=0": 100, "P7=0;P5=1": 100, "P7=1;P5=1": 1}
+    assert got["canonical_pair"]["A0,C,ambiguous_barcode:1;matched:2"] == 2 and len(got["observed_pair"]) == 100 and len(got["canonical_pair"]) == 151
+
+
+def test_greedy_spacing_takes_the_next_free_start(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = sorted({(g, rng.randint(0, 400)) for g in "ab" for _ in range(150)})
+    rows = [(g, s, 5 + s % 9) for g, s in rows]
+    got = [tuple(r) for r in design.greedy_spacing(spark.createDataFrame(rows, "gene string, start long, length long").repartition(5), 2).orderBy("gene", "start").collect()]
+    want = []
+    for g in "ab":
+        at = 0
+        for _, s, n in (r for r in rows if r[0] == g):
+            if s >= at:
+                want.append((g, s, n))
+                at = s + n + 2
+    assert got == want
