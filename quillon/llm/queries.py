@@ -24,7 +24,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+    return topk.top_k(vectors, "vec_id % 50 = 0", 5)
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

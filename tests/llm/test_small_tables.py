@@ -74,20 +74,40 @@ def test_mixing_hits_targets(spark):
         assert abs(r.t - r.g) <= 7
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("block", [8192, 40])
+def test_topk(spark, monkeypatch, block):
     import numpy as np
 
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     rng = np.random.default_rng(3)
-    vectors = {i: rng.normal(size=8).tolist() for i in range(300)}
-    vectors[7], vectors[8] = list(vectors[6]), list(vectors[6])
-    rows = [(i, v, 1) for i, v in vectors.items()] + [(900, None, 1), (901, [1.0, None], 1), (902, [float("nan")] * 8, 1), (903, [float("inf")] + [0.0] * 7, 1)]
-    v = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
-    got = topk.top_k(v, v.filter("vec_id % 50 = 0"), 5).collect()
-    whole = {i: np.floor(np.array(x) * 256).astype(int) for i, x in vectors.items()}
-    for q in range(0, 300, 50):
-        want = sorted((-int(whole[q] @ whole[c]), c) for c in whole if c != q)[:5]
-        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(c, -s) for s, c in want]
-    assert topk.top_k(v.filter("false"), v.filter("false")).count() == 0
+    vectors = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    vectors[7], vectors[8] = (7, list(vectors[6][1])), (8, list(vectors[6][1]))
+    vectors += [(50, rng.normal(size=8).tolist()), (50, list(vectors[50][1])), (60, [2.0] * 5)]  # ids and rows that repeat, a short vector
+    rows = [(i, v, 1) for i, v in vectors] + [(900, None, 1), (901, [1.0, None], 1), (902, [float("nan")] * 8, 1), (903, [float("inf")] + [0.0] * 7, 1), (None, [1.0] * 8, 1)]
+    v = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int"))
+    got = sorted(tuple(r) for r in topk.top_k(v, "vec_id % 50 = 0", 5).collect())
+    whole = [np.r_[np.floor(np.array(x) * 256), np.zeros(8 - len(x))].astype(int) for _, x in vectors]
+    want = []
+    for q, (i, _) in enumerate(vectors):
+        if i % 50 == 0:
+            ranked = sorted((-int(whole[q] @ whole[c]), vectors[c][0]) for c in range(len(vectors)) if c != q)[:5]
+            want += [(i, n, c, -s) for n, (s, c) in enumerate(ranked, 1)]
+    assert got == sorted(want)
+    assert topk.top_k(v.filter("false"), "vec_id % 50 = 0").count() == 0 and topk.top_k(v, "vec_id < 0").count() == 0
+
+
+def test_pivots_eliminate_candidates():
+    """On clustered vectors the bounds leave a small part to be evaluated; on random ones of high dimension most."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 64)) * 100
+    clustered = np.floor(centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 64)) * 8)
+    assert topk.share_evaluated(clustered, np.arange(0, 4000, 50)) < 0.05
+    sphere = rng.normal(size=(2000, 64))
+    sphere = np.floor(256 * sphere / np.linalg.norm(sphere, axis=1)[:, None])
+    assert topk.share_evaluated(sphere, np.arange(0, 2000, 50)) > 0.5
 
 
 @pytest.mark.parametrize("frequent", [3, lm.FREQUENT])
