@@ -6,7 +6,7 @@ ratios of the quartiles. Two digests are compared by a difference score with an
 
 Defined results: null text is the empty text; an empty text has no triplets, its digest is all zero;
 equal texts have equal digests whatever their ids; texts of one to four bytes are padded with zero
-bytes to one window. Rows that repeat a doc_id follow each other in the order of their texts, null
+bytes to one window. Rows that repeat a doc_id follow each other in the order of a hash of their texts, null
 ids come last. An empty table gives an empty result.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,34 +102,27 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint")
 
 
 def in_id_order(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, echo, id, text) dealt over the cluster in ranges of ids and sorted in each; the first row of each
-    range is there once more as the last (echo 1) of the range before it, the very first one in the last range.
+    """(part, echo, id, text) dealt over the cluster in ranges of (id, hash of the text, place in the input) and sorted in each; the
+    first row of each range is there once more as the last (echo 1) of the range before it, the very first one in the last range.
 
-    So every task sees each of its rows with the row that follows it. Only ids of range starts, one for each
-    partition, pass through the driver.
+    So every task sees each of its rows with the row that follows it, and neither an id nor a text that many rows
+    share is one task's. Only the keys of range starts, one for each partition, pass through the driver.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text).alias("text"))
-    cuts = np.array(sorted(set(rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])), np.int64) if n > 1 else np.array([], np.int64)
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        parts = np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), side="right")
-        return pd.Series(np.where(ids.isna(), len(cuts), parts))
-
-    keyed = rows.withColumn("part", part_of("id"))
-    firsts = docs.select(F.col(id_col).alias("id")).withColumn("part", part_of("id")).groupBy("part").agg(F.min("id").alias("id")).orderBy("part").collect()
-    before = {f.id: firsts[i - 1].part for i, f in enumerate(firsts)}
-    if not before:
-        return keyed.select("part", F.lit(0).alias("echo"), "id", "text")
-    known = [k for k in before if k is not None]
-    first = F.col("id").isin(known) | (F.col("id").isNull() if None in before else F.lit(False))
-    echo = rows.filter(first).groupBy("id").agg(F.min("text").alias("text"))
-    moved = spark.createDataFrame([(k, v) for k, v in before.items()], "start long, part int")
-    echo = echo.join(F.broadcast(moved), F.col("id").eqNullSafe(F.col("start"))).select("part", F.lit(1).alias("echo"), "id", "text")
-    both = keyed.select("part", F.lit(0).alias("echo"), "id", "text").unionByName(echo)
-    return both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "echo", F.col("id").asc_nulls_last(), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text).alias("text"), F.xxhash64(whole_text(text)).alias("h"), F.monotonically_increasing_id().alias("m"))
+    order = (F.col("id").asc_nulls_last(), F.col("h"), F.col("m"))
+    ranged = rows.select("id", "h", "m").repartitionByRange(partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id())
+    firsts = ranged.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "m")).alias("k")).select("k.*").collect()
+    starts = sorted((r.none, r.id or 0, r.h, r.m) for r in firsts)
+
+    @F.pandas_udf("array<int>")
+    def places(none: pd.Series, ids: pd.Series, h: pd.Series, m: pd.Series) -> pd.Series:
+        keys = zip(none.tolist(), ids.tolist(), h.tolist(), m.tolist(), strict=True)
+        parts = [(bisect_right(starts, k) - 1, k) for k in keys]
+        return pd.Series([[p, (p - 1) % len(starts)] if starts[p] == k else [p] for p, k in parts], dtype=object)
+
+    dealt = rows.select("*", F.posexplode(places(F.col("id").isNull(), F.coalesce("id", F.lit(0).cast("long")), "h", "m")).alias("echo", "part"))
+    dealt = dealt.repartitionById(max(1, len(starts)), F.col("part")).sortWithinPartitions("part", "echo", *order)
+    return dealt.select("part", "echo", "id", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -4,14 +4,15 @@ Learning. From at most SAMPLE labelled training documents (near copies count onc
 hash), words and word beginnings get a weight if their document frequencies differ enough between the labels
 (likelihood ratio of LEAST_RATIO or more, for toxic ones). The LEXICON strongest are the insult pattern.
 
-Grammar. A clause, the words between two marks of punctuation, is read by five transducers composed into one:
-insults and threats give weights, a target near them adds to these, negation and reported speech before them
-take from these. Composed transitions are remembered. A document's features are the sum and the largest
-of its clause scores and the share of matched clauses; a logistic fit on the same sample turns them into a score of 0 to 1.
+Grammar. A clause, the words between two marks of punctuation, is read by five transducers composed into one: insults give
+the weight of their pattern, more if another is near; threats, verbs in all their forms, give theirs, more after a word of intent;
+a target near them adds to these, negation and reported speech before them take from these. Composed transitions are remembered.
+A document's features are the sum and the largest of its clause scores and the share of matched clauses; a logistic fit on the
+same sample turns them into a score of 0 to 1.
 
 Defined results: null or empty texts match nothing and get the score of such texts; without labels of both kinds
 the score is 0 for all; repeated rows are scored each; labels that are null or of unknown documents aren't used;
-an empty table gives no rows.
+an empty table gives no rows. keep_clean leaves all columns as they are; score adds or replaces toxicity.
 """
 
 from __future__ import annotations
@@ -29,29 +30,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Remembered, materialize, sliced, whole_text
+from quillon.llm.common import Remembered, boxed, materialize, sliced, unboxed, whole_text
 
 SAMPLE, LEXICON = 20_000, 2_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 BEGINNINGS = (4, 5, 6, 7)
 LEAST_RATIO, LEAST_WEIGHT = 24.0, 1.5
 WORDS_KEPT = 120_000
-_OTHER = ("other", 0.0)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.,;:!?\n|]+")
 
-# Fixed words of the grammar, by language.
+# Fixed words of the grammar, by language: stems of threats with the endings that form their words, and whole words.
 THREATS = {
-    "en": "kill hurt destroy burn beat smash murder",
-    "de": "töten verletzen zerstören verbrennen schlagen",
-    "fr": "tuer blesser détruire brûler frapper",
-    "es": "matar herir destruir quemar golpear",
+    "en": ("kill hurt destroy burn beat smash murder", ("", "s", "es", "ed", "ing")),
+    "de": ("töt verletz zerstör verbrenn schlag", ("e", "est", "st", "t", "et", "en", "te", "ten")),
+    "fr": ("tu bless brûl frapp tabass", ("er", "e", "es", "ons", "ez", "ent", "erai", "era", "eront")),
+    "es": ("mat quem golpe destroz machac", ("ar", "o", "as", "a", "amos", "an", "aré", "ará", "arán")),
+}
+INTENTS = {
+    "en": "will shall gonna going should must ought",
+    "de": "werde wird werden soll sollte sollten muss müssen",
+    "fr": "vais va allons vont devrait devraient dois",
+    "es": "voy va vamos van debería deberían debo",
 }
 TARGETS = {
     "en": "you your yours yourself they them he she him her these those",
     "de": "du dich dir dein ihr euch euer sie",
     "fr": "tu toi ton ta tes vous votre vos ils elles",
-    "es": "tú tu tus usted ustedes vosotros ellos ellas",
+    "es": "tú ti tus usted ustedes vosotros ellos ellas",
 }
 NEGATIONS = {
     "en": "not no never don't isn't aren't wasn't won't nobody",
@@ -65,47 +71,57 @@ REPORTS = {
     "fr": "dit disait écrit appelle affirme",
     "es": "dijo dice escribió llamó afirma",
 }
-CLASSES = {w: kind for kind, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS)) for line in words.values() for w in line.split()}
+#: Word: class. Forms that are words of another class aren't threats.
+CLASSES = {stem + ending: "threat" for stems, endings in THREATS.values() for stem in stems.split() for ending in endings}
+CLASSES |= {w: kind for kind, words in (("intent", INTENTS), ("target", TARGETS), ("report", REPORTS), ("negation", NEGATIONS)) for line in words.values() for w in line.split()}
 THREAT_WEIGHT = 1.0
-#: Words that a negation, a report or a target reaches.
+#: Words that a negation, a report, a target, an intent or an insult reaches.
 REACH = 4
-NEGATED, REPORTED, TARGETED = 0.6, 0.7, 1.25
+NEGATED, REPORTED, TARGETED, INTENDED, STACKED = 0.6, 0.7, 1.25, 1.5, 1.1
 
 
 @dataclass(frozen=True)
-class Reach:
-    """A transducer whose state is the number of words for which a class word still counts; it scales what matches in reach."""
+class Transducer:
+    """Its state is the number of words for which the last word of the class opens still counts. On a word of the classes takes it
+    puts out a factor: near where the state is above 0, otherwise 1."""
 
-    kind: str
-    factor: float
+    opens: str
+    takes: frozenset[str]
+    near: float
 
     def step(self, state: int, kind: str) -> tuple[int, float]:
-        after = REACH if kind == self.kind else max(0, state - 1)
-        return after, self.factor if state and kind in ("insult", "threat") else 1.0
+        after = REACH if kind == self.opens else max(0, state - 1)
+        return after, self.near if state and kind in self.takes else 1.0
 
 
-MODIFIERS = (Reach("negation", NEGATED), Reach("report", REPORTED), Reach("target", TARGETED))
+_HITS = frozenset(("insult", "threat"))
+INSULT, THREAT = Transducer("insult", frozenset(("insult",)), STACKED), Transducer("intent", frozenset(("threat",)), INTENDED)
+TARGET, NEGATION, REPORT = Transducer("target", _HITS, TARGETED), Transducer("negation", _HITS, NEGATED), Transducer("report", _HITS, REPORTED)
 
 
 class Grammar:
-    """The composition of the transducers; states are tuples of theirs, transitions are made when first met."""
+    """The composition of the transducers: states are tuples of theirs, the output of a word is its weight times their factors;
+    transitions are made when first met."""
 
-    def __init__(self, modifiers: tuple[Reach, ...] = MODIFIERS) -> None:
-        self.modifiers, self.moves = modifiers, {}
+    def __init__(self, parts: tuple[Transducer, ...] = (INSULT, THREAT, TARGET, NEGATION, REPORT)) -> None:
+        self.parts, self.moves = parts, {}
 
     def clause(self, symbols: list[tuple[str, float]]) -> float:
         """The score of a clause of (class, weight) symbols."""
-        state, total = (0,) * len(self.modifiers), 0.0
+        state, total = (0,) * len(self.parts), 0.0
         for kind, weight in symbols:
             move = self.moves.get((state, kind))
             if move is None:
-                steps = [m.step(s, kind) for m, s in zip(self.modifiers, state, strict=True)]
+                steps = [m.step(s, kind) for m, s in zip(self.parts, state, strict=True)]
                 move = self.moves[state, kind] = tuple(s for s, _ in steps), math.prod(f for _, f in steps)
             state, factor = move
             total += weight * factor
         return total
 
 
+_OTHER = ("other", 0.0)
+
+
 class Reader:
     """Features of texts under a lexicon (pattern: weight), patterns being words or, with a star, their beginnings."""
 
@@ -223,8 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return Model(lexicon, tuple(map(float, fit(m[:, :3], m[:, 3]))))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with their toxicity (0 to 1) in a column of that name."""
+def scorer(docs: DataFrame, model: Model):
+    """A function of texts: the score, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -234,10 +250,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield texts.map(lambda t: 0.0 if w is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, (*reader.features(t), 1.0), strict=True)))))))
 
-    return docs.withColumn("toxicity", scores(whole_text()))
+    return scores
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with their toxicity (0 to 1) in a column of that name."""
+    rows = boxed(docs, "text").withColumn("score", scorer(docs, model)(whole_text()))
+    return unboxed(rows, [c for c in docs.columns if c.lower() != "toxicity"], {"toxicity": F.col("score")})
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose toxicity is below the threshold, columns unchanged."""
-    columns = docs.columns
-    return score(docs, model).filter(F.col("toxicity") < threshold).select(*columns)
+    rows = boxed(docs, "text").withColumn("score", scorer(docs, model)(whole_text()))
+    return unboxed(rows.filter(F.col("score") < threshold), docs.columns, {})

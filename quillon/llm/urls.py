@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 8_000
@@ -21,8 +21,6 @@ TREES, DEPTH, SEED = 20, 4, 7
 SMOOTH = 20.0
 #: (verdict, host/path); the rules of the contract, as fixed values.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Suffixes that the statistics keep at most, the most frequent ones; others have the mean.
-SUFFIXES = 5_000
 FEATURES = ("n_host", "n_path", "n_url", "n_labels", "depth", "digits", "entropy", "n_params", "n_hyphens", "suffix1", "suffix2")
 
 
@@ -71,7 +69,7 @@ def lexical(rows: DataFrame, url: str = "url") -> DataFrame:
 
 
 class UrlModel:
-    """Suffix statistics (at most SUFFIXES rows a level) and the fitted trees; a constant where one kind is missing."""
+    """Suffix statistics (at most one row a level for each training URL) and the fitted trees; a constant where one kind is missing."""
 
     def __init__(self, trees, suffixes: DataFrame | None, mean: float) -> None:
         self.trees, self.suffixes, self.mean = trees, suffixes, mean
@@ -94,7 +92,10 @@ def train(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, most: in
     spark = pages.sparkSession
     rule, verdict = decided(rules)
     rows = parts(pages.select("page_id", "url")).withColumn("label", (verdict == "block").cast("double")).filter("label is not null")
-    sample = rows.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(most).select("host", "path", "url", "label").toArrow()
+    drawn = F.xxhash64("page_id", "url")
+    share = min(1.0, 1.1 * most / max(1, rows.count()))  # what is sorted at the driver is bounded too
+    rows = rows.filter(F.pmod(drawn, F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = rows.orderBy(drawn, "page_id", "url").limit(most).select("host", "path", "url", "label").toArrow()
     labels = sample["label"].to_pylist()
     if len(set(labels)) < 2:
         return UrlModel(None, None, labels[0] if labels else 0.0)
@@ -102,9 +103,8 @@ def train(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, most: in
     sample = spark.createDataFrame(sample).coalesce(1)  # a bounded sample, in a fixed order: every run grows the same trees
     known = lexical(sample)
     both = known.select(F.lit(1).alias("level"), F.col("last1").alias("suffix"), "label").unionByName(known.select(F.lit(2).alias("level"), F.col("last2").alias("suffix"), "label"))
-    shares = both.groupBy("level", "suffix").agg(F.count("*").alias("n"), ((F.sum("label") + SMOOTH * mean) / (F.count("*") + SMOOTH)).alias("share"))
-    ranked = shares.withColumn("r", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("n"), "suffix"))).filter(F.col("r") <= SUFFIXES)
-    suffixes = spark.createDataFrame(ranked.select("level", "suffix", "share").toArrow())
+    shares = both.groupBy("level", "suffix").agg(((F.sum("label") + SMOOTH * mean) / (F.count("*") + SMOOTH)).alias("share"))
+    suffixes = spark.createDataFrame(shares.toArrow())
     model = UrlModel(None, suffixes, mean)
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.with_suffixes(known)).select("features", "label")
     model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=SEED).fit(ready)
