@@ -321,8 +321,8 @@ def argmax_row(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 
 def subsample(df: DataFrame, keys: Sequence[str], n: int, unique: Sequence[str], seed: int = 0) -> DataFrame:
-    """N rows of each group without replacement, by a seeded hash, so that reruns agree."""
-    return first_per_key(df, keys, [F.xxhash64(F.lit(seed), *unique), *unique], n)
+    """N rows of each group without replacement, by a seeded hash of the unique columns, so that reruns agree."""
+    return first_per_key(df, keys, [F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in unique))), *unique], n)
 
 
 def sample_rows(df: DataFrame, p: float, seed: int) -> DataFrame:

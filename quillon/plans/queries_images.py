@@ -273,7 +273,20 @@ def a46_manders(d):
     return pixels.manders(_two(d).withColumn("l", F.abs("l")), "l", "r", 20, 10, ["fov", "frame"])
 
 
-@query(None)
+_OTSU = """
+SELECT fov, CASE WHEN lo = hi THEN lo ELSE c END AS threshold FROM (
+  SELECT *, row_number() OVER (PARTITION BY fov ORDER BY v DESC, b) AS r FROM (
+    SELECT fov, lo, hi, b, c, coalesce(w0 * (w - w0) * pow(s0 / w0 - (s - s0) / nullif(w - w0, 0), 2), -1) AS v FROM (
+      SELECT *, sum(n) OVER u AS w0, sum(n * c) OVER u AS s0, sum(n) OVER (PARTITION BY fov) AS w, sum(n * c) OVER (PARTITION BY fov) AS s FROM (
+        SELECT fov, lo, hi, b, lo + (b + 0.5) * (hi - lo) / 256 AS c, CAST(count(*) AS DOUBLE) AS n FROM (
+          SELECT fov, lo, hi, coalesce(least(floor((value - lo) / nullif((hi - lo) / 256, 0)), 255), 0) AS b FROM v_pixel
+          JOIN (SELECT fov AS f, CAST(min(value) AS DOUBLE) AS lo, CAST(max(value) AS DOUBLE) AS hi FROM v_pixel GROUP BY fov) ON f = fov)
+        GROUP BY ALL)
+      WINDOW u AS (PARTITION BY fov ORDER BY b ROWS UNBOUNDED PRECEDING)))) WHERE r = 1
+"""
+
+
+@query(_OTSU, "threshold")
 def a47_otsu(d):
     return pixels.otsu(d.v_pixel, ["fov"], "value")
 
@@ -303,7 +316,13 @@ def a57_cumulant2(d):
     return pixels.cumulant(d.v_pixel, 2)
 
 
-@query(None)
+_LAGS = ", ".join(f"lead(d, {i}) OVER w AS d{i}" for i in range(4))
+
+
+@query(
+    f"SELECT fov, y, x, avg(d0 * d1 * d2 * d3) - avg(d0 * d1) * avg(d2 * d3) - avg(d0 * d2) * avg(d1 * d3) - avg(d0 * d3) * avg(d1 * d2) AS value FROM (SELECT fov, y, x, {_LAGS} FROM (SELECT *, value - avg(value) OVER (PARTITION BY fov, y, x) AS d FROM v_pixel) WINDOW w AS (PARTITION BY fov, y, x ORDER BY frame)) WHERE d3 IS NOT NULL GROUP BY ALL",
+    "value",
+)
 def a57_cumulant4(d):
     return pixels.cumulant(d.v_pixel, 4)
 
@@ -349,7 +368,19 @@ def a61_trace_metrics(d):
     return pixels.trace_metrics(_trace(d)).select("roi", "initial_mean", "late_mean", "late_slope")
 
 
-@query(None)
+_STEPS = f"""
+WITH m AS (SELECT roi, frame, list_sort([coalesce(lag(value) OVER w, value), value, coalesce(lead(value) OVER w, value)])[2] AS med3,
+                  row_number() OVER w AS i, count(*) OVER (PARTITION BY roi) AS n FROM ({_TR}) WINDOW w AS (PARTITION BY roi ORDER BY frame)),
+d AS (SELECT * FROM (SELECT roi, med3 - lead(med3) OVER (PARTITION BY roi ORDER BY frame) AS d FROM m WHERE i > n / 2.0) WHERE d IS NOT NULL),
+c AS (SELECT *, quantile_cont(d, 0.5) OVER (PARTITION BY roi) AS c FROM d),
+s AS (SELECT roi, any_value(c) AS c, 1.4826 * quantile_cont(abs(d - c), 0.5) AS noise FROM c GROUP BY roi),
+j AS (SELECT d.roi, d FROM d JOIN s ON s.roi = d.roi WHERE d > c + 4 * noise),
+h AS (SELECT j.roi, quantile_cont(d, 0.5) AS step FROM j JOIN (SELECT roi, quantile_cont(d, 0.5) AS mid FROM j GROUP BY roi) k ON k.roi = j.roi WHERE d <= mid GROUP BY j.roi)
+SELECT s.roi, noise, coalesce(step, greatest(8 * noise, 1.0)) AS step, coalesce(step, greatest(8 * noise, 1.0)) / 2 AS threshold FROM s LEFT JOIN h ON h.roi = s.roi
+"""
+
+
+@query(_STEPS, "noise step threshold")
 def a43_step_scale(d):
     return pixels.step_scale(_trace(d))
 
@@ -521,7 +552,14 @@ def k11_mwu(d):
     return stats.mwu(d.v_assay, "status", "Date", "F", "O").select("n1", "n2", "U")
 
 
-@query(None)
+_TAIL = "CASE WHEN {0} <= 0 THEN 0.0 ELSE -ln(list_sum(list_transform(range({0}, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({1}) + (n - i) * ln(1 - ({1})))))) END"
+_PEAKS = ", ".join(
+    f"greatest({_TAIL.format('a', p)}, {_TAIL.format('b', f'1 - {p}')}) AS {name}_score"
+    for name, p in (("even", "0.5::DOUBLE"), ("totals", "(51000.0::DOUBLE / 110000)"), ("pseudo", "(51001.0::DOUBLE / 110002)"))
+)
+
+
+@query(f"SELECT peak, {_PEAKS} FROM (SELECT probe AS peak, CAST(size AS BIGINT) AS a, CAST(probe % 60 AS BIGINT) AS b, CAST(size + probe % 60 AS BIGINT) AS n FROM v_window)", "even_score totals_score pseudo_score")
 def k12_peak_scores(d):
     p = d.v_window.select(F.col("probe").alias("peak"), F.col("size").alias("a"), (F.col("probe") % 60).alias("b"), F.lit(51000).alias("total_a"), F.lit(59000).alias("total_b"))
     return stats.peak_scores(p).select("peak", "even_score", "totals_score", "pseudo_score")
@@ -631,7 +669,14 @@ def k6_rdf_lsq(d):
     return curves.rdf_lsq(px, hubs, 4)
 
 
-@query(None)
+_QPCR = """
+WITH a AS (SELECT *, value / 10 - cust / 100.0::DOUBLE AS dCp FROM v_assay), r AS (SELECT Date AS day, avg(dCp) AS m FROM a WHERE Base = 'HIGH' GROUP BY Date)
+SELECT id, concat(Base, ' ', cust % 3) AS Condition, Base AS BaseCondition, 'Xist' AS Primer, dCp, dCp - m AS ddCp, pow(2.0::DOUBLE, m - dCp) AS FoldChange
+FROM a LEFT JOIN r ON day = Date WHERE Base <> 'HIGH'
+"""
+
+
+@query(_QPCR, "dCp ddCp FoldChange")
 def k16_qpcr(d):
-    wide = d.v_assay.select("id", F.concat("Base", F.lit(" "), (F.col("cust") % 3).cast("string")).alias("Condition"), "Date", F.lit("Gapdh").alias("Primer_ref"), F.lit("HIGH").alias("FoldChange_ref"), F.col("Date").alias("FoldChange_ref_date"), (F.col("value") / 100).alias("Xist"), (F.col("cust") / 100.0).alias("Gapdh"))
+    wide = d.v_assay.select("id", F.concat("Base", F.lit(" "), (F.col("cust") % 3).cast("string")).alias("Condition"), "Date", F.lit("Gapdh").alias("Primer_ref"), F.lit("HIGH").alias("FoldChange_ref"), F.col("Date").alias("FoldChange_ref_date"), (F.col("value") / 10).alias("Xist"), (F.col("cust") / 100.0).alias("Gapdh"))
     return composites.qpcr(wide, ["Xist", "Gapdh"])

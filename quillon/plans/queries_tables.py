@@ -338,7 +338,7 @@ def o9_argmax(d):
     return tables.argmax_row(d.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], F.col("o_totalprice"), F.col("o_orderkey"))
 
 
-@query(None)
+@query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(concat('0:', o_orderkey)), o_orderkey) AS r FROM orders) WHERE r <= 20")
 def o10_subsample(d):
     return tables.subsample(d.orders, ["o_orderpriority"], 20, ["o_orderkey"]).select("o_orderpriority", "o_orderkey")
 
