@@ -3,8 +3,9 @@
 Vectors are centred on their mean m, and PIVOTS pivots far from each other are taken from a bounded sample. With q' = q - m and
 c' = c - m the score is q.c = q'.c' + m.c' + q.m, where q'.c' = (|q'|^2 + |c'|^2 - d(q', c')^2) / 2. For a query and a
 candidate the largest |d(q', p) - d(c', p)| over the pivots is a lower bound of d(q', c') and so gives an upper bound of the score.
-Pivots are looked at GROUP at a time: a candidate whose bound falls below the query's threshold isn't looked at again. What is
-left is evaluated in the order of the bounds, until the next bound is below the k-th best score.
+Pivots are looked at GROUP at a time, for as long as a group eliminates more candidates than its own cost is worth: a candidate whose
+bound falls below the query's threshold isn't looked at again. What is left is evaluated in the order of the bounds, in growing
+chunks, until the next bound is below the k-th best score.
 
 Queries meet candidates in blocks of fixed size. A first pass over one block of a bounded size gives every query k exact scores;
 the k-th is the threshold that all other blocks start from. Queries times candidates bounds is the work, as it is in any exact search
@@ -32,8 +33,10 @@ from quillon.llm.common import materialize
 PIVOTS, GROUP = 128, 16
 #: Rows that the mean and the pivots are chosen from, by a hash.
 SAMPLE = 4096
-QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
 CHUNK = 64
+#: A further group of pivots is looked at if the last one eliminated this share of what it met.
+WORTH = 0.05
 SCALE = 256
 FOUND = "query long, query_id long, vec_id long, score long"
 
@@ -72,6 +75,11 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T))
 
 
+def products(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Inner products, without the threads of a matrix library: a task has its own core only."""
+    return np.einsum("ij,j->i", rows, one)
+
+
 class Evaluated:
     """How many candidates queries met, and for how many of them the score was worked out."""
 
@@ -88,30 +96,30 @@ def best(q: np.ndarray, c: np.ndarray, mean: np.ndarray, pivots: np.ndarray, flo
     slack = 1e-6 * (bn + np.abs(more)) + 1
     for i in range(len(q)):
         known = bn + an[i] + 2 * (more + q[i] @ mean)  # twice the bound, before a distance is taken off
-        left, bound = np.arange(len(c)), None
-        low = np.zeros(len(c))
+        left, low = np.arange(len(c)), np.zeros(len(c))
         for g in range(0, len(pivots), GROUP):
-            near = np.abs(dc[g : g + GROUP, left] - dq[i, g : g + GROUP, None]).max(0)
-            low = np.maximum(low, near)
+            near = dc[g : g + GROUP] if len(left) == len(c) else dc[g : g + GROUP, left]
+            low = np.maximum(low, np.abs(near - dq[i, g : g + GROUP, None]).max(0))
             bound = (known[left] - low * low) / 2 + slack[left] + 1e-6 * an[i]
             keep = bound >= floor[i]
-            if not keep.all():
-                left, low, bound = left[keep], low[keep], bound[keep]
-        if bound is None:
-            bound = known / 2 + slack
+            few = len(left) - np.count_nonzero(keep) < WORTH * len(left)
+            left, low = left[keep], low[keep]
+            if few:
+                break
+        bound = (known[left] - low * low) / 2 + slack[left] + 1e-6 * an[i]
         own = left != same[i]
         left, bound = left[own], bound[own]
-        order = np.argsort(-bound, kind="stable")
+        order = np.argsort(-bound)
         top: list[tuple[int, int, int]] = []
         if counts:
             counts.met += len(c)
-        for at in range(0, len(order), CHUNK):
-            if bound[order[at]] < max(floor[i], -top[-1][0] if len(top) == k else -np.inf):
-                break
-            some = left[order[at : at + CHUNK]]
+        at, size = 0, CHUNK
+        while at < len(order) and bound[order[at]] >= max(floor[i], -top[-1][0] if len(top) == k else -np.inf):
+            some = left[order[at : at + size]]
+            at, size = at + size, 2 * size
             if counts:
                 counts.scored += len(some)
-            scores = (c[some] @ q[i]).astype(np.int64)
+            scores = (products(c[some], q[i]) if 4 * len(some) < len(c) else products(c, q[i])[some]).astype(np.int64)
             if len(some) > k:
                 kth = np.partition(scores, len(scores) - k)[len(scores) - k]
                 some, scores = some[scores >= kth], scores[scores >= kth]
