@@ -39,15 +39,28 @@ def drop_dead_pixels(tracks: DataFrame, keys: Sequence[str] = TRACK, most: int =
     return tracks.join(bad.distinct(), list(keys), "left_anti")
 
 
+#: Frames of a block: pairs of points of a track meet by pairs of blocks, so that a long track isn't one task's.
+FRAMES = 256
+
+
+def pairs(tracks: DataFrame, keys: Sequence[str] = TRACK, max_lag: int | None = None, every: bool = False) -> DataFrame:
+    """(keys, lag, d2): squared distances of all pairs of a track's points that are 1..rows - 1 frames apart, max_lag at most; or
+    of every pair, at any lag."""
+    at = F.floor(F.col("frame") / FRAMES)
+    size = tracks.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    most = F.lit(1 << 40) if every else F.col("_n") - 1 if max_lag is None else F.least(F.col("_n") - 1, F.lit(max_lag))
+    a = tracks.select(*keys, F.col("frame").alias("_f"), F.col("x").alias("_x"), F.col("y").alias("_y")).join(size, list(keys)).withColumn("_most", most)
+    own = F.floor(F.col("_f") / FRAMES)
+    a = a.filter("_most >= 1").withColumn("_p", own).withColumn("_q", F.explode(F.sequence(own, F.least(F.col("_hi"), F.floor((F.col("_f") + F.col("_most")) / FRAMES)))))
+    b = tracks.select(*keys, "frame", "x", "y").join(size.select(*keys, "_lo"), list(keys)).withColumn("_q", at).withColumn("_p", F.explode(F.sequence("_lo", at)))
+    both = a.join(b.drop("_lo"), [*keys, "_p", "_q"]).withColumn("lag", F.col("frame") - F.col("_f")).filter((F.col("lag") >= 1) & (F.col("lag") <= F.col("_most")))
+    d2 = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
+    return both.select(*keys, "lag", d2.alias("d2"))
+
+
 def msd(tracks: DataFrame, keys: Sequence[str] = TRACK, max_lag: int | None = None) -> DataFrame:
     """(keys, lag, msd, n_pairs): mean squared displacement over pairs exactly lag frames apart, lag up to rows - 1 and at most max_lag."""
-    size = tracks.groupBy(*keys).agg(F.count("*").alias("_n"))
-    most = F.col("_n") - 1 if max_lag is None else F.least(F.col("_n") - 1, F.lit(max_lag))
-    a = tracks.select(*keys, F.col("frame").alias("_f"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = tracks.select(*keys, "frame", "x", "y")
-    pairs = a.join(size, list(keys)).join(b, list(keys)).withColumn("lag", F.col("frame") - F.col("_f")).filter((F.col("lag") >= 1) & (F.col("lag") <= most))
-    d2 = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
-    return pairs.groupBy(*keys, "lag").agg(F.avg(d2).alias("msd"), F.count("*").alias("n_pairs"))
+    return pairs(tracks, keys, max_lag).groupBy(*keys, "lag").agg(F.avg("d2").alias("msd"), F.count("*").alias("n_pairs"))
 
 
 def fit_lags(curve: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
@@ -92,7 +105,8 @@ def aio_table(tracks: DataFrame, keys: Sequence[str] = TRACK, intensity: str = "
     steps = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: d(F.get(p, i), F.get(p, i - 1))))
     out = rows.withColumn("list_of_t", F.transform(p, lambda q: q["frame"])).withColumn("list_of_x", F.transform(p, lambda q: q["x"])).withColumn("list_of_y", F.transform(p, lambda q: q["y"]))
     out = out.withColumn("end_to_end", d(F.get(p, n - 1), F.get(p, F.lit(0)))).withColumn("mean_step", F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (n - 1))
-    out = out.withColumn("max_distance", F.array_max(F.transform(p, lambda a: F.array_max(F.transform(p, lambda b: d(a, b))))))
+    farthest = pairs(tracks, keys, every=True).groupBy(*keys).agg(F.sqrt(F.max("d2")).alias("max_distance"))
+    out = out.join(farthest, list(keys), "left").withColumn("max_distance", F.coalesce("max_distance", F.lit(0.0)))
     return out.drop("_p").join(diffusion(msd(tracks, keys, max_lag), keys), list(keys), "left")
 
 

@@ -328,3 +328,24 @@ def test_greedy_spacing_takes_the_next_free_start(spark):
                 want.append((g, s, n))
                 at = s + n + 2
     assert got == want
+
+
+def test_pairs_of_long_tracks_meet_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    rows = [(t, i, f, rng.random(), rng.random()) for t in (1, 2) for i, f in enumerate(sorted(rng.sample(range(300), 60)))] + [(3, 0, 7, 0.5, 0.5)]
+    d = spark.createDataFrame(rows, "track long, spot long, frame long, x double, y double").withColumn("value", F.col("x"))
+    monkeypatch.setattr(tracks, "FRAMES", 16)
+    want, far = {}, {3: 0.0}
+    for t, _, f, x, y in rows:
+        for u, _, g, a, b in rows:
+            if t == u and g > f:
+                d2 = (a - x) ** 2 + (b - y) ** 2
+                far[t] = max(far.get(t, 0), d2**0.5)
+                if g - f <= 59:
+                    want.setdefault((t, g - f), []).append(d2)
+    got = {(r.track, r.lag): (r.msd, r.n_pairs) for r in tracks.msd(d).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(got[k][0] == pytest.approx(sum(v) / len(v)) for k, v in want.items())
+    assert {r.track: r.max_distance for r in tracks.aio_table(d).collect()} == pytest.approx(far)
