@@ -14,7 +14,7 @@ at 0.8 differs in up to 38 of 128 bits, and coordinates of random pairs differ b
 keys of WIDTH minima each (a pair at SIMILAR is missed with probability (1 - 0.8^WIDTH)^BANDS, whatever the size of the table),
 and only pairs whose exact Jaccard similarity is SIMILAR or more are links. Sets with one key are compared pair by pair if few;
 in larger groups all meet the least, and then, block by block, all pairs that these links leave apart and whose minima don't rule
-SIMILAR out.
+SIMILAR out are compared where they meet; only of sets beyond MOST hashes some pairs are left to a join.
 
 Shingles are words of the text, ASCII letters in lower case, hashed by XXH64. Further 64-bit words of long
 fingerprints come from the same hash, mixed.
@@ -50,6 +50,9 @@ SIMILAR, BANDS, WIDTH = (4, 5), 24, 5
 AGREE = 72
 #: Rows of a group that are compared pair by pair, rows of a block, and pairs that a sweep holds at once.
 SMALL, CELL, SWEEP = 8, 4096, 1 << 22
+#: Rows of a block of near copies, hashes of a set that it holds, and how far the similarity of two such sketches may be off (six
+#: standard errors of a sample of half of them).
+BLOCK, MOST, MARGIN = 1024, 2048, 0.075
 #: What dealing a row costs, in comparisons of a pair.
 ROW_COST = 50
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -331,36 +334,62 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), text.alias("text"), F.md5(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key string, v long, keys array<long>, mins binary")
 
 
-def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of distinct shingle sets (v, node) with an exact Jaccard similarity of SIMILAR or more."""
+def shingle_sets(docs: DataFrame, distinct: DataFrame, needed: DataFrame, shingle: int, most: int | None = None) -> DataFrame:
+    """(v, hashes, whole) of the needed (v): the sorted shingle sets, or the least `most` hashes of larger ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["v", "hashes"])
+            kept = [x[:most].view(np.int64) for x in sets]
+            columns = [pa.array([_set_key(x) for x in sets], pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array([len(x) == len(y) for x, y in zip(sets, kept, strict=True)])]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "hashes", "whole"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    nodes = distinct.join(needed, "v", "left_semi").select("node.doc_id").distinct()
+    nodes = distinct.join(needed.select("v").distinct(), "v", "left_semi").select("node.doc_id").distinct()
     texts = docs.select(docs["doc_id"].cast("long"), whole_text().alias("text")).join(nodes, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "v long, hashes array<long>").groupBy("v").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = texts.mapInArrow(run, "v long, hashes array<long>, whole boolean").groupBy("v").agg(F.first("hashes").alias("hashes"), F.first("whole").alias("whole"))
+    return materialize(sets, "sets")
+
+
+def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of distinct shingle sets (v, node) with an exact Jaccard similarity of SIMILAR or more."""
+    sets = shingle_sets(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("v")), shingle)
     both = pairs.join(sets.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b")
     n = F.size(F.array_intersect("x", "y"))
     return both.filter(SIMILAR[1] * n >= SIMILAR[0] * (F.size("x") + F.size("y") - n)).select("a", "b")
 
 
-def apart(v: np.ndarray, root: np.ndarray, mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group with different roots whose minima agree in AGREE places or more."""
-    _, at, count = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.lexsort((at, count[at]))  # small components first: each row meets those behind it
-    v, root, mins = v[order], root[order], mins[order]
-    a, b = [v[:0]], [v[:0]]
-    for i in range(len(v) - 1):
-        j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        if len(j):
-            j = j[(mins[j] == mins[i]).sum(1) >= AGREE]
-            a.append(np.minimum(v[i], v[j]))
-            b.append(np.maximum(v[i], v[j]))
-    return np.concatenate(a), np.concatenate(b)
+def verdict(x: np.ndarray, y: np.ndarray, whole: bool) -> int:
+    """Of two sorted sets 1 if they are similar, 0 if not. Of sketches, the least hashes of sets, 0 or -1 if the sets have to be
+    asked: below the smaller sketch's last hash they hold an even sample of both sets, of MOST / 2 hashes or more."""
+    if not whole:
+        top = min(x[-1], y[-1])
+        x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+    n = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - n
+    if whole:
+        return int(SIMILAR[1] * n >= SIMILAR[0] * union)
+    return -int(n / union >= SIMILAR[0] / SIMILAR[1] - MARGIN)
+
+
+def apart(v: np.ndarray, root: np.ndarray, band: int, keys: np.ndarray, mins: np.ndarray, sets: list[np.ndarray], whole: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(a, b, sure) of a group: pairs in different classes that are similar, or may be. A pair is looked at in the group of the first
+    band that both have in common, once in all; pairs of one class, also of one that a pair found here makes, aren't."""
+    _, name, count = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((name, count[name]))  # small classes first: each row meets those behind it
+    parent, sizes = np.arange(len(count)), np.array([len(x) for x in sets])
+    for at, i in enumerate(order.tolist()):
+        j = order[at + 1 :]
+        j = j[name[j] != name[i]]
+        j = j[(mins[j] == mins[i]).sum(1) >= AGREE]
+        j = j[(keys[j] == keys[i]).argmax(1) == band]
+        either = ~(whole[j] & whole[i])
+        j = j[either | (SIMILAR[1] * np.minimum(sizes[j], sizes[i]) >= SIMILAR[0] * np.maximum(sizes[j], sizes[i]))]
+        for k in j.tolist():
+            a, b = _root(parent, name[i]), _root(parent, name[k])
+            if a != b and (found := verdict(sets[i], sets[k], bool(whole[i] and whole[k]))):
+                yield min(v[i], v[k]), max(v[i], v[k]), found > 0
+                if found > 0:
+                    parent[max(a, b)] = min(a, b)
 
 
 def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,24 +405,32 @@ def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small.select(F.inline(pairs)).unionByName(first).distinct(), large.select("v", "key")
 
 
-def left_apart(large: DataFrame, roots: DataFrame, mins: DataFrame) -> DataFrame:
-    """(a, b): pairs of sets with one key that different classes hold and whose minima don't rule SIMILAR out."""
+def left_apart(docs: DataFrame, distinct: DataFrame, large: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, sure): what pairs of sets with one key, which different classes hold, add to the links: enough of them to join
+    the classes. Blocks of a group hold the sets themselves, or sketches of large ones."""
     rows = large.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     several = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    rows = materialize(rows.join(several, "key", "left_semi").join(mins, "v"), "apart")
-    keys = ["key", "i", "j"]
+    rows = materialize(rows.join(several, "key", "left_semi"), "apart")
+    sets = shingle_sets(docs, distinct, rows, shingle, MOST)
+    rows = rows.join(distinct.select("v", "keys", "mins"), "v").join(sets, "v")
+    order = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in by_group(batches, keys):
-            v, root = t["v"].to_numpy(), t["root"].to_numpy()
-            least = np.frombuffer(b"".join(t["mins"].to_pylist()), np.uint8).reshape(len(v), BANDS * WIDTH)
+        for t, bounds in by_group(batches, order):
             for at, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                a, b = apart(v[at:stop], root[at:stop], least[at:stop])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                g = t.slice(at, stop - at)
+                if stop - at < 2:
+                    continue
+                keys = np.stack(g["keys"].to_numpy())
+                mins = np.frombuffer(b"".join(g["mins"].to_pylist()), np.uint8).reshape(stop - at, BANDS * WIDTH)
+                lists = [x.view(np.uint64) for x in g["hashes"].to_numpy()]
+                band = int((keys[0] == g["key"][0].as_py()).argmax())
+                found = list(apart(g["v"].to_numpy(), g["root"].to_numpy(), band, keys, mins, lists, g["whole"].to_numpy()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "sure"])
 
-    met = in_blocks(rows, "key", "v", CELL).repartition(partitions(large.sparkSession), *keys).sortWithinPartitions(*keys)
-    return met.mapInArrow(run, "a long, b long").distinct()
+    met = in_blocks(rows, "key", "v", BLOCK).repartition(partitions(large.sparkSession), *order).sortWithinPartitions(*order)
+    return met.mapInArrow(run, "a long, b long, sure boolean")
 
 
 def copies(docs: DataFrame, shingle: int) -> DataFrame:
@@ -404,9 +441,10 @@ def copies(docs: DataFrame, shingle: int) -> DataFrame:
     pairs, large = candidates(distinct.select("v", F.explode("keys").alias("key")))
     edges = materialize(similar(docs, distinct, materialize(pairs, "pairs"), shingle), "links")
     roots = components(edges).withColumnRenamed("node", "v")
-    rest = materialize(left_apart(large, roots, distinct.select("v", "mins")), "pairs")
+    rest = materialize(left_apart(docs, distinct, large, roots, shingle), "rest")
     if not rest.isEmpty():
-        roots = components(edges.unionByName(similar(docs, distinct, rest, shingle))).withColumnRenamed("node", "v")
+        asked = similar(docs, distinct, rest.filter("not sure").select("a", "b").distinct(), shingle)
+        roots = components(edges.unionByName(rest.filter("sure").select("a", "b")).unionByName(asked)).withColumnRenamed("node", "v")
     return distinct.join(roots, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("node").alias("node")).select("node.*")
 
 
