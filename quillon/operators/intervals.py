@@ -64,18 +64,25 @@ def overlap_counts(left: DataFrame, right: DataFrame, key: str, l: tuple[str, st
     return left.join(n, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def _on_target(reads: DataFrame, windows: DataFrame, bucket: int) -> DataFrame:
+    at = F.when(F.col("reverse"), F.col("end0") - 1).otherwise(F.col("start0"))
+    points = reads.select("read", "contig", at.alias("p0"), at.alias("p1"), F.when(F.col("reverse"), "+").otherwise("-").alias("strand"))
+    return range_join(points, windows.select("probe", "contig", "strand", "w0", "w1"), ("p0", "p1"), ("w0", "w1"), ["contig", "strand"], bucket).select("probe", "read")
+
+
 def on_target_reads(reads: DataFrame, windows: DataFrame, bucket: int = 1024) -> DataFrame:
     """(probe, read): 5' ends in probe windows; + probe: reverse read with end0 - 1 in it, - probe: forward read with
     start0 in it. 1-based windows meet 0-based places unchanged. reads: read, contig, start0, end0, reverse; windows: probe, contig, strand, w0, w1."""
-    at = F.when(F.col("reverse"), F.col("end0") - 1).otherwise(F.col("start0"))
-    points = reads.select("read", "contig", at.alias("p0"), at.alias("p1"), F.when(F.col("reverse"), "+").otherwise("-").alias("strand"))
-    return range_join(points, windows.select("probe", "contig", "strand", "w0", "w1"), ("p0", "p1"), ("w0", "w1"), ["contig", "strand"], bucket).select("probe", "read").distinct()
+    return _on_target(reads, windows, bucket).distinct()
 
 
-def on_target_rate(reads: DataFrame, windows: DataFrame, sample: str = "sample") -> DataFrame:
-    """Distinct on-target reads over all reads in percent, 0 without reads. A read counts once over all probes."""
-    hit = on_target_reads(reads, windows).select("read").distinct().withColumn("hit", F.lit(1))
-    out = reads.select(sample, "read").distinct().join(hit, "read", "left").groupBy(sample).agg(F.count("*").alias("n_reads"), F.count("hit").alias("n_on_target"))
+def on_target_rate(reads: DataFrame, windows: DataFrame, sample: str = "sample", bucket: int = 1024) -> DataFrame:
+    """Distinct on-target reads over all reads in percent, 0 without reads. A read counts once over all probes, in each of its
+    samples. Reads and hits meet in one grouping by read."""
+    hits = _on_target(reads, windows, bucket).select("read", F.lit(None).cast(reads.schema[sample].dataType).alias("_s"), F.lit(False).alias("_own"), F.lit(1).alias("_hit"))
+    own = reads.select("read", F.col(sample).alias("_s"), F.lit(True).alias("_own"), F.lit(0).alias("_hit"))
+    per = own.unionByName(hits).groupBy("read").agg(F.collect_set(F.when(F.col("_own"), F.struct("_s"))).alias("_in"), F.max("_hit").alias("_hit"))
+    out = per.select(F.explode("_in").alias("_in"), "_hit").groupBy(F.col("_in._s").alias(sample)).agg(F.count("*").alias("n_reads"), F.sum("_hit").alias("n_on_target"))
     return out.withColumn("rate", F.coalesce(F.try_divide(100.0 * F.col("n_on_target"), F.col("n_reads")), F.lit(0.0)))
 
 

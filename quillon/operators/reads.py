@@ -134,10 +134,10 @@ def base_at(alignments: DataFrame, snps: DataFrame) -> DataFrame:
     return asked.join(calls, ["read", "contig", "pos"], "left").withColumn("base", F.coalesce("base", F.lit("N")))
 
 
-def assign_allele(calls: DataFrame, names: tuple[str, str] = ("B6", "Cast")) -> DataFrame:
+def assign_allele(calls: DataFrame, names: tuple[str, str] = ("B6", "Cast"), keys: Sequence[str] = ("read",)) -> DataFrame:
     """(read, Allele, B6_Matches, Cast_Matches, Total_SNP_Coverage): more matches win; a tie above 0 is Ambiguous, none Noise;
-    coverage counts all but N. calls: read, base, base1, base2."""
-    n = calls.groupBy("read").agg(F.count_if(F.col("base") == F.col("base1")).alias(f"{names[0]}_Matches"), F.count_if(F.col("base") == F.col("base2")).alias(f"{names[1]}_Matches"), F.count_if(F.col("base") != "N").alias("Total_SNP_Coverage"))
+    coverage counts all but N. keys: read, and what it determines. calls: read, base, base1, base2."""
+    n = calls.groupBy(*keys).agg(F.count_if(F.col("base") == F.col("base1")).alias(f"{names[0]}_Matches"), F.count_if(F.col("base") == F.col("base2")).alias(f"{names[1]}_Matches"), F.count_if(F.col("base") != "N").alias("Total_SNP_Coverage"))
     a, b = F.col(f"{names[0]}_Matches"), F.col(f"{names[1]}_Matches")
     return n.withColumn("Allele", F.when(a > b, names[0]).when(b > a, names[1]).when(a > 0, "Ambiguous").otherwise("Noise"))
 

@@ -33,9 +33,7 @@ def a14_assign_allele(d):
 
 @query(f"SELECT sample, count(*) FILTER (b > c) AS B6, count(*) FILTER (c > b) AS Cast, count(*) FILTER (b = c AND b > 0) AS Ambiguous, count(*) FILTER (b = 0 AND c = 0) AS Noise, count(*) AS Total, coalesce(count(*) FILTER (c > b) / nullif(count(*) FILTER (c > b) + count(*) FILTER (b > c), 0)::DOUBLE, 0.0) AS Ratio FROM ({_VOTE}) GROUP BY sample", "Ratio")
 def a14_a2_allele_vote(d):
-    calls = _calls(d)
-    votes = reads.assign_allele(calls).join(calls.select("read", "sample").distinct(), "read")
-    return reads.allele_summary(votes)
+    return reads.allele_summary(reads.assign_allele(_calls(d), keys=["read", "sample"]))
 
 
 @query(f"SELECT cond AS Condition, avg(r) AS mean_ratio, CAST(sum(t) AS BIGINT) AS total FROM (SELECT k AS cond, count(*) AS t, coalesce(count(*) FILTER (c > b) / nullif(count(*) FILTER (c > b) + count(*) FILTER (b > c), 0)::DOUBLE, 0.0) AS r FROM (SELECT *, read % 5 AS k, read % 25 AS g FROM ({_VOTE})) GROUP BY k, g) GROUP BY cond", "mean_ratio")
@@ -68,7 +66,7 @@ def j10_on_target(d):
 
 @query(f"SELECT sample, count(*) AS n_reads, count(h.read) AS n_on_target, 100.0 * count(h.read) / count(*) AS rate FROM v_read r LEFT JOIN (SELECT DISTINCT read FROM ({_HIT})) h ON r.read = h.read GROUP BY sample", "rate")
 def a8_on_target_rate(d):
-    return intervals.on_target_rate(d.v_read, intervals.probe_windows(d.v_window))
+    return intervals.on_target_rate(d.v_read, intervals.probe_windows(d.v_window), bucket=64)
 
 
 @query("SELECT sample, count(*) AS raw, count(DISTINCT qname) AS dedup, count(DISTINCT qname) / count(*)::DOUBLE AS nrf FROM v_read GROUP BY sample", "nrf")
