@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +44,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def boxed(docs: DataFrame, *named: str) -> DataFrame:
-    """docs with all columns in one struct, row, beside those that an operator works on: names of its own clash with none."""
-    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(docs[c] for c in named))
+def boxed(docs: DataFrame, *named: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs with all columns, or those to keep, in one struct, row, beside those that an operator works on: names of its own clash
+    with none."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in (docs.columns if keep is None else keep))).alias("row"), *(docs[c] for c in named))
 
 
 def unboxed(rows: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:

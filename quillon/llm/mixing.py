@@ -13,6 +13,8 @@ input stay as they are, whatever their names; mix replaces those named like a re
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +53,9 @@ def water_fill(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("rest") * F.col("weight")).alias("target"))
 
 
-def _mixed(docs: DataFrame, seed: int) -> DataFrame:
+def _mixed(docs: DataFrame, seed: int, keep: Sequence[str] | None = None) -> DataFrame:
     """The rows of docs, boxed, with size, source_size, target, repetitions and taken."""
-    rows = boxed(docs, "text", "doc_id", "source").withColumn("size", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
+    rows = boxed(docs, "text", "doc_id", "source", keep=keep).withColumn("size", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
     rows = rows.withColumn("u", order_key(F.col("doc_id"), seed)).withColumn("slice", F.shiftright("u", 60 - SLICES.bit_length() + 1).cast("int"))
     rows = rows.withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     slices = rows.groupBy("key", "none", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size"))
@@ -72,9 +74,11 @@ def _mixed(docs: DataFrame, seed: int) -> DataFrame:
     return mixed.withColumn("taken", F.col("repetitions") * F.col("size"))
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, repetitions and taken (words, repeats counted), which replace columns of these names."""
-    return unboxed(_mixed(docs, seed), [c for c in docs.columns if c.lower() not in ADDED], {c: F.col(c) for c in ADDED})
+def mix(docs: DataFrame, seed: int = SEED, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs, or the columns to keep, with size, source_size, target, repetitions and taken (words, repeats counted), which replace
+    columns of these names. Texts that aren't kept aren't shuffled."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
+    return unboxed(_mixed(docs, seed, kept), kept, {c: F.col(c) for c in ADDED})
 
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:

@@ -19,7 +19,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", *mixing.ADDED)
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
