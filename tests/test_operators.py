@@ -349,3 +349,20 @@ def test_pairs_of_long_tracks_meet_in_blocks(spark, monkeypatch):
     assert {k: v[1] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
     assert all(got[k][0] == pytest.approx(sum(v) / len(v)) for k, v in want.items())
     assert {r.track: r.max_distance for r in tracks.aio_table(d).collect()} == pytest.approx(far)
+
+
+def test_annular_profiles_with_and_without_overlap(spark):
+    points = [(i, float(i % 13) / 2, float(i % 7) / 3, i % 5 + 1) for i in range(80)]
+    hubs = spark.createDataFrame([(i, 0, 1, x, y) for i, x, y, _ in points[:9]], "hub long, fov long, nucleus long, x double, y double")
+    px = spark.createDataFrame([(0, 1, x, y, v) for _, x, y, v in points], "fov long, nucleus long, x double, y double, value long")
+    for width, step in ((0.5, 0.5), (1.0, 0.5)):
+        got = {(r.hub, r.bin): (r.n_pixels, r.total, r.local_ref, r.local_disc) for r in spatial.annular_rdf(hubs, px, width, step, 3, 0.75).collect()}
+        want = {}
+        for h, x, y, _ in points[:9]:
+            near = [(((a - x) ** 2 + (b - y) ** 2) ** 0.5, v) for _, a, b, v in points]
+            local, disc = [v for d, v in near if d < 3], [v for d, v in near if d <= 0.75]
+            for k in range(int((3 - width) / step) + 1):
+                own = [v for d, v in near if k * step <= d < k * step + width]
+                if own:
+                    want[h, k] = (len(own), sum(own), pytest.approx(sum(local) / len(local)), pytest.approx(sum(disc) / len(disc)))
+        assert got == want
