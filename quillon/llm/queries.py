@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, with SQL where it can say the same."""
+"""The queries of the operators and of the pipeline, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, fingerprints, lines, lm, mixing, secrets, simhash, topk, toxicity, urls
+from quillon.llm import bpe, fingerprints, lines, lm, mixing, resampling, secrets, simhash, spelling, tokencounts, topk, toxicity, urls
 from quillon.llm.common import table
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY, COUNTED = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +79,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_topk, op4_lm, op5_secrets, op6_toxicity, op7_lines, op8_bpe, op9_simhash, op10_urls, pipeline)
+    f.__name__: f
+    for f in (
+        op1_fingerprints,
+        op2_mixing,
+        op3_topk,
+        op4_lm,
+        op5_secrets,
+        op6_toxicity,
+        op7_lines,
+        op8_bpe,
+        op9_simhash,
+        op10_urls,
+        op11_spelling,
+        op12_tokencounts,
+        op13_resampling,
+        pipeline,
+    )
 }
 
 _OP2 = r"""
@@ -112,4 +140,69 @@ o AS (SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad,
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_bad AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM o
 """
 
-ORACLE = {"op2_mixing": _OP2, "op3_topk": _OP3, "op7_lines": _OP7}
+#: The table of the crc32 by its rule, and the crc32 of a text's UTF-8 bytes, for SQL that has none.
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM range(256) t(i))"""
+
+
+def _crc(text: str) -> str:
+    at_byte = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: CAST(concat('0x', substr(hex({text}), i, 2)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {at_byte}), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE.strip()},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), {_AZ}) AS run
+  FROM documents),
+hashed AS (
+  SELECT run, k, {_crc("key")} AS h
+  FROM (SELECT run, concat(doc, ':', run) AS key, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY doc, run), crc_table),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+less AS (
+  SELECT DISTINCT word, i, concat(substr(word, 1, i), substr(word, i + 2)) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT x.word AS a, y.word AS b FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, y.word FROM words x JOIN less y ON x.word = y.rest
+  UNION SELECT y.word, x.word FROM words x JOIN less y ON x.word = y.rest),
+near AS (
+  SELECT a AS word, count(*) AS n_near, max(w.n) AS best, arg_min(b, (-w.n, b)) AS form
+  FROM pairs JOIN words w ON pairs.b = w.word GROUP BY a),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 10 * n THEN form END AS form, CASE WHEN best >= 10 * n THEN best END AS form_n
+  FROM words LEFT JOIN near ON words.word = near.word),
+steps AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN forms f ON s.next = f.word)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms f JOIN steps s ON f.word = s.word WHERE s.next IS NULL
+"""
+
+
+_OP13 = rf"""
+WITH {_CRC_TABLE.strip()},
+words AS (
+  SELECT kind, id, row, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM (SELECT 's' AS kind, doc_id AS id, row_number() OVER () AS row, text FROM documents UNION ALL SELECT 't', NULL, NULL, text FROM benchmark)),
+buckets AS (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc_table),
+placed AS (SELECT kind, id, row, bucket FROM words JOIN buckets ON words.word = buckets.word),
+totals AS (SELECT bucket, CAST(count(*) FILTER (kind = 's') AS DOUBLE) AS s, CAST(count(*) FILTER (kind = 't') AS DOUBLE) AS t FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM totals),
+rows AS (SELECT doc_id, row_number() OVER () AS row FROM documents),
+docs AS (SELECT row, count(*) AS n, sum(gain) AS weight FROM placed JOIN gains ON placed.bucket = gains.bucket WHERE kind = 's' GROUP BY row),
+scored AS (
+  SELECT doc_id, rows.row, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('2024:', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 8)) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS noise
+  FROM rows LEFT JOIN docs ON rows.row = docs.row),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, row) AS place, count(*) FILTER (n_features >= 20) OVER () AS n_long
+  FROM scored)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_features >= 20 AND place <= 10 * n_long // 100 THEN place END AS rank FROM ranked
+"""
+
+ORACLE = {"op2_mixing": _OP2, "op3_topk": _OP3, "op7_lines": _OP7, "op11_spelling": _OP11, "op13_resampling": _OP13}
