@@ -79,6 +79,19 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
             yield b.slice(i, j - i)
 
 
+#: Keys that make up one in so many of all rows are hot: so many keys at most, however large the input is.
+FREQUENT = 1 << 16
+
+
+def meet(rows: DataFrame, facts: DataFrame, keys: Sequence[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with facts, which has one row for each of its keys and in n how many of the total rows show it.
+    Hot keys are broadcast, FREQUENT rows at most; the others are dealt by their keys, of which none is one task's burden."""
+    hot = F.col("n") * FREQUENT >= total
+    often, seldom = F.broadcast(facts.filter(hot).drop("n")), facts.filter(~hot).drop("n")
+    rest = rows.join(often, list(keys), "left_anti").join(seldom, list(keys), how)
+    return rows.join(often, list(keys)).unionByName(rest)
+
+
 class Remembered:
     """A cache of a bounded size in two generations: when the newer one is full it becomes the older one, and what is
     asked for again moves up, so frequent keys stay."""

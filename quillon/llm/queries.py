@@ -129,11 +129,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 _OP7 = """
 WITH l AS (
-  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, coalesce('s' || source, 'n') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
 blank AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS chars),
-sites AS (SELECT text, min(coalesce('s' || source, 'n')) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
-spread AS (SELECT line FROM (SELECT site, unnest(string_split(text, chr(10))) AS line FROM sites), blank
-           WHERE trim(line, chars) <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+spread AS (SELECT line FROM l, blank WHERE trim(line, chars) <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
 m AS (SELECT l.doc_id, l.line, l.i, s.line IS NOT NULL AS bad FROM l LEFT JOIN spread s ON l.line = s.line),
 d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad), '') AS kept FROM m GROUP BY doc_id),
 o AS (SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad, 0) AS n_bad, coalesce(kept, '') AS kept FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id)

@@ -21,14 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, whole_text
+from quillon.llm.common import materialize, meet, whole_text
 from quillon.operators.ordering import numbered
 
 #: Runs of digits, ASCII letters and whatever isn't ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ORDER, BUCKETS = 1, 10_000
 LEAST_WORDS, PERCENT, SEED = 20, 10, 2024
-FREQUENT = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,13 +35,18 @@ def bucket(feature: Column, buckets: int) -> Column:
     return (F.crc32(feature.cast("binary")) % buckets).cast("int")
 
 
-def runs(words: Column, order: int, buckets: int, inside: Column | None = None) -> Column:
-    """Buckets of the runs of 2 to order words, or those that begin among the first words only."""
+def _gram(words: Column, n: int, buckets: int):
+    """The bucket of n words from a place on; a function of the place alone."""
+    return lambda i: bucket(F.array_join(F.slice(words, i, n), " "), buckets)
+
+
+def runs(words: Column, order: int, buckets: int) -> Column:
+    """Buckets of the runs of 2 to order words."""
     out = F.array().cast("array<int>")
     for n in range(2, order + 1):
         last = F.size(words) - n + 1
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), last if inside is None else F.least(last, inside)))
-        found = F.transform(starts, lambda i, n=n: bucket(F.array_join(F.slice(words, i, n), " "), buckets))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), last))
+        found = F.transform(starts, _gram(words, n, buckets))
         out = F.concat(out, F.when(last >= 1, found).otherwise(F.array().cast("array<int>")))
     return out
 
@@ -61,12 +65,11 @@ def across(lines: Column, order: int, buckets: int) -> Column:
         line = F.get(lines, i - 1)
         head = F.slice(line, F.greatest(F.lit(1), F.size(line) - order + 2), order - 1)
         tail = F.slice(F.flatten(F.slice(lines, i + 1, order - 1)), 1, order - 1)
-        found = F.array().cast("array<int>")
+        found, joined = F.array().cast("array<int>"), F.concat(head, tail)
         for n in range(2, order + 1):
-            begin = F.sequence(F.greatest(F.lit(1), F.size(head) - n + 2), F.size(head))
-            whole = F.filter(begin, lambda j, n=n: j + n - 1 <= F.size(head) + F.size(tail))
-            joined = F.concat(head, tail)
-            found = F.concat(found, F.transform(whole, lambda j, n=n: bucket(F.array_join(F.slice(joined, j, n), " "), buckets)))
+            first, last = F.greatest(F.lit(1), F.size(head) - n + 2), F.least(F.size(head), F.size(joined) - n + 1)
+            grams = F.transform(F.sequence(first, F.greatest(first, last)), _gram(joined, n, buckets))
+            found = F.concat(found, F.when(first <= last, grams).otherwise(F.array().cast("array<int>")))
         return found
 
     ends = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lines) - 1))
@@ -87,8 +90,8 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, text: str = "text", order: int = ORDER, buckets: int = BUCKETS) -> None:
         lines = docs.select(F.explode(_lines(docs, text)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-        words = lines.select(F.unhex(F.md5("line")).alias("key"), "n", _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
-        numbers = words.select("key", "n", F.size("words").alias("words"), features(F.col("words"), order, buckets).alias("buckets"))
+        words = lines.select(F.unhex(F.md5("line")).alias("key"), "n", _words(F.col("line")).alias("said")).filter(F.size("said") > 0)
+        numbers = words.select("key", "n", F.size("said").alias("words"), features(F.col("said"), order, buckets).alias("buckets"))
         self.lines, self.crossing = materialize(numbers, "lines"), None
         if order > 1:
             by_line = F.filter(F.transform(_lines(docs, text), _words), lambda w: F.size(w) > 0)
@@ -125,7 +128,6 @@ def weights(docs: DataFrame, corpus: Corpus, gain: list[int], text: str = "text"
     lines = corpus.lines.select("key", "n", "words", F.size("buckets").alias("features"), summed(F.col("buckets"), gain).alias("gain"))
     lines = materialize(lines, "gains")
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = F.broadcast(lines.filter(F.col("n") * FREQUENT >= total).drop("n"))  # FREQUENT rows at most
     named = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), _lines(docs, text).alias("lines"))
     if order > 1:
         crossing = across(F.filter(F.transform("lines", _words), lambda w: F.size(w) > 0), order, buckets)
@@ -139,9 +141,7 @@ def weights(docs: DataFrame, corpus: Corpus, gain: list[int], text: str = "text"
     numbers = ["row", "doc_id", "words", "features", "gain"]
     itself = parts.filter("key is null").withColumn("words", F.lit(0)).select(numbers)
     shown = parts.filter("key is not null").select("row", "doc_id", "key")
-    hot = shown.join(often, "key").select(numbers)
-    rest = shown.join(often, "key", "left_anti").join(lines.drop("n"), "key").select(numbers)
-    every = itself.unionByName(hot).unionByName(rest).groupBy("row", "doc_id")
+    every = itself.unionByName(meet(shown, lines, ["key"], total).select(numbers)).groupBy("row", "doc_id")
     return every.agg(F.sum("words").alias("n_words"), F.sum("features").cast("long").alias("n_features"), F.sum("gain").alias("weight"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from quillon.llm import bpe, fingerprints, lines, lm, mixing, secrets, simhash, topk, toxicity, urls
+from quillon.llm import bpe, common, fingerprints, lines, lm, mixing, secrets, simhash, topk, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 40_000
@@ -393,15 +393,52 @@ def test_the_threshold_of_sites_is_exact(spark):
     assert got[0] == ["own 0", "nine", " \t\r "] and got[3] == ["own 3", " \t\r "] and got[20] == ["again 0", "nine", "else"]
 
 
-def test_copied_texts_are_not_boilerplate(spark):
-    """A text on many sites counts once; pages that are nothing but boilerplate lose it."""
+def test_copied_texts_are_not_boilerplate_if_asked(spark):
+    """copied False: what only copies of one text show stays; pages that are nothing but boilerplate lose it either way."""
     rows = [(i, f"own text {i} of some length\nmenu line\nfoot line", f"s{i}") for i in range(12)]
     rows += [(20, "menu line\nfoot line\nx", "s0"), (21, "foot line\nmenu line", "s1")]
     rows += [(100 + i, "a story that many sites copy whole\nand its end\nmenu line", f"s{i}") for i in range(20)]
-    got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[20] == ("x", 2) and got[21] == ("", 2)
-    assert all(got[i] == (f"own text {i} of some length", 2) for i in range(12))
-    assert all(got[100 + i] == ("a story that many sites copy whole\nand its end", 1) for i in range(20))
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for copied, story in ((True, ("", 3)), (False, ("a story that many sites copy whole\nand its end", 1))):
+        got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip(table, copied=copied).collect()}
+        assert got[20] == ("x", 2) and got[21] == ("", 2)
+        assert all(got[i] == (f"own text {i} of some length", 2) for i in range(12))
+        assert all(got[100 + i] == story for i in range(20))
+
+
+@pytest.mark.parametrize("copied", [True, False])
+def test_a_mirror_site_hides_no_boilerplate(spark, copied):
+    """A site whose name sorts first holds copies of all pages: the menu is still on as many sites as show it."""
+    pages = [(i, f"own text {i} of some length\nmenu line", f"s{i:02d}") for i in range(20)]
+    mirror = [(100 + i, t, "a mirror") for i, t, _ in pages]
+    got = lines.strip(spark.createDataFrame(pages + mirror, "doc_id long, text string, source string"), copied=copied).collect()
+    assert sum(r.n_removed for r in got) == 40 and all("menu" not in r.text for r in got)
+
+
+@pytest.mark.parametrize("frequent", [1 << 16, 3])
+def test_sites_by_brute_force(spark, monkeypatch, frequent):
+    """Sites of each line counted one by one, whatever is broadcast, with repeated lines, texts and rows."""
+    import random
+    from collections import defaultdict
+
+    monkeypatch.setattr(common, "FREQUENT", frequent)
+    rng = random.Random(11)
+    pool = [f"line {i}" for i in range(40)] + ["", " \t"]
+    texts = ["\n".join(rng.choices(pool[: rng.choice((4, 20, 42))], k=rng.randrange(8))) for _ in range(120)]
+    rows = [(i, rng.choice(texts), rng.choice([None, "", *(f"s{j}" for j in range(rng.choice((3, 14))))])) for i in range(500)]
+    rows += rows[:20] + [(900 + i, None, f"s{i}") for i in range(30)]
+    sites, shown = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        for x in t.split("\n") if t is not None else ():
+            if x.strip(lines.BLANK):
+                sites[x].add(s)
+                shown[x].add(t)
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for least, copied in ((10, True), (4, False)):
+        bad = {x for x in sites if len(sites[x]) >= least and (copied or len(shown[x]) > 1)}
+        assert 3 < len(bad) < len(sites)
+        want = Counter((i, t if t is None else "\n".join(x for x in t.split("\n") if x not in bad), 0 if t is None else sum(x in bad for x in t.split("\n"))) for i, t, _ in rows)
+        assert Counter((r.doc_id, r.text, r.n_removed) for r in lines.strip(table, least, copied).collect()) == want
 
 
 def test_bpe_round_trip_and_library(spark, docs, none):
