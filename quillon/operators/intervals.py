@@ -2,6 +2,7 @@
 
 range_join deals both sides by buckets of a fixed width: each interval goes to the buckets it touches, buckets meet by
 an equi-join, and the true condition filters. A pair is kept only in the first bucket that both touch, so it comes once.
+Buckets that hold very many rows, as under one amplicon, are cut into blocks of both sides.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import initiation_window
+from quillon.operators.skew import BLOCK, skewed_join
 from quillon.plans.storage import materialize
 
 
@@ -29,23 +31,38 @@ def bucket_width(*sides: tuple[DataFrame, tuple[str, str]]) -> tuple[int, bool]:
     return width, most > LONG * width
 
 
-def range_join(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], on: Sequence[str] = (), bucket: int | None = 1024, how: str = "inner") -> DataFrame:
+def _bucketed(side: DataFrame, span: tuple[str, str], width: int) -> DataFrame:
+    """A side with _bucket, once for each bucket that its intervals touch."""
+    return side.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor(F.col(span[1]) / width))))
+
+
+def range_join(
+    left: DataFrame,
+    right: DataFrame,
+    l: tuple[str, str],
+    r: tuple[str, str],
+    on: Sequence[str] = (),
+    bucket: int | None = 1024,
+    how: str = "inner",
+    block: int | None = BLOCK,
+) -> DataFrame:
     """Closed intervals [l0, l1] and [r0, r1] that overlap, with equal columns on (as inner, left_semi or left_anti).
 
     Columns of the two sides must have different names but for on. Intervals with end before start or null ends meet nothing.
-    bucket None: the width is measured on the intervals, and pairs with a long one meet in wider buckets of their own.
+    bucket None: the width is measured on the intervals, and pairs with a long one meet in wider buckets of their own. A bucket with
+    more than a block of rows on a side is cut (see skew.py); block None: none is.
     """
     if how != "inner":
-        marked = left.withColumn("_row", F.struct(*left.columns))
+        marked = materialize(left.withColumn("_row", F.monotonically_increasing_id()), "marked")
+        ends = [F.col(c).alias(f"_l{i}") for i, c in enumerate(l)]
         keys = right.select(*on, *(F.col(c).alias(f"_r{i}") for i, c in enumerate(r)))
-        hits = range_join(marked.select("_row", *on, *(F.col(c).alias(f"_l{i}") for i, c in enumerate(l))), keys, ("_l0", "_l1"), ("_r0", "_r1"), on, bucket).select("_row").distinct()
-        return marked.join(hits, marked["_row"] == hits["_row"], how).select(*left.columns)
+        hits = range_join(marked.select("_row", *on, *ends), keys, ("_l0", "_l1"), ("_r0", "_r1"), on, bucket, block=block)
+        return marked.join(hits.select("_row").distinct(), "_row", how).select(*left.columns)
     a, b = (d.filter(F.col(p[0]) <= F.col(p[1])) for d, p in ((left, l), (right, r)))
     width, some_long = (bucket, False) if bucket else bucket_width((a, l), (b, r))
 
     def meet(x: DataFrame, y: DataFrame, w: int) -> DataFrame:
-        buckets = lambda p: F.explode(F.sequence(F.floor(F.col(p[0]) / w), F.floor(F.col(p[1]) / w)))
-        both = x.withColumn("_bucket", buckets(l)).join(y.withColumn("_bucket", buckets(r)), [*on, "_bucket"])
+        both = skewed_join(_bucketed(x, l, w), _bucketed(y, r, w), [*on, "_bucket"], block)
         hit = (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))
         first = F.greatest(F.floor(F.col(l[0]) / w), F.floor(F.col(r[0]) / w)) == F.col("_bucket")
         return both.filter(hit & first).drop("_bucket")
