@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.ordering import quantiles
+from quillon.operators.ordering import quantiles, with_quantiles
 
 
 def mip(pixels: DataFrame, keys: Sequence[str] = ("fov", "channel")) -> DataFrame:
@@ -313,11 +313,12 @@ def scale_check(hubs: DataFrame, a: str, b: str, low: float = 0.01, high: float
 
 def pct_norm(df: DataFrame, keys: Sequence[str], value: str, lo: float = 1, hi: float = 99) -> DataFrame:
     """clip((v - Plo) / (Phi - Plo), 0, 1); flat groups give 0."""
-    cuts = df.groupBy(*keys).agg(F.percentile(value, [lo / 100, hi / 100]).alias("_p"))
+    cuts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    cuts = with_quantiles(cuts, df, keys, F.col(value), {"_lo": lo / 100, "_hi": hi / 100}).drop("_n")
     out = df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))
-    a, b = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
+    a, b = F.col("_lo"), F.col("_hi")
     scaled = F.least(F.greatest(F.try_divide(F.col(value) - a, b - a), F.lit(0.0)), F.lit(1.0))
-    return out.withColumn("scaled", F.when(b > a, scaled).otherwise(0.0)).drop("_p")
+    return out.withColumn("scaled", F.when(b > a, scaled).otherwise(0.0)).drop("_lo", "_hi")
 
 
 def minmax(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

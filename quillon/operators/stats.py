@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quillon.operators.ordering import quantiles, running
+from quillon.operators.ordering import quantiles, ranked, running, with_quantiles
 
 
 def finite(c: Column) -> Column:
@@ -21,7 +21,8 @@ def finite(c: Column) -> Column:
 def safe_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """N, mean, median, population std, q90 and max of finite values."""
     v = df.withColumn("_v", finite(F.col(value).cast("double")))
-    return v.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.percentile("_v", 0.5).alias("median"), F.stddev_pop("_v").alias("std"), F.percentile("_v", 0.9).alias("q90"), F.max("_v").alias("max"))
+    out = v.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.max("_v").alias("max"))
+    return with_quantiles(out, v, keys, F.col("_v"), {"median": 0.5, "q90": 0.9})
 
 
 def counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -31,12 +32,17 @@ def counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def detector_summary(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Count, median and q90 of measures; null keys are a group."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *(e for m in measures for e in (F.percentile(m, 0.5).alias(f"{m}_median"), F.percentile(m, 0.9).alias(f"{m}_q90"))))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    for m in measures:
+        out = with_quantiles(out, df, keys, F.col(m), {f"{m}_median": 0.5, f"{m}_q90": 0.9})
+    return out
 
 
 def screen_summary(df: DataFrame, keys: Sequence[str], value: str, flag: str, first: str, order: str) -> DataFrame:
     """Count, the first of a column in order, sum of flags, median, population std, q90, max."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(first, order).alias(first), F.count_if(F.col(flag)).alias("n_flagged"), F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("std"), F.percentile(value, 0.9).alias("q90"), F.max(value).alias("max"))
+    n = [F.count("*").alias("n"), F.min_by(first, order).alias(first), F.count_if(F.col(flag)).alias("n_flagged")]
+    out = df.groupBy(*keys).agg(*n, F.stddev_pop(value).alias("std"), F.max(value).alias("max"))
+    return with_quantiles(out, df, keys, F.col(value), {"median": 0.5, "q90": 0.9})
 
 
 def control_threshold(ctrl: DataFrame, value: str, q: float | None = 0.95, manual: float | None = None) -> DataFrame:
@@ -80,30 +86,31 @@ def hist2d(df: DataFrame, x: str, y: str, n: int = 5) -> DataFrame:
 def robust_sigma(df: DataFrame, keys: Sequence[str], value: str, rounds: int = 0, limit: float = 3.0) -> DataFrame:
     """(keys, sigma): 1.4826 times the median absolute deviation; up to three rounds drop what is beyond limit sigma first."""
     now = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    median = lambda d, c, name: with_quantiles(d.groupBy(*keys).agg(F.count("*").alias("_n")), d, keys, F.col(c), {name: 0.5}).drop("_n")
+    meet = lambda d, one: d.join(one, list(keys)) if keys else d.crossJoin(F.broadcast(one))
     for i in range(rounds + 1):
-        mid = now.groupBy(*keys).agg(F.percentile("_v", 0.5).alias("_m"))
-        dev = now.join(mid, list(keys)) if keys else now.crossJoin(F.broadcast(mid))
-        dev = dev.withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
-        sigma = dev.groupBy(*keys).agg((1.4826 * F.percentile("_d", 0.5)).alias("sigma"))
+        dev = meet(now, median(now, "_v", "_m")).withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
+        sigma = median(dev, "_d", "_s").withColumn("sigma", 1.4826 * F.col("_s")).drop("_s")
         if i == rounds:
             return sigma
-        joined = dev.join(sigma, list(keys)) if keys else dev.crossJoin(F.broadcast(sigma))
-        now = joined.filter((F.col("sigma") == 0) | (F.col("_d") <= limit * F.col("sigma"))).select(*keys, "_v")
+        now = meet(dev, sigma).filter((F.col("sigma") == 0) | (F.col("_d") <= limit * F.col("sigma"))).select(*keys, "_v")
     return now
 
 
 def dispersion(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, gini, cv, robust): sorted-rank Gini, population std over mean, (P90 - P10) / median if that is positive; a
-    negative value or a zero mean is an error."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_r", rank)
-    mean = F.avg("_v")
-    bad = (F.min("_v") < 0) | (mean == 0)
-    n = F.count("*")
-    gini = 2 * F.sum(F.col("_r") * F.col("_v")) / (n * F.sum("_v")) - (n + 1) / n
-    q = F.percentile("_v", [0.1, 0.5, 0.9])
-    robust = F.when(F.get(q, F.lit(1)) > 0, (F.get(q, F.lit(2)) - F.get(q, F.lit(0))) / F.get(q, F.lit(1)))
-    return v.groupBy(*keys).agg(F.when(bad, F.raise_error(F.lit("negative values or zero mean")).cast("double")).otherwise(gini).alias("gini"), (F.stddev_pop("_v") / F.nullif(mean, F.lit(0.0))).alias("cv"), robust.alias("robust"))
+    negative value or a zero mean is an error. Ranks of equal values are summed at once."""
+    v = F.col(value).cast("double")
+    base = df.groupBy(*keys).agg((F.min(v) < 0).alias("_low"), F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"), F.count(v).alias("_n"), F.sum(v).alias("_sum"))
+    ranks = F.col("_c") * F.col("_before") + F.col("_c") * (F.col("_c") + 1) / 2
+    weighted = ranked(df, keys, v).groupBy(*keys).agg(F.sum(ranks * F.col("_v")).alias("_w"))
+    out = base.select("*", F.struct(*keys).alias("_k")).join(weighted.select(F.struct(*keys).alias("_k"), "_w"), "_k", "left").drop("_k") if keys else base.crossJoin(F.broadcast(weighted))
+    out = with_quantiles(out, df, keys, v, {"_p10": 0.1, "_p50": 0.5, "_p90": 0.9})
+    n = F.col("_n")
+    gini = 2 * F.col("_w") / (n * F.col("_sum")) - (n + 1) / n
+    bad = F.raise_error(F.lit("negative values or zero mean")).cast("double")
+    robust = F.when(F.col("_p50") > 0, (F.col("_p90") - F.col("_p10")) / F.col("_p50"))
+    return out.select(*keys, F.when(F.col("_low") | (F.col("_mean") == 0), bad).otherwise(gini).alias("gini"), (F.col("_std") / F.nullif("_mean", F.lit(0.0))).alias("cv"), robust.alias("robust"))
 
 
 def mean_ci(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -115,8 +122,8 @@ def mean_ci(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def box_stats(df: DataFrame, condition: str, columns: Sequence[str]) -> DataFrame:
     """Quartiles by column and condition."""
     long = df.select(condition, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([condition], list(columns), "column", "v")
-    q = F.percentile("v", [0.25, 0.5, 0.75])
-    return long.groupBy(condition, "column").agg(*(F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("q1", "q2", "q3"))))
+    out = long.groupBy(condition, "column").agg(F.count("*").alias("_n"))
+    return with_quantiles(out, long, [condition, "column"], F.col("v"), {"q1": 0.25, "q2": 0.5, "q3": 0.75}).drop("_n")
 
 
 def calibrate(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
