@@ -77,18 +77,6 @@ def test_links_close_a_gap(spark):
     assert max(r.frame_difference for r in tracks.edges(got).collect()) == 2
 
 
-def test_assignment_is_cheapest():
-    import itertools
-
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    for n in (1, 2, 3, 5):
-        c = rng.random((n, n))
-        best = min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
-        assert math.isclose(c[np.arange(n), composites.assignment(c)].sum(), best)
-
-
 def test_range_join_no_nested_loop(spark):
     a = spark.createDataFrame([(1, 5, 9), (2, 0, 5000), (3, 7, 6), (4, None, 5)], "i long, a0 long, a1 long")
     b = spark.createDataFrame([(1, 9, 9), (2, 10, 12), (3, 4000, 9000)], "j long, b0 long, b1 long")
