@@ -19,6 +19,8 @@ from quillon.plans.storage import materialize
 
 #: Intervals of more than so many buckets meet in buckets so many times as wide.
 LONG = 16
+#: Letters or places of a piece of a sequence or a window.
+PIECE = 1024
 
 
 def bucket_width(*sides: tuple[DataFrame, tuple[str, str]]) -> tuple[int, bool]:
@@ -180,14 +182,24 @@ def probe_status(profile: DataFrame, least: int = 3, above: int = 2) -> DataFram
 
 
 def coverage(reads: DataFrame, windows: DataFrame) -> DataFrame:
-    """(probe, pos, depth) where it changes or not, dense over [w0, w1): reads count on [max(w0, start0), min(w1, end0))."""
+    """(probe, pos, depth) where it changes or not, dense over [w0, w1): reads count on [max(w0, start0), min(w1, end0)).
+    Changes of depth are summed by blocks of PIECE places first; a block starts from the sum of those before it."""
     hit = range_join(reads.select("contig", "start0", (F.col("end0") - 1).alias("last0")), windows.select("probe", "contig", "w0", (F.col("w1") - 1).alias("w_last")), ("start0", "last0"), ("w0", "w_last"), ["contig"])
     up = hit.select("probe", F.greatest("w0", "start0").alias("pos"), F.lit(1).alias("d"))
     down = hit.select("probe", F.least(F.col("w_last"), F.col("last0")).alias("pos"), F.lit(-1).alias("d")).withColumn("pos", F.col("pos") + 1)
     events = up.unionByName(down).groupBy("probe", "pos").agg(F.sum("d").alias("d"))
-    dense = windows.filter("w1 > w0").select("probe", F.explode(F.sequence(F.col("w0"), F.col("w1") - 1)).alias("pos")).join(events, ["probe", "pos"], "left")
-    running = Window.partitionBy("probe").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return dense.select("probe", "pos", F.sum(F.coalesce("d", F.lit(0))).over(running).alias("depth"))
+    block = F.sequence(F.lit(0), F.floor((F.col("w1") - F.col("w0") - 1) / PIECE).cast("int"))
+    blocks = windows.filter("w1 > w0").select("probe", "w0", "w1", F.explode(block).alias("_block"))
+    first = windows.select("probe", F.col("w0").alias("_w0"))
+    events = events.join(first, "probe").withColumn("_block", F.floor((F.col("pos") - F.col("_w0")) / PIECE).cast("int")).drop("_w0")
+    sums = events.groupBy("probe", "_block").agg(F.sum("d").alias("_d"))
+    earlier = Window.partitionBy("probe").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for PIECE places
+    blocks = blocks.join(sums, ["probe", "_block"], "left").withColumn("_offset", F.coalesce(F.sum("_d").over(earlier), F.lit(0)))
+    start = F.col("w0") + F.col("_block") * PIECE
+    places = F.explode(F.sequence(start, F.least(start + PIECE, F.col("w1")) - 1)).alias("pos")
+    dense = blocks.select("probe", "_block", "_offset", places).join(events.select("probe", "pos", "d"), ["probe", "pos"], "left")
+    running = Window.partitionBy("probe", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return dense.select("probe", "pos", (F.col("_offset") + F.sum(F.coalesce("d", F.lit(0))).over(running)).alias("depth"))
 
 
 def common_junctions(junctions: DataFrame, template: DataFrame) -> DataFrame:
@@ -249,9 +261,6 @@ def probe_windows(probes: DataFrame, n: int = 15) -> DataFrame:
     return probes.withColumn("_w", w).filter("_w is not null").withColumn("w0", F.col("_w.start")).withColumn("w1", F.col("_w.end")).drop("_w")
 
 
-PIECE = 1024
-
-
 def pieces(df: DataFrame, text: str, more) -> DataFrame:
     """df with _start (from 0) and _piece for text: runs of PIECE letters with more of what follows, so that later work on
     places walks short strings."""
