@@ -3,7 +3,7 @@
 For each prefix of a piece exactly one vocabulary token can be the last token of its encoding: the token that
 ends there, whose own start is the end of a prefix with a last token the pair agrees with. Two tokens agree if merging their bytes
 gives back the two. The table of last tokens is all that is stored: reading it backwards gives the encoding, an
-append only adds entries, and a near edit keeps the entries before it.
+append only adds entries, and an edit works out entries from where it is to where they are again what they were.
 
 Texts are cut into pieces by the tokenizer's pattern, each piece is encoded separately; a piece that is a token
 is that token. Encodings of pieces are remembered, a bounded number for each task.
@@ -46,17 +46,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PrefixTable:
-    """Last tokens of the prefixes of a byte string."""
+    """Last tokens of the prefixes of a byte string. computed: how many entries were worked out so far."""
 
     def __init__(self, bpe: "Bpe", data: bytes = b"") -> None:
-        self.bpe, self.data, self.last = bpe, b"", []
+        self.bpe, self.data, self.last, self.computed = bpe, b"", [], 0
         self.append(data)
 
     def append(self, more: bytes) -> "PrefixTable":
-        data = self.data = self.data + more
-        bpe, last = self.bpe, self.last
+        self.data += more
+        self._extend(len(self.data))
+        return self
+
+    def _extend(self, stop: int) -> None:
+        """Entries up to the prefix of stop bytes."""
+        bpe, last, data = self.bpe, self.last, self.data
         rank, pair, longest = bpe.ranks.get, bpe._agree.get, bpe.longest
-        for end in range(len(last) + 1, len(data) + 1):
+        self.computed += stop - len(last)
+        for end in range(len(last) + 1, stop + 1):
             for start in range(max(0, end - longest), end):
                 token = rank(data[start:end])
                 if token is None:
@@ -73,13 +79,23 @@ class PrefixTable:
                     break
             else:
                 raise ValueError(f"no token ends at byte {end}")
-        return self
 
     def edit(self, start: int, stop: int, new: bytes) -> "PrefixTable":
-        """Replace data[start:stop]; entries of the prefixes before start stay."""
-        tail = self.data[stop:]
-        self.data, self.last = self.data[:start], self.last[:start]
-        return self.append(new + tail)
+        """Replace data[start:stop]. Entries of the prefixes before start stay. An entry depends on the bytes of the longest token
+        before it and on the entries there; so once `longest` entries in a row behind the edit are what they were, all further ones
+        are, and the old ones are taken over."""
+        tail, kept = self.last[stop:], self.data[stop:]
+        self.data, self.last = self.data[:start] + new + kept, self.last[:start]
+        begin, longest = start + len(new), self.bpe.longest
+        self._extend(begin)
+        alike = 0
+        for i, old in enumerate(tail):
+            self._extend(begin + i + 1)
+            alike = alike + 1 if self.last[-1] == old else 0
+            if alike >= longest:
+                self.last += tail[i + 1 :]
+                break
+        return self
 
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)

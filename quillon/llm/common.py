@@ -80,7 +80,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
 
 
 #: Keys that make up one in so many of all rows are hot: so many keys at most, however large the input is.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 12
 
 
 def meet(rows: DataFrame, facts: DataFrame, keys: Sequence[str], total: int, how: str = "inner") -> DataFrame:

@@ -2,7 +2,8 @@
 
 The trees learn from the URLs that rules decide, SAMPLE at most, chosen by a hash of the id. Features: lengths
 of host and path, depth, digit ratio, character entropy, numbers of parameters and labels, and suffix
-statistics: the smoothed share of blocked URLs among the training URLs with the same last one and two labels.
+statistics: the smoothed share of blocked URLs among the training URLs with the same last one and two labels. While the trees
+learn, a URL's own host and all hosts of its fold are left out of that share, so that no label is in its own feature.
 
 Defined results: host and path of a null url, or of one without "://", are empty: no rule fits, the method judges it; a
 rule needs its path as a prefix, the longest fitting rule wins, at equal length the first in order of text; without
@@ -11,14 +12,18 @@ training URLs of both kinds the verdict is that of the only kind, or allow; repe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 8_000
 TREES, DEPTH, SEED = 20, 4, 7
 SMOOTH = 20.0
+#: Folds of hosts for the suffix statistics of training URLs.
+FOLDS = 5
 #: (verdict, host/path); the rules of the contract, as fixed values.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 FEATURES = ("n_host", "n_path", "n_url", "n_labels", "depth", "digits", "entropy", "n_params", "n_hyphens", "suffix1", "suffix2")
@@ -74,10 +79,10 @@ class UrlModel:
     def __init__(self, trees, suffixes: DataFrame | None, mean: float) -> None:
         self.trees, self.suffixes, self.mean = trees, suffixes, mean
 
-    def with_suffixes(self, rows: DataFrame) -> DataFrame:
+    def with_suffixes(self, rows: DataFrame, also: Sequence[str] = ()) -> DataFrame:
         for k in (1, 2):
-            own = self.suffixes.filter(F.col("level") == k).select(F.col("suffix").alias(f"last{k}"), F.col("share").alias(f"suffix{k}"))
-            rows = rows.join(F.broadcast(own), f"last{k}", "left").withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(self.mean)))
+            own = self.suffixes.filter(F.col("level") == k).select(*also, F.col("suffix").alias(f"last{k}"), F.col("share").alias(f"suffix{k}"))
+            rows = rows.join(F.broadcast(own), [f"last{k}", *also], "left").withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(self.mean)))
         return rows
 
     def verdicts(self, rows: DataFrame) -> DataFrame:
@@ -101,12 +106,18 @@ def train(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, most: in
         return UrlModel(None, None, labels[0] if labels else 0.0)
     mean = sum(labels) / len(labels)
     sample = spark.createDataFrame(sample).coalesce(1)  # a bounded sample, in a fixed order: every run grows the same trees
-    known = lexical(sample)
-    both = known.select(F.lit(1).alias("level"), F.col("last1").alias("suffix"), "label").unionByName(known.select(F.lit(2).alias("level"), F.col("last2").alias("suffix"), "label"))
-    shares = both.groupBy("level", "suffix").agg(((F.sum("label") + SMOOTH * mean) / (F.count("*") + SMOOTH)).alias("share"))
-    suffixes = spark.createDataFrame(shares.toArrow())
+    known = lexical(sample).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    suffix = F.inline(F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"last{k}").alias("suffix")) for k in (1, 2))))
+    counts = known.select("fold", "label", suffix).groupBy("level", "suffix", "fold").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+    share = lambda bad, n: (bad + SMOOTH * mean) / (n + SMOOTH)
+    whole = Window.partitionBy("level", "suffix")
+    both = counts.withColumns({"all_bad": F.sum("bad").over(whole), "all_n": F.sum("n").over(whole)})
+    shares = spark.createDataFrame(both.toArrow())  # rows of the bounded sample
+    suffixes = shares.select("level", "suffix", share(F.col("all_bad"), F.col("all_n")).alias("share")).distinct()
+    others = shares.select("level", "suffix", "fold", share(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")).alias("share"))
     model = UrlModel(None, suffixes, mean)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.with_suffixes(known)).select("features", "label")
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(UrlModel(None, others, mean).with_suffixes(known, ["fold"]))
+    ready = ready.select("features", "label")
     model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=SEED).fit(ready)
     return model
 
