@@ -7,8 +7,12 @@ Buckets that hold very many rows, as under one amplicon, are cut into blocks of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import math
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -330,17 +334,48 @@ def partial_places(guides: DataFrame, genome: DataFrame, k: int = 20) -> DataFra
     return guides.select("guide").distinct().join(n, "guide", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _narrowest(hits: Iterator[tuple], n_guides: int, max_span: int) -> tuple[int, int, int] | None:
+    """(span, start, end) of the narrowest window with a hit of every guide; hits (start, end, guide) by falling start. Of each guide
+    the hit that ends first is kept; a heap, whose outdated entries are dropped when they come up, gives the last of these ends."""
+    ends: dict = {}
+    heap: list[tuple[int, str]] = []
+    best = None
+    for start, same in groupby(hits, key=lambda h: h[0]):
+        for _, end, guide in same:
+            if end < ends.get(guide, math.inf):
+                ends[guide] = end
+                heapq.heappush(heap, (-end, guide))
+        while -heap[0][0] != ends[heap[0][1]]:
+            heapq.heappop(heap)
+        span = -heap[0][0] - start
+        if len(ends) == n_guides and span <= max_span and (best is None or (span, start) < best[:2]):
+            best = (span, start, -heap[0][0])
+    return best
+
+
 def coherent_target(hits: DataFrame, max_span: int) -> DataFrame:
     """One hit of every guide on one contig within max_span, the smallest span (ties: contig, start).
 
-    Hits are swept in order: from each hit, the nearest following hit of every guide is known by a window, so no cross product is made.
-    hits: guide, contig, start0, end0.
+    Contigs are cut into blocks of max_span, each with the hits of the block after it, so a window lies in the block where it starts; a
+    block is swept once, from its last hit to its first, and gives its narrowest window. hits: guide, contig, start0, end0 after it.
     """
-    total = hits.agg(F.count_distinct("guide").alias("_all"))
-    guides = hits.select(F.col("guide").alias("_g")).distinct()
-    grid = hits.crossJoin(F.broadcast(guides))
-    own = Window.partitionBy("contig", "_g").orderBy("start0").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    ends = F.min(F.when(F.col("guide") == F.col("_g"), F.col("end0"))).over(own)
-    per = grid.withColumn("_end", ends).groupBy("contig", "start0").agg(F.count_distinct(F.when(F.col("_end").isNotNull(), F.col("_g"))).alias("_n"), F.max("_end").alias("end0"))
-    per = per.crossJoin(F.broadcast(total)).filter("_n = _all").withColumn("span", F.col("end0") - F.col("start0")).filter(F.col("span") <= max_span)
-    return per.select("contig", "start0", "end0", "span").orderBy("span", "contig", "start0").limit(1)
+    some = hits.filter("guide is not null and start0 <= end0").select("contig", F.col("guide").cast("string").alias("guide"), F.col("start0").cast("long"), F.col("end0").cast("long"))
+    n_guides, width = some.agg(F.count_distinct("guide")).first()[0], max(1, max_span)
+    own = F.floor(F.col("start0") / width)
+    placed = some.withColumn("_block", F.explode(F.array(own, own - 1)))
+    keys = ["contig", "_block"]
+    rows = placed.repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, F.desc("start0"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (*keys, "start0", "end0", "guide")), strict=True))
+        found = []
+        for (contig, _), block in groupby(each, key=lambda r: r[:2]):
+            best = _narrowest((r[2:] for r in block), n_guides, max_span)
+            if best:
+                found.append((contig, best[1], best[2], best[0]))
+        columns = zip(*found, strict=True) if found else [[]] * 4
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["contig", "start0", "end0", "span"])
+
+    per = rows.mapInArrow(sweep, "contig string, start0 long, end0 long, span long")
+    return per.orderBy("span", "contig", "start0").limit(1)

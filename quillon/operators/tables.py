@@ -166,7 +166,8 @@ def unassigned(all_ids: DataFrame, assigned: DataFrame, keys: Sequence[str]) ->
 def with_reference(df: DataFrame, value: str, condition: str, base: str, date: str, ref: str, ref_date: str, keys: Sequence[str] = ()) -> DataFrame:
     """Reference and delta = value - reference. The reference is the mean over the rows whose base condition is the one a
     row names (ref), of the date it names (ref_date null: any date); if there are none, over the rows whose condition starts
-    with that name; else null. Means are taken once for each named pair, not for each row."""
+    with that name; else null. Means are taken once for each named pair, not for each row; names meet conditions by an equi-join on
+    the beginnings of the lengths that names have."""
     named = df.select(*keys, F.trim(ref).alias("_ref"), F.col(ref_date).alias("_rd")).filter("_ref is not null").distinct()
     rows = df.groupBy(*keys, F.col(condition).alias("_c"), F.col(base).alias("_b"), F.col(date).alias("_d")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     when = F.col("_rd").isNull() | (F.col("_rd") == F.col("_d"))
@@ -180,7 +181,9 @@ def with_reference(df: DataFrame, value: str, condition: str, base: str, date: s
         return named.alias("n").join(rows.alias("r"), on).groupBy(*(F.col(f"n.{k}").alias(k) for k in keys), "_ref", "_rd").agg(mean.alias("_m"))
 
     exact = of(F.col("_b") == F.col("_ref")).withColumnRenamed("_m", "_exact")
-    prefix = of(F.col("_c").startswith(F.col("_ref"))).withColumnRenamed("_m", "_prefix")
+    widths = F.broadcast(named.select(F.length("_ref").alias("_k")).distinct())  # no more rows than the longest name has letters
+    rows = rows.crossJoin(widths).filter(F.length("_c") >= F.col("_k")).withColumn("_p", F.left("_c", F.col("_k")))
+    prefix = of(F.col("_p") == F.col("_ref")).withColumnRenamed("_m", "_prefix")
     facts = named
     for other in (exact, prefix):
         o = other.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_ref").alias("_r2"), F.col("_rd").alias("_d2"), other.columns[-1])

@@ -86,3 +86,57 @@ def test_a_chain_of_refusals(spark):
     schema = "fov long, y long, x long, {} long"
     got = spatial.match_nuclei(spark.createDataFrame(cells, schema.format("cell")), spark.createDataFrame(nuclei, schema.format("nucleus")))
     assert {r.cell: r.nucleus for r in got.collect()} == serial(shared) == {i: i for i in range(1, 7)}
+
+
+def narrowest(hits, most):
+    """By all starts: the guides' first ends from there on."""
+    guides, best = {h[0] for h in hits}, None
+    for contig in {h[1] for h in hits}:
+        own = [h for h in hits if h[1] == contig]
+        for start in {h[2] for h in own}:
+            ends = {g: min((h[3] for h in own if h[0] == g and h[2] >= start), default=None) for g in guides}
+            if None not in ends.values() and (span := max(ends.values()) - start) <= most:
+                best = min(best or (span, contig, start), (span, contig, start))
+    return best
+
+
+@pytest.mark.parametrize("most", [1, 25, 60, 5000])
+def test_narrowest_cluster_by_all_starts(spark, most):
+    rng = random.Random(most)
+    for guides in (1, 3, 6):
+        hits = [(rng.randrange(guides), rng.choice("ab"), a, a + rng.choice([0, 5, 20])) for a in (rng.randrange(-300, 700) for _ in range(120))]
+        got = intervals.coherent_target(spark.createDataFrame(hits + [(None, "a", 1, 2)], "guide long, contig string, start0 long, end0 long"), most).collect()
+        want = narrowest(hits, most)
+        assert [(r.span, r.contig, r.start0) for r in got] == ([want] if want else [])
+        assert all(r.end0 - r.start0 == r.span for r in got)
+
+
+def test_binomial_tails_by_sums():
+    from math import comb, inf, log
+
+    import numpy as np
+    import pandas as pd
+
+    from quillon.operators.stats import binomial_log_tail
+
+    tail = getattr(binomial_log_tail, "func", binomial_log_tail)
+    cases = [(k, n, p) for n in (1, 2, 7, 60) for k in range(n + 2) for p in (0.01, 0.3, 0.5, 0.97)]
+    got = tail(*(pd.Series([c[i] for c in cases], dtype=float) for i in range(3)))
+    for (k, n, p), v in zip(cases, got, strict=True):
+        s = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert v == (inf if not s else pytest.approx(-log(min(s, 1.0)), rel=1e-9, abs=1e-12))
+    big = tail(pd.Series([600_000.0, 500_000.0, 5.0, 0.0, 3.0, 2.0]), pd.Series([1e6, 1e6, 1e6, 5.0, 3.0, 2.0]), pd.Series([0.5, 0.5, 0.5, 0.0, 0.0, 1.0]))
+    assert big[0] == pytest.approx(20144.7, rel=1e-3) and big[1] == pytest.approx(log(2), rel=2e-3) and big[2] == 0 and big[3] == 0 and big[4] == inf and big[5] == 0
+    assert np.isnan(tail(pd.Series([np.nan]), pd.Series([1.0]), pd.Series([0.5]))[0])
+
+
+def test_references_by_prefix_meet_without_a_loop(spark):
+    from quillon.operators import tables
+
+    rows = [(1, "HIGH a", "HIGH", 1, 2.0, "HI"), (2, "HIGH b", "x", 1, 4.0, "HIGH"), (3, "LOW", "LOW", 1, 8.0, "HIGH a"), (4, "LOW", "LOW", 2, 9.0, "none"), (5, None, "LOW", 2, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, Condition string, Base string, Date long, v double, ref string").withColumn("ref_date", F.lit(None).cast("long"))
+    out = tables.with_reference(df, "v", "Condition", "Base", "Date", "ref", "ref_date")
+    assert {r.id: r.reference for r in out.collect()} == {1: 3.0, 2: 2.0, 3: 2.0, 4: None, 5: None}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "NestedLoop" in x]
+    assert all("Inner" in x or "Cross" in x for x in joins) and len(joins) <= 2  # the lengths in use, a broadcast of a few rows
