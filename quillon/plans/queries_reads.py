@@ -399,6 +399,7 @@ def _pairs(d):
     return _tiles(d).filter("length(seq) >= tile * 20 + 80").select(
         (F.col("read") * 100_000 + F.col("tile")).alias("pair"), F.concat_ws("-", "fov", (F.col("read") % 50).cast("string")).alias("gene"), _tile(1).alias("left_seq"), _tile(61).alias("right_seq"),
         (57 + k % 7).cast("double").alias("left_tm"), (57 + k % 5).cast("double").alias("right_tm"), (50 + k % 260).alias("amplicon_size"), (k % 3 != 0).alias("specific"),
+        (k % 4).alias("left_hits"), (k % 7 - 1).alias("right_hits"), (-(k % 11)).cast("double").alias("dg"), (k % 13 != 0).alias("on_target"), (k % 8).alias("n_snps"), (k % 9 == 0).alias("overlaps_snp"),
     )
 
 
@@ -409,24 +410,33 @@ _ALTERNATING = "regexp_matches({}, '" + "|".join(f"({x}{y}){{{{4}}}}" for x in "
 _LONGEST = "len(list_filter(range(1, 21), lambda n: len(list_filter(range(1, 22 - n), lambda i: contains({1}, substr({0}, i, n)))) > 0))"
 _RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 _HARD = {
+    "target": "NOT on_target",
+    "snps": "n_snps < 1",
+    "overlaps_snp": "overlaps_snp",
+    "length": "NOT (length(l) BETWEEN 18 AND 30 AND length(r) BETWEEN 18 AND 30)",
     "homopolymer": f"{_RUN5.format('l')} OR {_RUN5.format('r')}",
     "quad_g": "contains(l, 'GGGG') OR contains(r, 'GGGG')",
     "dinucleotide": f"{_ALTERNATING.format('l')} OR {_ALTERNATING.format('r')}",
     "clamp": "right(l, 1) NOT IN ('G', 'C') OR right(r, 1) NOT IN ('G', 'C')",
     "inter_primer": "run > 4",
     "dtm": "abs(tl - tr) > 2",
+    "thermo": "dg <= -9",
 }
+_RELAXED = "(specific OR (left_hits >= 1 AND right_hits >= 1))"
 _TIGHT = f"{_BOTH.format(_GC.format('l'), _GC.format('r'), 0.4, 0.6)} AND {_BOTH.format('tl', 'tr', 58, 62)}"
 _WIDE = f"{_BOTH.format(_GC.format('l'), _GC.format('r'), 0.3, 0.7)} AND {_BOTH.format('tl', 'tr', 55, 65)}"
-_SOFT = {"amplicon": "NOT size BETWEEN 80 AND 200", "specificity": "NOT specific", "gc_tm": f"NOT ({_TIGHT})"}
+_SOFT = {"amplicon": "NOT size BETWEEN 80 AND 200", "specificity": "NOT specific", "relaxed_specificity": f"NOT {_RELAXED}", "gc_tm": f"NOT ({_TIGHT})"}
 _TIERED = f"""
 SELECT *, concat_ws(';', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in (_HARD | _SOFT).items())}) AS reasons,
        CASE WHEN {" OR ".join(f"({c})" for c in _HARD.values())} THEN 'failed'
             WHEN size BETWEEN 80 AND 200 AND specific AND {_TIGHT} THEN 'strict_all' WHEN size BETWEEN 60 AND 300 AND specific AND {_TIGHT} THEN 'relaxed_amplicon'
-            WHEN size BETWEEN 60 AND 300 AND {_TIGHT} THEN 'relaxed_specificity' WHEN size BETWEEN 60 AND 300 AND {_WIDE} THEN 'relaxed_gc_tm' ELSE 'failed' END AS tier
+            WHEN size BETWEEN 60 AND 300 AND {_RELAXED} AND {_TIGHT} THEN 'relaxed_specificity'
+            WHEN size BETWEEN 60 AND 300 AND {_RELAXED} AND {_WIDE} THEN 'relaxed_gc_tm' ELSE 'failed' END AS tier
 FROM (SELECT *, {_LONGEST.format("l", _RC.format("r"))} AS run
       FROM (SELECT read * 100000 + tile AS pair, concat(fov, '-', read % 50) AS gene, {_TILE.format(1)} AS l, {_TILE.format(61)} AS r, 57.0::DOUBLE + (read + tile) % 7 AS tl,
-                   57.0::DOUBLE + (read + tile) % 5 AS tr, 50 + (read + tile) % 260 AS size, (read + tile) % 3 <> 0 AS specific
+                   57.0::DOUBLE + (read + tile) % 5 AS tr, 50 + (read + tile) % 260 AS size, (read + tile) % 3 <> 0 AS specific,
+                   (read + tile) % 4 AS left_hits, (read + tile) % 7 - 1 AS right_hits, -CAST((read + tile) % 11 AS DOUBLE) AS dg, (read + tile) % 13 <> 0 AS on_target,
+                   (read + tile) % 8 AS n_snps, (read + tile) % 9 = 0 AS overlaps_snp
             FROM ({_TILES}) WHERE length(seq) >= tile * 20 + 80))
 """
 

@@ -354,3 +354,34 @@ def test_annular_profiles_with_and_without_overlap(spark):
                 if own:
                     want[h, k] = (len(own), sum(own), pytest.approx(sum(local) / len(local)), pytest.approx(sum(disc) / len(disc)))
         assert got == want
+
+
+def test_tiers_of_a_pair_one_rule_at_a_time(spark):
+    """A pair that passes everything, with one thing changed in each row."""
+    good = {"left_seq": "ACGTTGCAAGTCATCGATGC", "right_seq": "AGGATACCTTGACGTCTAGC", "left_tm": 60.0, "right_tm": 60.5, "amplicon_size": 120, "specific": True}
+    good |= {"left_hits": 1, "right_hits": 1, "dg": -3.0, "on_target": True, "n_snps": 2, "overlaps_snp": False}
+    changes = [
+        ({}, "strict_all", ""),
+        ({"amplicon_size": 250}, "relaxed_amplicon", "amplicon"),
+        ({"amplicon_size": 400}, "failed", "amplicon"),
+        ({"specific": False}, "relaxed_specificity", "specificity"),
+        ({"specific": False, "right_hits": 0}, "failed", "specificity;relaxed_specificity"),
+        ({"specific": False, "left_hits": None}, "failed", "specificity;relaxed_specificity"),
+        ({"left_tm": 63.0, "right_tm": 63.0}, "relaxed_gc_tm", "gc_tm"),
+        ({"dg": -9.0}, "failed", "thermo"),
+        ({"dg": None}, "failed", "thermo"),
+        ({"on_target": False}, "failed", "target"),
+        ({"n_snps": 0}, "failed", "snps"),
+        ({"overlaps_snp": None}, "failed", "overlaps_snp"),
+        ({"left_seq": "ACGTTGCAAGTCATC"}, "failed", "length"),
+        ({"left_seq": "ACGTTGCAAGTCATCGATGCACGTTGCAAGTCATC"}, "failed", "length"),
+        ({"left_tm": 57.9}, "failed", "dtm;gc_tm"),
+    ]
+    names = list(good)
+    schema = "left_seq string, right_seq string, left_tm double, right_tm double, amplicon_size long, specific boolean, left_hits long, right_hits long, dg double, on_target boolean, n_snps long, overlaps_snp boolean"
+    rows = [tuple((good | c)[n] for n in names) + (i,) for i, (c, _, _) in enumerate(changes)]
+    df = spark.createDataFrame(rows, schema + ", i long")
+    got = {r.i: (r.tier, r.reasons) for r in design.primer_tier(df, inter=20).collect()}
+    assert got == {i: (tier, reasons) for i, (_, tier, reasons) in enumerate(changes)}
+    few = df.drop("left_hits", "right_hits", "dg", "on_target", "n_snps", "overlaps_snp").filter("i in (0, 3, 4)").withColumn("relaxed", F.col("i") == 3)
+    assert {r.i: r.tier for r in design.primer_tier(few, inter=20).collect()} == {0: "strict_all", 3: "relaxed_specificity", 4: "failed"}
