@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +44,15 @@ def drop_dead_pixels(tracks: DataFrame, keys: Sequence[str] = TRACK, most: int =
 
 #: Frames of a block: pairs of points of a track meet by pairs of blocks, so that a long track isn't one task's.
 FRAMES = 256
+#: Pairs of corners of a hull that are compared at once.
+HULL_PAIRS = 1 << 20
 
 
-def pairs(tracks: DataFrame, keys: Sequence[str] = TRACK, max_lag: int | None = None, every: bool = False) -> DataFrame:
-    """(keys, lag, d2): squared distances of all pairs of a track's points that are 1..rows - 1 frames apart, max_lag at most; or
-    of every pair, at any lag."""
+def pairs(tracks: DataFrame, keys: Sequence[str] = TRACK, max_lag: int | None = None) -> DataFrame:
+    """(keys, lag, d2): squared distances of all pairs of a track's points that are 1..rows - 1 frames apart, max_lag at most."""
     at = F.floor(F.col("frame") / FRAMES)
     size = tracks.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    most = F.lit(1 << 40) if every else F.col("_n") - 1 if max_lag is None else F.least(F.col("_n") - 1, F.lit(max_lag))
+    most = F.col("_n") - 1 if max_lag is None else F.least(F.col("_n") - 1, F.lit(max_lag))
     a = tracks.select(*keys, F.col("frame").alias("_f"), F.col("x").alias("_x"), F.col("y").alias("_y")).join(size, list(keys)).withColumn("_most", most)
     own = F.floor(F.col("_f") / FRAMES)
     a = a.filter("_most >= 1").withColumn("_p", own).withColumn("_q", F.explode(F.sequence(own, F.least(F.col("_hi"), F.floor((F.col("_f") + F.col("_most")) / FRAMES)))))
@@ -96,6 +100,57 @@ def diffusion(curve: DataFrame, keys: Sequence[str] = TRACK, interval: float = 1
     return fit.withColumn("log10_D", F.col("_b") - F.log10(F.lit(4.0))).drop("_b")
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points (rows x, y), in order."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+    halves = []
+    for some in (points.tolist(), points[::-1].tolist()):
+        half: list[list[float]] = []
+        for p in some:
+            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (p[1] - half[-2][1]) <= (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0]):
+                half.pop()
+            half.append(p)
+        halves += half[:-1]
+    return np.array(halves)
+
+
+def farthest(corners: np.ndarray) -> float:
+    """The largest distance between corners of a hull: blocks of rows against all, in bounded memory."""
+    best, step = 0.0, max(1, HULL_PAIRS // max(1, len(corners)))
+    for at in range(0, len(corners), step):
+        d = corners[at : at + step, None] - corners
+        best = max(best, float((d * d).sum(2).max()))
+    return math.sqrt(best)
+
+
+def diameters(tracks: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
+    """(keys, max_distance): the farthest two points of each track. A task keeps the hull's corners of what it has of a track, these
+    meet by track, and only the corners of the last hull are compared. Points without coordinates don't count."""
+    some = tracks.select(F.struct(*keys).alias("_k"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
+    rows = some.select("_k", F.xxhash64("_k").alias("_h"), "x", "y").filter(~F.isnan("x") & ~F.isnan("y"))
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, xy = b.column("_h").to_numpy(), np.stack([b.column(c).to_numpy() for c in ("x", "y")], axis=1)
+            order = np.argsort(h, kind="stable")
+            bounds = np.r_[0, np.flatnonzero(np.diff(h[order])) + 1, len(h)]
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                if j > i:
+                    own = hull(xy[order[i:j]])
+                    key = b.column("_k").take(pa.array(np.full(len(own), order[i])))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(own), h[order[i]])), pa.array(own[:, 0]), pa.array(own[:, 1])], ["_k", "_h", "x", "y"])
+
+    def widest(group: pa.Table) -> pa.Table:
+        last = hull(np.stack([group[c].to_numpy() for c in ("x", "y")], axis=1))
+        return pa.table({"_k": group["_k"].slice(0, 1), "max_distance": pa.array([farthest(last)])})
+
+    key = rows.schema["_k"].dataType.simpleString()
+    met = rows.mapInArrow(corners, f"_k {key}, _h long, x double, y double")
+    return met.groupBy("_k").applyInArrow(widest, f"_k {key}, max_distance double").select("_k.*", "max_distance")
+
+
 def aio_table(tracks: DataFrame, keys: Sequence[str] = TRACK, intensity: str = "value", max_lag: int | None = None) -> DataFrame:
     """One row a track: arrays of t, x, y, end-to-end and mean step, largest pairwise distance, mean and largest intensity, and the fits."""
     rows = tracks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("frame").cast("long").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("_p"), F.avg(intensity).alias("mean_intensity"), F.max(intensity).alias("max_intensity"), F.count("*").alias("n"))
@@ -105,8 +160,7 @@ def aio_table(tracks: DataFrame, keys: Sequence[str] = TRACK, intensity: str = "
     steps = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: d(F.get(p, i), F.get(p, i - 1))))
     out = rows.withColumn("list_of_t", F.transform(p, lambda q: q["frame"])).withColumn("list_of_x", F.transform(p, lambda q: q["x"])).withColumn("list_of_y", F.transform(p, lambda q: q["y"]))
     out = out.withColumn("end_to_end", d(F.get(p, n - 1), F.get(p, F.lit(0)))).withColumn("mean_step", F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (n - 1))
-    farthest = pairs(tracks, keys, every=True).groupBy(*keys).agg(F.sqrt(F.max("d2")).alias("max_distance"))
-    out = out.join(farthest, list(keys), "left").withColumn("max_distance", F.coalesce("max_distance", F.lit(0.0)))
+    out = out.join(diameters(tracks, keys), list(keys), "left").withColumn("max_distance", F.coalesce("max_distance", F.lit(0.0)))
     return out.drop("_p").join(diffusion(msd(tracks, keys, max_lag), keys), list(keys), "left")
 
 

@@ -180,9 +180,7 @@ def t2_status(d):
     rows = d.events.select("user_id", "event_id")
     rows.repartition(2).write.parquet(source)
     jobs.status_sink(jobs.ingest(d.spark, source, rows.schema, files_per_trigger=1), table, ["user_id"], ["event_id"], ck).awaitTermination()
-    versions = d.spark.read.parquet(table)
-    last = versions.agg(F.max("version").alias("v"))
-    return versions.join(F.broadcast(last), F.col("version") == F.col("v")).select("user_id", "event_id")
+    return jobs.status_table(d.spark, table, rows.schema)
 
 
 @query("SELECT n_done, n_total, rate, (total - planned) * rate AS remaining_s FROM (SELECT count(*) FILTER (event_id % 3 > 0) AS n_done, count(*) AS n_total, least(greatest(sum(CASE WHEN event_id % 3 > 0 THEN value * 2 ELSE 0 END) / sum(CASE WHEN event_id % 3 > 0 THEN value ELSE 0 END), 0.5), 3.0) AS rate, sum(value) AS total, sum(CASE WHEN event_id % 3 > 0 THEN value ELSE 0 END) AS planned FROM events)", "rate remaining_s")

@@ -140,3 +140,18 @@ def test_references_by_prefix_meet_without_a_loop(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     joins = [x for x in plan.split("\n") if "NestedLoop" in x]
     assert all("Inner" in x or "Cross" in x for x in joins) and len(joins) <= 2  # the lengths in use, a broadcast of a few rows
+
+
+def test_diameters_by_all_pairs(spark):
+    from math import cos, dist, sin
+
+    from quillon.operators import tracks
+
+    rng = random.Random(9)
+    points = {("a", i): [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(rng.choice([1, 2, 3, 40, 300]))] for i in range(25)}
+    points |= {("line", 0): [(float(i), 2.0 * i) for i in range(30)], ("same", None): [(1.5, 1.5)] * 4, ("ring", 1): [(cos(i), sin(i)) for i in range(200)], (None, 1): [(0.0, 0.0), (3.0, 4.0), (3.0, 4.0)]}
+    rows = [(k, i, x, y) for (k, i), ps in points.items() for x, y in ps] + [("a", 0, None, 5.0), ("a", 1, float("nan"), 500.0), ("null", 1, None, None)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "k string, i long, x double, y double").repartition(7)
+    got = {(r.k, r.i): r.max_distance for r in tracks.diameters(table, ["k", "i"]).collect()}
+    assert got == pytest.approx({k: max(dist(p, q) for p in ps for q in ps) for k, ps in points.items()})

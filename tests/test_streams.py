@@ -49,3 +49,25 @@ def test_progress_of_a_stream(spark, tmp_path):
     assert len([p for p in q.recentProgress if p["numInputRows"]]) == 3
     got = {r.unit: (r.n_done, r.n_total, r.rate, r.remaining_s) for r in spark.table("progress").collect()}
     assert got == {"x": (2, 4, 1.5, 45.0), "y": (0, 1, 1.0, 5.0)}
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    """Bytes and folders follow the batch; an older record doesn't win; a batch that runs again changes nothing."""
+    (tmp_path / "in").mkdir()
+    schema = "unit string, at long, state string"
+    first = [(f"u{i}", 1, "new") for i in range(400)]
+    for i, rows in enumerate([first, [("u7", 2, "run"), ("u8", 0, "late")], [("u7", 3, "done"), ("u7", 2, "run")]]):
+        write(spark, tmp_path, i, rows, schema)
+    table = str(tmp_path / "status")
+    assert jobs.status_table(spark, table, schema).count() == 0
+    stream = jobs.ingest(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    jobs.status_sink(stream, table, ["unit"], ["at"], str(tmp_path / "cp"), buckets=64).awaitTermination()
+    want = {f"u{i}": (1, "new") for i in range(400)} | {"u7": (3, "done")}
+    assert {r.unit: (r["at"], r.state) for r in jobs.status_table(spark, table, schema).collect()} == want
+    written = {e: [f for f in os.listdir(f"{table}/data/epoch={e}") if f.startswith("bucket=")] for e in range(3)}
+    assert len(written[0]) > 50 and len(written[1]) <= 2 and len(written[2]) == 1
+    size = lambda e: sum(os.path.getsize(os.path.join(p, f)) for p, _, fs in os.walk(f"{table}/data/epoch={e}") for f in fs)
+    assert size(2) < size(0) / 10
+    again = jobs.ingest(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    jobs.status_sink(again, table, ["unit"], ["at"], str(tmp_path / "cp2"), buckets=64).awaitTermination()  # all epochs run again
+    assert {r.unit: (r["at"], r.state) for r in jobs.status_table(spark, table, schema).collect()} == want
