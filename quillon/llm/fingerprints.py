@@ -128,8 +128,13 @@ def in_id_order(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+#: A range ends with a copy of the next one's first row; where that is missing, its last document would be lost.
+CHANGED = "the documents came in another order the second time: write them to a table first"
+
+
 def edits(docs: DataFrame) -> DataFrame:
-    """Each document's digest against that of its edited text and that of the next document (see RESULT)."""
+    """Each document's digest against that of its edited text and that of the next document (see RESULT). Rows that are equal in id
+    and text are told apart by their place, so docs must give its rows alike each time, as files and tables do; if not, this fails."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def one(doc_id, text, own, following, next_digest) -> tuple:
@@ -144,10 +149,14 @@ def edits(docs: DataFrame) -> DataFrame:
             out = []
             for part, echo, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 own = digest(text.encode())
-                if held is not None and held[0] == part:
+                if held is not None:
+                    if held[0] != part:
+                        raise RuntimeError(CHANGED)
                     out.append(one(*held[1:], text, own))
                 held = None if echo else (part, doc_id, text, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        if held is not None:
+            raise RuntimeError(CHANGED)
 
     return in_id_order(docs).mapInArrow(run, RESULT)

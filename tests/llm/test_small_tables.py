@@ -107,6 +107,15 @@ def test_next_document_of_shared_ids(spark):
     assert ids == sorted(ids)
 
 
+def test_a_missing_first_row_of_a_range_is_an_error(spark, monkeypatch):
+    """If the input comes in another order the second time, nothing is lost in silence."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    whole = fingerprints.in_id_order(rows)
+    monkeypatch.setattr(fingerprints, "in_id_order", lambda docs: whole.filter("echo = 0 or id <> 0"))
+    with pytest.raises(Exception, match="another order"):
+        fingerprints.edits(rows).collect()
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and mixing.mix(none).count() == 0
@@ -316,6 +325,67 @@ def test_toxicity(spark, docs, none):
     assert {r.toxicity for r in toxicity.score(docs, unlearned).collect()} == {0.0}
 
 
+def test_lexicon_by_counting(spark):
+    """Patterns, their weights and their order by plain counts; near copies of one label count once."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    plain, bad = [f"plain{chr(97 + i)}word" for i in range(20)], ["blorkish", "snargy", "blorking", "fool's"]
+    texts = [(" ".join(rng.choices(plain, k=12) + rng.choices(bad, k=2) * (i % 3 == 0)), int(i % 3 == 0)) for i in range(300)]
+    got, (n0, n1) = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"))
+    assert (n0, n1) == (200, 100)
+    counts = {0: Counter(), 1: Counter()}
+    for text, y in texts:
+        words = set(text.split())
+        counts[y].update(words | {f"{w[:n]}*" for w in words for n in toxicity.BEGINNINGS if len(w) >= n})
+    want = {}
+    for pattern in counts[0].keys() | counts[1].keys():
+        a0, a1 = counts[0][pattern], counts[1][pattern]
+        g = 2 * sum(k * math.log(k / ((a0 + a1) * n / 300)) for k, n in ((a0, n0), (a1, n1)) if k)
+        w = math.log((a1 + 0.5) / (n1 + 1)) - math.log((a0 + 0.5) / (n0 + 1))
+        if g >= toxicity.LEAST_RATIO and w >= toxicity.LEAST_WEIGHT:
+            want[pattern] = w
+    assert got == pytest.approx(want) and {"blorkish", "blor*", "fool's"} <= want.keys() and not any(p.startswith("plain") for p in want)
+    few, _ = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"), 3)
+    assert len(few) == 3 and few.items() <= got.items()
+
+
+def test_fit_is_the_optimum():
+    """The gradient of the penalised likelihood is zero at the coefficients, and any step away from them is worse."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (x @ [2.0, -1.0, 0.0] + rng.normal(size=400) > 0.3).astype(float)
+    w = toxicity.fit(x, y)
+
+    def loss(w):
+        z = x @ w[:3] + w[3]
+        return (np.logaddexp(0, z) - y * z).sum() + 0.05 * (w[:3] ** 2).sum() + 5e-7 * w[3] ** 2
+
+    for i in range(4):
+        for step in (-1e-3, 1e-3):
+            assert loss(w + step * np.eye(4)[i]) > loss(w)
+    p = 1 / (1 + np.exp(-(x @ w[:3] + w[3])))
+    assert np.abs(np.c_[x, np.ones(400)].T @ (y - p) - np.r_[0.1 * w[:3], 1e-6 * w[3]]).max() < 1e-6
+
+
+def test_training_takes_no_held_out_rows(spark):
+    """What is learned doesn't change with labels or texts of held-out rows."""
+    from zlib import crc32
+
+    rows = [(i, f"plain words number{i} here" if i % 4 else f"you blorky fool number{i}, blorks") for i in range(300)]
+    labels = [(i, int(i % 4 == 0)) for i in range(300)]
+    out = lambda i: crc32(str(i).encode()) % 3 == 1
+    models = []
+    for change in (False, True):
+        d = [(i, "blorky snarg" if change and out(i) else t) for i, t in rows]
+        lab = [(i, 1 - y if change and out(i) else y) for i, y in labels]
+        models.append(toxicity.train(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int")))
+    assert models[0] == models[1] and models[0].lexicon
+
+
 def test_grammar_scales_matches():
     g = toxicity.Grammar()
     hit, other = ("insult", 2.0), ("other", 0.0)
