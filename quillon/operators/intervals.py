@@ -299,25 +299,32 @@ def substring_lookup(df: DataFrame, text: str, plates: DataFrame, needle: str, o
 
 
 def _places(guides: DataFrame, genome: DataFrame, k: int) -> DataFrame:
-    """(guide, contig, start0, strand, exact): places of the guides' seeds on either strand, and if all letters agree."""
+    """(guide, contig, start0, strand, exact): places of the guides' seeds on either strand, and if all letters agree. Places of the
+    genome meet seeds with nothing but their piece and place; letters are looked up for those that met."""
     from quillon.functions.sequence import revcomp
 
     both = guides.select("guide", F.upper("seq").alias("g"), F.lit("+").alias("strand")).unionByName(guides.select("guide", revcomp(F.col("seq")).alias("g"), F.lit("-").alias("strand")))
     both = both.filter("g <> ''").withColumn("_seed", F.left("g", F.lit(k)))
-    ref = genome.select("contig", F.upper("seq").alias("_ref"))
+    chunked = "offset" in genome.columns
+    at = [F.col("offset").cast("long").alias("_offset"), F.col("own").cast("long").alias("_own")] if chunked else [F.lit(0).cast("long").alias("_offset"), F.length("seq").cast("long").alias("_own")]
+    ref = genome.select("contig", *at, F.upper("seq").alias("_ref"))
     longest = F.broadcast(guides.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("_longest")))
     widths = F.broadcast(both.select(F.length("_seed").alias("_k")).distinct())  # k rows at most
-    cut = pieces(ref.crossJoin(longest), "_ref", F.col("_longest")).crossJoin(widths).filter(F.length("_piece") >= F.col("_k"))
-    at = cut.withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.length("_piece") - F.col("_k") + 1, F.lit(PIECE)))))
-    at = at.select("contig", (F.col("_start") + F.col("_i") - 1).alias("start0"), F.substring("_piece", F.col("_i"), F.col("_k")).alias("_seed"), F.substring("_piece", F.col("_i"), F.col("_longest")).alias("_here"))
-    hit = at.join(both, "_seed")
-    return hit.select("guide", "contig", "start0", "strand", (F.left("_here", F.length("g")) == F.col("g")).alias("exact")).distinct()
+    cut = pieces(ref.crossJoin(longest), "_ref", F.col("_longest")).drop("_longest").withColumn("_p", F.monotonically_increasing_id())
+    cut = materialize(cut, "pieces")
+    starts = F.sequence(F.lit(1), F.least(F.length("_piece") - F.col("_k") + 1, F.lit(PIECE)))
+    at = cut.crossJoin(widths).filter(F.length("_piece") >= F.col("_k")).withColumn("_i", F.explode(starts)).filter(F.col("_start") + F.col("_i") <= F.col("_own"))
+    hit = skewed_join(at.select("_p", "_i", F.substring("_piece", F.col("_i"), F.col("_k")).alias("_seed")), both, ["_seed"])
+    full = hit.drop("_seed").join(cut, "_p")
+    start = (F.col("_offset") + F.col("_start") + F.col("_i") - 1).alias("start0")
+    return full.select("guide", "contig", start, "strand", (F.substring("_piece", F.col("_i"), F.length("g")) == F.col("g")).alias("exact")).distinct()
 
 
 def placed(guides: DataFrame, genome: DataFrame, k: int = 20, strict: bool = True) -> DataFrame:
     """Full-length exact places (guide, contig, start0, strand) of guides of any length: their first k letters, or all of
     shorter ones, meet the genome's, and the rest is compared. strict: a guide without a place is an error. guides: guide, seq;
-    genome: contig, seq."""
+    genome: contig, seq, or chunks of contigs with offset and own as read_fasta_chunks() gives them, with a halo of at least the
+    longest guide's letters less one."""
     hits = _places(guides, genome, k).filter("exact").drop("exact")
     if not strict:
         return hits

@@ -51,8 +51,8 @@ def _keyed(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     return df.select(F.struct(*keys).alias("_k"), value.cast("double").alias("_v")).filter("_v is not null")
 
 
-def _ranged(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """counts (_k, _v, _c) with _before, the values of the group before each, and _range; and the (_k, _range, _offset, _sum) of the
+def ranged(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """counts (_k, _v, _c, ...) with _before, the sum of _c in the group of _k before each _v, and _range; and the (_k, _range, _offset, _sum) of the
     ranges that a group lies in. At most one group a range goes on from an earlier one, so few offsets are broadcast."""
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(counts.repartitionByRange(n, "_k", "_v").withColumn("_range", F.spark_partition_id()), "ranges")
@@ -82,13 +82,13 @@ def ranked(df: DataFrame, keys: Sequence[str], value: Column, most: int | None =
     inside = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     out = small.withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     if large is not None:
-        out = out.unionByName(_ranged(large)[0].drop("_range"))
+        out = out.unionByName(ranged(large)[0].drop("_range"))
     return out.select(*(F.col("_k")[k].alias(k) for k in keys), "_v", "_c", "_before")
 
 
 def _group_quantiles(counts: DataFrame, qs: Sequence[float]) -> DataFrame:
     """(_k, _q) by ranges: the places of the quantiles are looked up in the ranges that hold them."""
-    placed, spans = _ranged(counts)
+    placed, spans = ranged(counts)
     total = spans.groupBy("_k").agg(F.sum("_sum").alias("_n"))
     places = F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * F.lit(float(q))).alias("at")) for i, q in enumerate(qs)))
     wanted = total.select("_k", F.inline(places)).withColumn("end", F.explode(F.array(F.floor("at"), F.ceil("at"))))

@@ -29,8 +29,8 @@ def heavy_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], block: in
 
 
 def in_blocks(side: DataFrame, heavy: DataFrame, keys: Sequence[str], own: str, other: str) -> DataFrame:
-    """A side with (_i, _j), the pairs of blocks that its rows go to."""
-    block, pair = ("_i", "_j") if own == "_li" else ("_j", "_i")
+    """A side with (_bi, _bj), the pairs of blocks that its rows go to."""
+    block, pair = ("_bi", "_bj") if own == "_li" else ("_bj", "_bi")
     mine = F.when(F.col(own) > 1, F.pmod(F.xxhash64(*side.columns), F.col(own))).otherwise(0).cast("int")
     dealt = side.join(F.broadcast(heavy), list(keys), "left").withColumn(block, mine)
     every = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
@@ -43,4 +43,4 @@ def skewed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], block: i
         return left.join(right, list(keys))
     heavy = heavy_keys(left, right, keys, block)
     a, b = in_blocks(left, heavy, keys, "_li", "_rj"), in_blocks(right, heavy, keys, "_rj", "_li")
-    return a.join(b, [*keys, "_i", "_j"]).drop("_i", "_j")
+    return a.join(b, [*keys, "_bi", "_bj"]).drop("_bi", "_bj")

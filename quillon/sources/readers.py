@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordering import ranged, running
+
 HITS6 = "qseqid string, sseqid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart long, send long, evalue double, bitscore double"
 
 
@@ -63,6 +65,32 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(F.get(lines, F.lit(0)), r"^(\S+)", 1).alias("id"), F.concat_ws("", F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1)))).alias("seq"))
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, chunk: int = 1 << 20, halo: int = 0) -> DataFrame:
+    """(id, offset, own, seq): contigs of any size in chunks of so many letters, each with up to halo letters of what follows; own
+    letters of it, from its offset in the contig, are the chunk's. A contig without letters has no chunk.
+
+    Lines find their contig by the number of headers before them, and their place in it by the letters of the contig before them; both
+    are summed by ranges of lines, so neither a file nor a contig is one task's."""
+    lines = numbered_lines(spark, path).withColumn("_head", F.col("value").startswith(">"))
+    lines = running(lines, ["file", "i"], F.col("_head").cast("long"), "_heads")
+    lines = lines.select(F.when(F.col("_head"), F.col("_heads") + 1).otherwise(F.col("_heads")).alias("_contig"), "file", "i", "value", "_head")
+    names = lines.filter("_head").select("file", "_contig", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("id"))
+    letters = F.regexp_replace("value", r"\r$", "")
+    own = lines.filter("not _head").select(F.struct("file", "_contig").alias("_k"), F.col("i").alias("_v"), letters.alias("value"))
+    own = own.withColumn("_c", F.length("value").cast("long")).filter("_c > 0")
+    placed = ranged(own)[0].select("_k.*", F.col("_before").alias("at"), "value", "_c")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("at") - halo) / chunk))
+    parts = placed.withColumn("_chunk", F.explode(F.sequence(first, F.floor((F.col("at") + F.col("_c") - 1) / chunk))))
+    begin = F.greatest(F.col("at"), F.col("_chunk") * chunk)
+    stop = F.least(F.col("at") + F.col("_c"), (F.col("_chunk") + 1) * chunk + halo)
+    cut = F.substring(F.col("value"), (begin - F.col("at") + 1).cast("int"), (stop - begin).cast("int"))
+    parts = parts.filter(begin < stop).select("file", "_contig", "_chunk", F.struct(begin.alias("at"), cut.alias("part")).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
+    chunks = parts.groupBy("file", "_contig", "_chunk").agg(whole.alias("seq"))
+    chunks = chunks.join(names, ["file", "_contig"])  # what stands before a file's first header has no name and goes
+    return chunks.select("id", (F.col("_chunk") * chunk).alias("offset"), F.least(F.length("seq"), F.lit(chunk)).cast("long").alias("own"), "seq")
+
+
 def gtf_attributes(c: Column) -> Column:
     """Key "value" pairs as a map; the first of a repeated key counts."""
     keys, values = F.regexp_extract_all(c, F.lit(r'(\w+) "([^"]*)"'), 1), F.regexp_extract_all(c, F.lit(r'(\w+) "([^"]*)"'), 2)

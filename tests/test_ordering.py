@@ -49,7 +49,7 @@ def test_ranks_of_groups(spark, most):
 def test_a_group_as_large_as_the_table_is_dealt_by_ranges(spark):
     """Every range holds a part of the one group; no window or buffer holds more than a range."""
     counts = spark.range(20_000).select(F.struct(F.lit(1).alias("k")).alias("_k"), (F.col("id") * 0.5).alias("_v"), (F.col("id") % 3 + 1).alias("_c"))
-    placed, spans = ordering._ranged(counts)
+    placed, spans = ordering.ranged(counts)
     assert spans.count() >= 4 and placed.groupBy("_range").count().agg(F.max("count")).first()[0] < 10_000
     last = placed.agg(F.max(F.col("_before") + F.col("_c"))).first()[0]
     assert last == counts.agg(F.sum("_c")).first()[0]
