@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.spatial import pair_counts
@@ -158,19 +158,36 @@ def pcf(p1: DataFrame, p2: DataFrame, masks: DataFrame, width: float, step: floa
     return out.select(*keys, "bin", "start", "end", F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), F.nullif(norm, F.lit(0.0))).alias("g"))
 
 
+def mask_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, y, runs): the runs of neighbouring pixels of each row of a mask, as (first, last)."""
+    pixels = mask.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
+    run = F.col("x") - F.row_number().over(Window.partitionBy(*keys, "y").orderBy("x"))
+    runs = pixels.withColumn("_run", run).groupBy(*keys, "y", "_run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return runs.groupBy(*keys, "y").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+
+
 def ring_area_weights(points: DataFrame, mask: DataFrame, width: int, n_bins: int, keys: Sequence[str] = ("fov", "nucleus")) -> DataFrame:
     """K5: (keys, point, bin, weight): whole ring area over the ring's pixels inside the mask, for each reference point; null if none.
-    Rings are (start, end] in pixels around the point's pixel; offsets are a fixed table of the largest ring."""
+    Rings are (start, end] in pixels around the point's pixel. A disc is a span of each row, whose pixels come from the row's runs; a
+    point meets 2 rmax + 1 rows, not the pixels of its rings."""
     rmax = width * n_bins
-    offsets = [(y, x, int(np.ceil(np.hypot(y, x) / width)) - 1) for y in range(-rmax, rmax + 1) for x in range(-rmax, rmax + 1) if 0 < y * y + x * x <= rmax * rmax]
-    table = points.sparkSession.createDataFrame(offsets, "dy int, dx int, bin int")
-    at = points.select(*keys, "point", F.rint("y").cast("int").alias("_y"), F.rint("x").cast("int").alias("_x")).crossJoin(F.broadcast(table))
-    at = at.select(*keys, "point", "bin", (F.col("_y") + F.col("dy")).alias("y"), (F.col("_x") + F.col("dx")).alias("x"))
-    hit = at.join(mask.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")), [*keys, "y", "x"], "left_semi")
-    n = hit.groupBy(*keys, "point", "bin").agg(F.count("*").alias("n"))
+    discs = F.array(*(F.lit(float(width * k)) for k in range(n_bins + 1)))
+    at = points.select(*keys, "point", F.rint("y").cast("int").alias("_y"), F.rint("x").cast("int").alias("_x"))
+    at = at.withColumn("_dy", F.explode(F.sequence(F.lit(-rmax), F.lit(rmax)))).withColumn("y", F.col("_y") + F.col("_dy"))
+    rows = at.join(mask_runs(mask, keys), [*keys, "y"])
+
+    def pixels(radius: Column) -> Column:
+        half = F.floor(F.sqrt(radius * radius - F.col("_dy") * F.col("_dy")))
+        shared = lambda r: F.greatest(F.least(r["b"], F.col("_x") + half) - F.greatest(r["a"], F.col("_x") - half) + 1, F.lit(0))
+        inside = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + shared(r))
+        return F.when(F.abs("_dy") <= radius, inside).otherwise(F.lit(0).cast("long"))
+
+    held = rows.select(*keys, "point", F.transform(discs, pixels).alias("_n"))
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda k: F.struct(k.alias("bin"), (F.get("_n", k + 1) - F.get("_n", k)).alias("n")))
+    n = held.select(*keys, "point", F.inline(ring)).groupBy(*keys, "point", "bin").agg(F.sum("n").alias("n"))
     grid = points.select(*keys, "point", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     area = F.pi() * (F.pow((F.col("bin") + 1) * width, 2) - F.pow(F.col("bin") * width, 2))
-    return grid.join(n, [*keys, "point", "bin"], "left").select(*keys, "point", "bin", (area / F.col("n")).alias("weight"))
+    return grid.join(n, [*keys, "point", "bin"], "left").select(*keys, "point", "bin", F.try_divide(area, F.col("n")).alias("weight"))
 
 
 def pcf_polygon(p1: DataFrame, p2: DataFrame, mask: DataFrame, width: int, n_bins: int, keys: Sequence[str] = ("fov", "nucleus")) -> DataFrame:

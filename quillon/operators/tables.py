@@ -328,9 +328,13 @@ def subsample(df: DataFrame, keys: Sequence[str], n: int, unique: Sequence[str],
     return first_per_key(df, keys, [F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in unique))), *unique], n)
 
 
-def sample_rows(df: DataFrame, p: float, seed: int) -> DataFrame:
-    """About a share p of the rows."""
-    return df.sample(p, seed)
+def sample_rows(df: DataFrame, p: float, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """About a share p of the rows: those whose keys a seeded md5 puts below p, so that runs and engines agree, and rows with equal
+    keys come or go together; without keys by Spark's own sampling."""
+    if not keys:
+        return df.sample(p, seed)
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    return df.filter(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") < int(p * (1 << 32)))
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

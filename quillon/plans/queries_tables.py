@@ -343,9 +343,9 @@ def o10_subsample(d):
     return tables.subsample(d.orders, ["o_orderpriority"], 20, ["o_orderkey"]).select("o_orderpriority", "o_orderkey")
 
 
-@query(None)
+@query("SELECT * FROM v_spot WHERE channel = 1 AND CAST(concat('0x', substr(md5(concat('7:', spot)), 1, 8)) AS BIGINT) < 429496729", "x y")
 def s21_sample(d):
-    return tables.sample_rows(d.v_spot.filter("channel = 1"), 0.1, 7)
+    return tables.sample_rows(d.v_spot.filter("channel = 1"), 0.1, 7, ["spot"])
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
