@@ -385,3 +385,15 @@ def test_tiers_of_a_pair_one_rule_at_a_time(spark):
     assert got == {i: (tier, reasons) for i, (_, tier, reasons) in enumerate(changes)}
     few = df.drop("left_hits", "right_hits", "dg", "on_target", "n_snps", "overlaps_snp").filter("i in (0, 3, 4)").withColumn("relaxed", F.col("i") == 3)
     assert {r.i: r.tier for r in design.primer_tier(few, inter=20).collect()} == {0: "strict_all", 3: "relaxed_specificity", 4: "failed"}
+
+
+def test_t_tails_by_integration():
+    """Two-sided tails of Student's t by summing its density."""
+    import numpy as np
+
+    for df in (1.0, 2.5, 7.0, 60.0):
+        x = np.linspace(0, 60, 2_000_001)
+        density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+        for t in (0.0, 0.3, 1.0, 2.7, -4.0):
+            inner = np.trapezoid(density[x <= abs(t) + 1e-12], x[x <= abs(t) + 1e-12])
+            assert float(stats.t_tail(np.array([t]), np.array([df]))[0]) == pytest.approx(1 - 2 * inner, abs=2e-5)
