@@ -49,8 +49,8 @@ class PrefixTable:
     """Last tokens of the prefixes of a byte string. computed: how many entries were worked out so far."""
 
     def __init__(self, bpe: "Bpe", data: bytes = b"") -> None:
-        self.bpe, self.data, self.last, self.computed = bpe, b"", [], 0
-        self.append(data)
+        self.bpe, self.data, self.last, self.computed = bpe, data, [], 0
+        self._extend(len(data))
 
     def append(self, more: bytes) -> "PrefixTable":
         self.data += more
