@@ -366,10 +366,23 @@ def w9_best_length(d):
     return out.select("gene", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.round("score", 6).alias("score"))
 
 
-@query(None)
+#: Candidates, each with the next one that is free behind it; the chain from the first one of a gene.
+_SPACED = f"""
+WITH RECURSIVE c AS (
+  SELECT gene, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length
+  FROM (SELECT *, row_number() OVER (PARTITION BY gene, start ORDER BY round(score, 9) DESC, length) AS r FROM ({_SCORES})) WHERE r = 1 AND round(score, 9) >= 0.9),
+n AS (SELECT a.gene, a.start, a.length, b.start AS following FROM (SELECT *, start + length + 2 AS free FROM c) a ASOF LEFT JOIN c b ON a.gene = b.gene AND a.free <= b.start),
+w AS (
+  SELECT gene, start, length, following FROM n WHERE start = (SELECT min(start) FROM c WHERE c.gene = n.gene)
+  UNION ALL SELECT n.gene, n.start, n.length, n.following FROM w JOIN n ON n.gene = w.gene AND n.start = w.following)
+SELECT gene, start, length FROM w
+"""
+
+
+@query(_SPACED)
 def w9_w10_spacing(d):
     scores = design.rolling_dg(d.v_seq.select(F.col("read").alias("gene"), "seq"), range(26, 33))
-    return design.greedy_spacing(design.best_length(scores), 2)
+    return design.greedy_spacing(design.best_length(scores.withColumn("score", F.round("score", 9))), 2)
 
 
 @query(None)

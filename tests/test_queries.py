@@ -17,7 +17,6 @@ TESTED = {
     "k4_pcf": "test_curves.py::test_pair_correlation_by_counting",
     "k5_pcf_polygon": "test_curves.py::test_polygon_pair_correlation_by_counting",
     "k6_rdf_lsq": "test_curves.py::test_profile_by_least_squares",
-    "w9_w10_spacing": "test_operators.py::test_greedy_spacing_takes_the_next_free_start",
     "k14_design_probes": "test_curves.py::test_probe_tiling_by_plain_python",
 }
 
