@@ -314,7 +314,7 @@ def _places(guides: DataFrame, genome: DataFrame, k: int) -> DataFrame:
     cut = materialize(cut, "pieces")
     starts = F.sequence(F.lit(1), F.least(F.length("_piece") - F.col("_k") + 1, F.lit(PIECE)))
     at = cut.crossJoin(widths).filter(F.length("_piece") >= F.col("_k")).withColumn("_i", F.explode(starts)).filter(F.col("_start") + F.col("_i") <= F.col("_own"))
-    hit = skewed_join(at.select("_p", "_i", F.substring("_piece", F.col("_i"), F.col("_k")).alias("_seed")), both, ["_seed"])
+    hit = at.select("_p", "_i", F.substring("_piece", F.col("_i"), F.col("_k")).alias("_seed")).join(both, "_seed")
     full = hit.drop("_seed").join(cut, "_p")
     start = (F.col("_offset") + F.col("_start") + F.col("_i") - 1).alias("start0")
     return full.select("guide", "contig", start, "strand", (F.substring("_piece", F.col("_i"), F.length("g")) == F.col("g")).alias("exact")).distinct()
