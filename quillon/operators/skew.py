@@ -16,8 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.storage import materialize
+
 #: Rows of a block, and keys that are cut at most.
-BLOCK, HEAVY = 1 << 18, 1 << 16
+BLOCK, HEAVY = 1 << 20, 1 << 16
 
 
 def heavy_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
@@ -38,9 +40,12 @@ def in_blocks(side: DataFrame, heavy: DataFrame, keys: Sequence[str], own: str,
 
 
 def skewed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], block: int | None = BLOCK) -> DataFrame:
-    """The inner join of two sides, whose other columns have different names, on equal keys; block None: a plain join."""
-    if block is None:
+    """The inner join of two sides, whose other columns have different names, on equal keys; block None: a plain join. Keys are
+    counted when the join is made, once, unless both sides are smaller than a block; where none is heavy the join is a plain one."""
+    if block is None or all(d.select(*keys).limit(block + 1).count() <= block for d in (left, right)):
+        return left.join(right, list(keys))
+    heavy = materialize(heavy_keys(left, right, keys, block), "heavy")
+    if heavy.isEmpty():
         return left.join(right, list(keys))
-    heavy = heavy_keys(left, right, keys, block)
     a, b = in_blocks(left, heavy, keys, "_li", "_rj"), in_blocks(right, heavy, keys, "_rj", "_li")
     return a.join(b, [*keys, "_bi", "_bj"]).drop("_bi", "_bj")
