@@ -26,7 +26,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    """One document of each group of near copies: SimHash and pivots find them, links are exact (shingles of five words, similarity 0.8 or more)."""
     return simhash.keep_one(docs)
 
 

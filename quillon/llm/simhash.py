@@ -9,12 +9,17 @@ discarded, the rest are verified by their exact distance. Cells of more than CEL
 blocks are dealt, so no task holds more than two blocks; what links in one is handed on as a forest, not as all its pairs.
 Copies share a fingerprint and never meet.
 
-keep_one, which deletes, needs links at an exact similarity of SIMILAR on shingle sets. Pivot distances can't find these: a pair
-at 0.8 differs in up to 38 of 128 bits, and coordinates of random pairs differ by 8 on average. So candidates share one of BANDS
-keys of WIDTH minima each (a pair at SIMILAR is missed with probability (1 - 0.8^WIDTH)^BANDS, whatever the size of the table),
-and only pairs whose exact Jaccard similarity is SIMILAR or more are links. Sets with one key are compared pair by pair if few;
-in larger groups all meet the least, and then, block by block, all pairs that these links leave apart and whose minima don't rule
-SIMILAR out are compared where they meet; only of sets beyond MOST hashes some pairs are left to a join.
+keep_one, which deletes, needs links at an exact similarity of SIMILAR on shingle sets. A pair at 0.8 differs in some 15 % of its
+bits, so no fingerprint of a fixed length finds it within a few bits, and distances of whole fingerprints to pivots are as much
+alike in random pairs. So the fingerprint of a set is long, and pivots deal its parts: PIVOT_BITS bits have a table with the
+nearest of 4,096 pivots, which differ from each other by 7 bits or more and leave no word further than 3 bits off; a part goes to
+the cell of its nearest pivot, and two texts meet in each cell that they share (their parts differ by 6 bits at most there). The
+number of parts is worked out from the chance that a part of a pair at SIMILAR shares its pivot: such a pair is missed with a
+probability below MISS, whatever the size of the table; larger tables add bits to the parts, and parts. Within a cell pairs stay
+whose first 256 bits differ by FAR at most, and of those that stay only pairs whose exact Jaccard similarity is SIMILAR or more are
+links. Where more than SMALL others are close to a text in a cell, what hangs together there is a clump: all of it meets the least,
+and then, block by block, all pairs that these links leave apart and whose minima don't rule SIMILAR out are compared where they
+meet; only of sets beyond MOST hashes some pairs are left to a join.
 
 Shingles are words of the text, ASCII letters in lower case, hashed by XXH64. Further 64-bit words of long
 fingerprints come from the same hash, mixed.
@@ -29,6 +34,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +51,23 @@ PIVOTS = 16
 DISTANCE = 2
 #: Words in a shingle of near copies.
 NEAR_SHINGLE = 5
-#: Exact similarity of near copies as a fraction, keys of a text, and minima in a key.
-SIMILAR, BANDS, WIDTH = (4, 5), 24, 5
+#: Exact similarity of near copies as a fraction.
+SIMILAR = (4, 5)
+#: Bits of a part that pivots deal, the shift register that makes the 4,096 pivots (Golay's code), and of 2,048 words about a pivot how
+#: many stay in its cell when 0 to 6 bits are turned.
+PIVOT_BITS, PIVOT_CODE, STAY = 23, 0xC75, (2048, 508, 508, 128, 128, 20, 20)
+#: Shingles of a tiny set, how often a bit differs at most in a pair at SIMILAR of other and of tiny sets (4 and 5 shingles are the
+#: worst; a test works out both), and the probability that such a pair is missed.
+TINY, UNLIKE, MISS = 5, (0.1612, 0.1875), 7.3e-5
+#: Of 256 bits and of the first 128 so many differ at most in such pairs (more have a probability below 1e-6).
+FAR, HALF_FAR = (72, 80), 47
+#: What a part costs a text (its bits, its row), in comparisons of a pair.
+PART_COST = 250
+#: Minima of a set in large clumps: BANDS times WIDTH.
+BANDS, WIDTH = 24, 5
 #: Of a text's BANDS * WIDTH minima so many agree at least in a pair at SIMILAR (96 are expected; fewer have a probability below 2e-7).
 AGREE = 72
-#: Rows of a group that are compared pair by pair, rows of a block, and pairs that a sweep holds at once.
+#: Rows close to one in a cell whose pairs are handed on one by one, rows of a block, and pairs that a sweep holds at once.
 SMALL, CELL, SWEEP = 8, 4096, 1 << 22
 #: Rows of a block of near copies, hashes of a set that it holds, and how far the similarity of two such sketches may be off (six
 #: standard errors of a sample of half of them).
@@ -316,38 +335,93 @@ def _set_key(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_key, v, keys, mins): the hash of the text, the key of the shingle set, a key for each band, and a byte of each minimum."""
+@cache
+def nearest_pivot() -> np.ndarray:
+    """For each word of PIVOT_BITS bits the number of the pivot within 3 bits; there is one."""
+    pivots = np.zeros(1, np.int32)
+    for i in range(12):
+        pivots = np.r_[pivots, pivots ^ np.int32(PIVOT_CODE << i)]
+    turned = np.array([sum(1 << b for b in bits) for k in range(4) for bits in combinations(range(PIVOT_BITS), k)], np.int32)
+    table = np.empty(1 << PIVOT_BITS, np.int16)
+    table[pivots[:, None] ^ turned] = np.arange(len(pivots), dtype=np.int16)[:, None]
+    return table
+
+
+def parts(extra: int, unlike: float) -> int:
+    """How many parts with so many extra bits find a pair whose bits differ that often."""
+    stay = sum(math.comb(PIVOT_BITS, k) * unlike**k * (1 - unlike) ** (PIVOT_BITS - k) * n / STAY[0] for k, n in enumerate(STAY))
+    return math.ceil(math.log(MISS) / math.log1p(-stay * (1 - unlike) ** extra))
+
+
+def extra_bits(n: int) -> int:
+    """How many bits a part has beside those that its pivot deals: those at which parts made and pairs met cost least for n texts."""
+    return min(range(32), key=lambda e: parts(e, UNLIKE[0]) * (PART_COST + n / 2 / (1 << 12 + e)))
+
+
+def set_bits(hashes: np.ndarray, words64: int) -> np.ndarray:
+    """The fingerprint of a shingle set: a bit is 1 if set in over half of its hashes, mixed anew for each 64-bit word."""
+    salts = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(words64)], np.uint64)
+    ones = np.zeros(64 * words64, np.int64)
+    for at in range(0, len(hashes), 255):  # what a byte can count
+        x = (hashes[at : at + 255, None] + salts) * _M1
+        x = (x ^ (x >> np.uint64(33))) * _M2
+        x ^= x >> np.uint64(33)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return 2 * ones > len(hashes)
+
+
+def part_cells(bits: np.ndarray, count: int, extra: int) -> np.ndarray:
+    """The cells of the first parts of a fingerprint: the part's number, its extra bits, its nearest pivot."""
+    width = PIVOT_BITS + extra
+    words = bits[: count * width].reshape(count, width) @ (1 << np.arange(width))
+    near = nearest_pivot()[words & (1 << PIVOT_BITS) - 1]
+    return np.arange(count) << 12 + extra | words >> PIVOT_BITS << 12 | near
+
+
+def sketches(docs: DataFrame, shingle: int, extra: int) -> DataFrame:
+    """(doc_id, text_key, v, size, cells, f0, ..., f3): the hash of the text, the key of the shingle set, its size, the cells of its
+    fingerprint's parts and the first 256 bits."""
+    names, counts = _names(4), [parts(extra, x) for x in UNLIKE]
+    words64 = [max(4, -(-n * (PIVOT_BITS + extra) // 64)) for n in counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            v, keys, mins = [], [], []
+            v, sizes, cells, first = [], [], [], []
             for text in b.column(1).to_pylist():
                 hashes = shingle_set(text, shingle)
-                least = minima(hashes)
+                tiny = len(hashes) <= TINY
+                bits = set_bits(hashes, words64[tiny])
                 v.append(_set_key(hashes))
-                keys.append(np.array([xxhash.xxh64_intdigest(least[i * WIDTH : (i + 1) * WIDTH].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64))
-                mins.append((least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(v, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())], ["doc_id", "text_key", "v", "keys", "mins"])
+                sizes.append(len(hashes))
+                cells.append(part_cells(bits, counts[tiny], extra))
+                first.append(np.packbits(bits[:256], bitorder="little").view(np.int64))
+            fps = np.array(first, np.int64).reshape(-1, 4)
+            columns = [b.column(0), b.column(2), pa.array(v, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64())), *(pa.array(fps[:, i].copy()) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "v", "size", "cells", *names])
 
     text = whole_text()
-    return docs.select(docs["doc_id"].cast("long"), text.alias("text"), F.md5(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key string, v long, keys array<long>, mins binary")
+    rows = docs.select(docs["doc_id"].cast("long"), text.alias("text"), F.md5(text).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key string, v long, size int, cells array<long>, " + ", ".join(f"{n} long" for n in names))
 
 
 def shingle_sets(docs: DataFrame, distinct: DataFrame, needed: DataFrame, shingle: int, most: int | None = None) -> DataFrame:
-    """(v, hashes, whole) of the needed (v): the sorted shingle sets, or the least `most` hashes of larger ones."""
+    """(v, hashes) of the needed (v): the sorted shingle sets; with most the least hashes of larger ones, whether these are all (whole),
+    and a byte of each minimum (mins)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            kept = [x[:most].view(np.int64) for x in sets]
-            columns = [pa.array([_set_key(x) for x in sets], pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array([len(x) == len(y) for x, y in zip(sets, kept, strict=True)])]
-            yield pa.RecordBatch.from_arrays(columns, ["v", "hashes", "whole"])
+            columns = {"v": pa.array([_set_key(x) for x in sets], pa.int64()), "hashes": pa.array([x[:most].view(np.int64) for x in sets], pa.list_(pa.int64()))}
+            if most is not None:
+                least = [minima(x) for x in sets]
+                columns |= {"whole": pa.array([len(x) <= most for x in sets]), "mins": pa.array([(x >> np.uint64(56) ^ x & np.uint64(255)).astype(np.uint8).tobytes() for x in least], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
 
     nodes = distinct.join(needed.select("v").distinct(), "v", "left_semi").select("node.doc_id").distinct()
     texts = docs.select(docs["doc_id"].cast("long"), whole_text().alias("text")).join(nodes, "doc_id", "left_semi")
-    sets = texts.mapInArrow(run, "v long, hashes array<long>, whole boolean").groupBy("v").agg(F.first("hashes").alias("hashes"), F.first("whole").alias("whole"))
-    return materialize(sets, "sets")
+    more = [] if most is None else ["whole", "mins"]
+    found = texts.mapInArrow(run, "v long, hashes array<long>" + (", whole boolean, mins binary" if more else ""))
+    return materialize(found.groupBy("v").agg(*(F.first(c).alias(c) for c in ["hashes", *more])), "sets")
 
 
 def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -371,9 +445,9 @@ def verdict(x: np.ndarray, y: np.ndarray, whole: bool) -> int:
     return -int(n / union >= SIMILAR[0] / SIMILAR[1] - MARGIN)
 
 
-def apart(v: np.ndarray, root: np.ndarray, band: int, keys: np.ndarray, mins: np.ndarray, sets: list[np.ndarray], whole: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """(a, b, sure) of a group: pairs in different classes that are similar, or may be. A pair is looked at in the group of the first
-    band that both have in common, once in all; pairs of one class, also of one that a pair found here makes, aren't."""
+def apart(v: np.ndarray, root: np.ndarray, part: int, cells: np.ndarray, mins: np.ndarray, sets: list[np.ndarray], whole: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(a, b, sure) of a group: pairs in different classes that are similar, or may be. A pair is looked at in the cell of the first
+    part that both have in common, once in all; pairs of one class, also of one that a pair found here makes, aren't."""
     _, name, count = np.unique(root, return_inverse=True, return_counts=True)
     order = np.lexsort((name, count[name]))  # small classes first: each row meets those behind it
     parent, sizes = np.arange(len(count)), np.array([len(x) for x in sets])
@@ -381,7 +455,7 @@ def apart(v: np.ndarray, root: np.ndarray, band: int, keys: np.ndarray, mins: np
         j = order[at + 1 :]
         j = j[name[j] != name[i]]
         j = j[(mins[j] == mins[i]).sum(1) >= AGREE]
-        j = j[(keys[j] == keys[i]).argmax(1) == band]
+        j = j[(cells[j] == cells[i]).argmax(1) == part]
         either = ~(whole[j] & whole[i])
         j = j[either | (SIMILAR[1] * np.minimum(sizes[j], sizes[i]) >= SIMILAR[0] * np.maximum(sizes[j], sizes[i]))]
         for k in j.tolist():
@@ -392,27 +466,77 @@ def apart(v: np.ndarray, root: np.ndarray, band: int, keys: np.ndarray, mins: np
                     parent[max(a, b)] = min(a, b)
 
 
-def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sets with keys (v, key): pairs (a, b) of small groups and of the least of larger groups with each other one;
-    and the rows (v, key) of the larger groups."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")).filter("n > 1")
-    sizes = materialize(sizes, "sizes")
-    rows = materialize(keyed.join(sizes, "key"), "groups")
-    small = rows.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("v").alias("vs"))
-    pairs = F.flatten(F.transform("vs", lambda x: F.transform(F.filter("vs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    large = rows.filter(F.col("n") > SMALL)
-    first = large.filter("v <> least").select(F.col("least").alias("a"), F.col("v").alias("b"))
-    return small.select(F.inline(pairs)).unionByName(first).distinct(), large.select("v", "key")
+def close(group: np.ndarray, size: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in one group (rows come by groups) whose 256 bits differ by FAR at most and whose sizes allow SIMILAR."""
+    rows, lag, out = np.arange(len(group)), 0, ([np.arange(0)], [np.arange(0)])
+    _, index, count = np.unique(group, return_inverse=True, return_counts=True)
+    more = count[index]
+    while True:
+        if lag % 32 == 0:  # whole groups that have no such lag are left out from time to time
+            rows = rows[more[rows] > lag + 1]
+            g, (w0, w1) = group[rows], (w[rows] for w in words[:2])
+        lag += 1
+        same = g[lag:] == g[:-lag]
+        if not same.any():
+            return np.concatenate(out[0]), np.concatenate(out[1])
+        same &= np.bitwise_count(w0[lag:] ^ w0[:-lag]) + np.bitwise_count(w1[lag:] ^ w1[:-lag]) <= HALF_FAR
+        at = np.flatnonzero(same)
+        i, j = rows[at], rows[at + lag]
+        least, largest = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        far = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in words)
+        near = (far <= np.where(largest <= TINY, FAR[1], FAR[0])) & (SIMILAR[1] * least >= SIMILAR[0] * largest)
+        out[0].append(i[near])
+        out[1].append(j[near])
+
+
+def clumps(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Of n rows with edges (i, j) the least row that each hangs together with."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def candidates(distinct: DataFrame, extra: int) -> tuple[DataFrame, DataFrame]:
+    """Of sets by the cells of their parts: pairs (a, b) of close ones, and of the least of large clumps with each other one;
+    and the rows (v, key, part) of the large clumps."""
+    names, order = _names(4), ["cell", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in by_group(batches, order):
+            v, cell = t["v"].to_numpy(), t["cell"].to_numpy()
+            i, j = close(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t["size"].to_numpy(), [t[n].to_numpy().view(np.uint64) for n in names])
+            heavy = np.bincount(i, minlength=len(v)) + np.bincount(j, minlength=len(v)) > SMALL
+            large = heavy[i] | heavy[j]
+            a, b = v[i[~large]], v[j[~large]]
+            root = clumps(i[large], j[large], len(v))
+            held = np.unique(np.r_[i[large], j[large]])
+            key = {r: np.uint64(xxhash.xxh64_intdigest(f"{cell[r]} {t['i'][r]} {t['j'][r]} {v[r]}", SEED)).view(np.int64) for r in np.unique(root[held]).tolist()}
+            none, rows = np.zeros(len(a), bool), np.ones(len(held), bool)
+            columns = [np.r_[np.minimum(a, b), v[held]], np.r_[np.maximum(a, b), np.array([key[r] for r in root[held].tolist()], np.int64)], np.r_[none, rows], np.r_[none, cell[held] >> 12 + extra].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "clump", "part"])
+
+    rows = distinct.select("v", "size", *names, F.explode("cells").alias("cell"))
+    met = in_blocks(rows, "cell", "v", CELL).repartition(partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
+    found = materialize(met.mapInArrow(run, "a long, b long, clump boolean, part int"), "close")
+    large = found.filter("clump").select(F.col("a").alias("v"), F.col("b").alias("key"), "part")
+    least = large.groupBy("key").agg(F.min("v").alias("a"))
+    first = large.join(least, "key").filter("a <> v").select("a", F.col("v").alias("b"))
+    return found.filter("not clump").select("a", "b").unionByName(first).distinct(), large
 
 
 def left_apart(docs: DataFrame, distinct: DataFrame, large: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, sure): what pairs of sets with one key, which different classes hold, add to the links: enough of them to join
-    the classes. Blocks of a group hold the sets themselves, or sketches of large ones."""
+    """(a, b, sure): what pairs of sets in one clump, which different classes hold, add to the links: enough of them to join
+    the classes. Blocks of a clump hold the sets themselves, or sketches of large ones."""
     rows = large.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     several = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
     rows = materialize(rows.join(several, "key", "left_semi"), "apart")
     sets = shingle_sets(docs, distinct, rows, shingle, MOST)
-    rows = rows.join(distinct.select("v", "keys", "mins"), "v").join(sets, "v")
+    rows = rows.join(distinct.select("v", "cells"), "v").join(sets, "v")
     order = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,11 +545,11 @@ def left_apart(docs: DataFrame, distinct: DataFrame, large: DataFrame, roots: Da
                 g = t.slice(at, stop - at)
                 if stop - at < 2:
                     continue
-                keys = np.stack(g["keys"].to_numpy())
+                part = int(g["part"][0].as_py())
+                cells = np.stack([x[: part + 1] for x in g["cells"].to_numpy()])
                 mins = np.frombuffer(b"".join(g["mins"].to_pylist()), np.uint8).reshape(stop - at, BANDS * WIDTH)
                 lists = [x.view(np.uint64) for x in g["hashes"].to_numpy()]
-                band = int((keys[0] == g["key"][0].as_py()).argmax())
-                found = list(apart(g["v"].to_numpy(), g["root"].to_numpy(), band, keys, mins, lists, g["whole"].to_numpy()))
+                found = list(apart(g["v"].to_numpy(), g["root"].to_numpy(), part, cells, mins, lists, g["whole"].to_numpy()))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "sure"])
 
@@ -435,10 +559,12 @@ def left_apart(docs: DataFrame, distinct: DataFrame, large: DataFrame, roots: Da
 
 def copies(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, text_key): of each class of texts that exact similarities of SIMILAR or more link, the smallest."""
-    found = materialize(sketches(docs.filter(docs["doc_id"].isNotNull()), shingle), "sketches")
-    distinct = found.groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), F.first("keys").alias("keys"), F.first("mins").alias("mins"))
+    docs = docs.filter(docs["doc_id"].isNotNull())
+    extra = extra_bits(docs.count())
+    found = materialize(sketches(docs, shingle, extra), "sketches")
+    distinct = found.groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), *(F.first(c).alias(c) for c in ("size", "cells", *_names(4))))
     distinct = materialize(distinct, "distinct")
-    pairs, large = candidates(distinct.select("v", F.explode("keys").alias("key")))
+    pairs, large = candidates(distinct, extra)
     edges = materialize(similar(docs, distinct, materialize(pairs, "pairs"), shingle), "links")
     roots = components(edges).withColumnRenamed("node", "v")
     rest = materialize(left_apart(docs, distinct, large, roots, shingle), "rest")

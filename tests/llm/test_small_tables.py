@@ -1,7 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns: each case has a defined result."""
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -679,6 +679,100 @@ def test_recall_of_candidates():
     assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(simhash.AGREE)) < 1e-6
 
 
+def test_pivots_of_parts():
+    """Each word is within 3 bits of its nearest pivot, other pivots are further; STAY is how many words about a pivot keep it."""
+    import itertools
+
+    import numpy as np
+
+    table = simhash.nearest_pivot()
+    pivots = np.zeros(4096, np.int64)
+    for i in range(4096):
+        for b in range(12):
+            pivots[i] ^= (i >> b & 1) * (simhash.PIVOT_CODE << b)
+    rng = np.random.default_rng(6)
+    for word in rng.integers(0, 1 << 23, 300).tolist():
+        far = np.bitwise_count(pivots ^ word)
+        assert table[word] == far.argmin() and far.min() <= 3 and (far <= 3).sum() == 1
+    ball = np.array([sum(1 << b for b in bits) for k in range(4) for bits in itertools.combinations(range(23), k)])
+    for k, n in enumerate(simhash.STAY):
+        assert (table[ball ^ ((1 << k) - 1)] == table[0]).sum() == n
+
+
+def test_parts_find_pairs_of_the_threshold():
+    """How often a bit differs in a pair at 0.8 is worked out for all sizes up to 150; parts are sized for the worst."""
+    import math
+
+    def over(n, need):
+        return sum(math.comb(n, k) for k in range(max(0, need), n + 1)) / 2**n
+
+    worst = [0.0, 0.0]
+    for a in range(1, 151):
+        for b in range(a, a * 5 // 4 + 1):
+            both = -(-4 * (a + b) // 9)
+            if both <= a and not a == b == both:
+                differ = 0
+                for ones in range(both + 1):
+                    x, y = over(a - both, a // 2 + 1 - ones), over(b - both, b // 2 + 1 - ones)
+                    differ += math.comb(both, ones) / 2**both * (x * (1 - y) + y * (1 - x))
+                tiny = b <= simhash.TINY
+                worst[tiny] = max(worst[tiny], differ)
+    assert all(w <= u < w + 0.001 for w, u in zip(worst, simhash.UNLIKE, strict=True)) and math.acos(8 / 9) / math.pi < simhash.UNLIKE[0]
+    for unlike, far in zip(simhash.UNLIKE, simhash.FAR, strict=True):
+        more = lambda n, most: sum(math.comb(n, k) * unlike**k * (1 - unlike) ** (n - k) for k in range(most + 1, n + 1))  # noqa: E731, B023
+        assert more(256, far) < 2e-6 and more(128, simhash.HALF_FAR) < 2e-6
+        stay = sum(math.comb(23, k) * unlike**k * (1 - unlike) ** (23 - k) * n / 2048 for k, n in enumerate(simhash.STAY))
+        for extra in (0, 4):
+            assert (1 - stay * (1 - unlike) ** extra) ** simhash.parts(extra, unlike) < 1e-4
+    assert [simhash.extra_bits(n) for n in (0, 10**6, 10**7, 10**9)] == [0, 0, 4, 10]
+
+
+@pytest.mark.parametrize(("extra", "few", "cell"), [(0, 8, 4096), (3, 0, 4096), (0, 8, 5)])
+def test_near_copies_meet_by_simhash_and_pivots(spark, monkeypatch, extra, few, cell):
+    """Candidates are the pairs of which a part of both fingerprints has one nearest pivot, and whose fingerprints are close."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "SMALL", few)
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(12)
+    texts = ["", "one", "a b c d e f g h", "a b c d e f g h i"]
+    for size in (9, 60, 300):
+        for _ in range(6):
+            base = [f"w{rng.randint(0, 5000)}" for _ in range(size)]
+            texts += [" ".join([*base[: size - k], *(f"c{rng.randint(0, 10**9)}" for _ in range(k))]) for k in (0, size // 30, size // 12, size // 8, size // 2)]
+    sets = {simhash._set_key(x): x for x in (simhash.shingle_set(t, 5) for t in texts)}
+    cells, first = {}, {}
+    for v, x in sets.items():
+        tiny = len(x) <= simhash.TINY
+        count = simhash.parts(extra, simhash.UNLIKE[tiny])
+        bits = simhash.set_bits(x, 100)
+        first[v] = bits[:256]
+        width = 23 + extra
+        cells[v] = {(i, *bits[i * width + 23 : (i + 1) * width].tolist(), int(simhash.nearest_pivot()[sum(1 << k for k in range(23) if bits[i * width + k])])) for i in range(count)}
+    sized = lambda a, b: 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))
+    limit = lambda a, b: simhash.FAR[max(len(sets[a]), len(sets[b])) <= simhash.TINY]
+    far = {(a, b): (first[a] ^ first[b]).sum() for a in sets for b in sets if a < b}
+    half = lambda a, b: (first[a] ^ first[b])[:128].sum() <= simhash.HALF_FAR
+    want = {(a, b) for (a, b), n in far.items() if n <= limit(a, b) and half(a, b) and sized(a, b) and cells[a] & cells[b]}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = simhash.sketches(docs, 5, extra).selectExpr("v", "size", "cells", "f0", "f1", "f2", "f3").dropDuplicates(["v"]).cache()
+    assert {r.v: len(r.cells) for r in found.collect()} == {v: len(c) for v, c in cells.items()}
+    pairs, large = simhash.candidates(found, extra)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    if few:
+        assert got == want and large.count() == 0
+    else:  # each pair is in a clump, which has a row of each text and hands on pairs with its least only
+        clumps = defaultdict(set)
+        for r in large.collect():
+            clumps[r.key].add(r.v)
+        assert got == {(min(c), v) for c in clumps.values() for v in c if v != min(c)}
+        assert all(any(a in c and b in c for c in clumps.values()) for a, b in want)
+    alike = {(a, b) for a in sets for b in sets if a < b and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert len(alike) > 20 and alike <= want
+
+
 @pytest.mark.parametrize("distance", [0, 2, 4])
 def test_pivot_cells_hold_every_close_pair_together(distance):
     import numpy as np
