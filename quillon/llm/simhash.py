@@ -17,9 +17,10 @@ the cell of its nearest pivot, and two texts meet in each cell that they share (
 number of parts is worked out from the chance that a part of a pair at SIMILAR shares its pivot: such a pair is missed with a
 probability below MISS, whatever the size of the table; larger tables add bits to the parts, and parts. Within a cell pairs stay
 whose first 256 bits differ by FAR at most, and of those that stay only pairs whose exact Jaccard similarity is SIMILAR or more are
-links. Where more than SMALL others are close to a text in a cell, what hangs together there is a clump: all of it meets the least,
+links. Where more than SMALL others are close to a text in a cell, not each pair is handed on: each text there keeps LEADERS texts
+that it hangs together with, what these connect is a clump, and a text is in one clump. All of it meets its leaders and the least,
 and then, block by block, all pairs that these links leave apart and whose minima don't rule SIMILAR out are compared where they
-meet; only of sets beyond MOST hashes some pairs are left to a join.
+meet; only of sets beyond MOST hashes some pairs are left to a join. Close pairs across clumps are handed on one by one.
 
 Shingles are words of the text, ASCII letters in lower case, hashed by XXH64. Further 64-bit words of long
 fingerprints come from the same hash, mixed.
@@ -69,6 +70,8 @@ BANDS, WIDTH = 24, 5
 AGREE = 72
 #: Rows close to one in a cell whose pairs are handed on one by one, rows of a block, and pairs that a sweep holds at once.
 SMALL, CELL, SWEEP = 8, 4096, 1 << 22
+#: Texts that one of a clump is linked to.
+LEADERS = 8
 #: Rows of a block of near copies, hashes of a set that it holds, and how far the similarity of two such sketches may be off (six
 #: standard errors of a sample of half of them).
 BLOCK, MOST, MARGIN = 1024, 2048, 0.075
@@ -445,9 +448,9 @@ def verdict(x: np.ndarray, y: np.ndarray, whole: bool) -> int:
     return -int(n / union >= SIMILAR[0] / SIMILAR[1] - MARGIN)
 
 
-def apart(v: np.ndarray, root: np.ndarray, part: int, cells: np.ndarray, mins: np.ndarray, sets: list[np.ndarray], whole: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """(a, b, sure) of a group: pairs in different classes that are similar, or may be. A pair is looked at in the cell of the first
-    part that both have in common, once in all; pairs of one class, also of one that a pair found here makes, aren't."""
+def apart(v: np.ndarray, root: np.ndarray, mins: np.ndarray, sets: list[np.ndarray], whole: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(a, b, sure) of a group: pairs in different classes that are similar, or may be. Pairs of one class, also of one that a pair
+    found here makes, aren't looked at."""
     _, name, count = np.unique(root, return_inverse=True, return_counts=True)
     order = np.lexsort((name, count[name]))  # small classes first: each row meets those behind it
     parent, sizes = np.arange(len(count)), np.array([len(x) for x in sets])
@@ -455,7 +458,6 @@ def apart(v: np.ndarray, root: np.ndarray, part: int, cells: np.ndarray, mins: n
         j = order[at + 1 :]
         j = j[name[j] != name[i]]
         j = j[(mins[j] == mins[i]).sum(1) >= AGREE]
-        j = j[(cells[j] == cells[i]).argmax(1) == part]
         either = ~(whole[j] & whole[i])
         j = j[either | (SIMILAR[1] * np.minimum(sizes[j], sizes[i]) >= SIMILAR[0] * np.maximum(sizes[j], sizes[i]))]
         for k in j.tolist():
@@ -501,43 +503,53 @@ def clumps(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def candidates(distinct: DataFrame, extra: int) -> tuple[DataFrame, DataFrame]:
-    """Of sets by the cells of their parts: pairs (a, b) of close ones, and of the least of large clumps with each other one;
-    and the rows (v, key, part) of the large clumps."""
+def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sets by the cells of their parts: pairs (a, b) of close ones, and of the leaders of clumps with others; and (v, clump) of what
+    is in clumps, of which the pairs within one clump aren't all handed on."""
     names, order = _names(4), ["cell", "i", "j"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.explode("cells").alias("cell"), "v", "size", *names, *(c for c in rows.columns if c == "clump"))
+        return in_blocks(rows, "cell", "v", CELL).repartition(partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
+
+    def pairs(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return close(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t["size"].to_numpy(), [t[n].to_numpy().view(np.uint64) for n in names])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in by_group(batches, order):
-            v, cell = t["v"].to_numpy(), t["cell"].to_numpy()
-            i, j = close(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t["size"].to_numpy(), [t[n].to_numpy().view(np.uint64) for n in names])
+            v, cell, (i, j) = t["v"].to_numpy(), t["cell"].to_numpy(), pairs(t, bounds)
             heavy = np.bincount(i, minlength=len(v)) + np.bincount(j, minlength=len(v)) > SMALL
             large = heavy[i] | heavy[j]
             a, b = v[i[~large]], v[j[~large]]
             root = clumps(i[large], j[large], len(v))
-            held = np.unique(np.r_[i[large], j[large]])
-            key = {r: np.uint64(xxhash.xxh64_intdigest(f"{cell[r]} {t['i'][r]} {t['j'][r]} {v[r]}", SEED)).view(np.int64) for r in np.unique(root[held]).tolist()}
-            none, rows = np.zeros(len(a), bool), np.ones(len(held), bool)
-            columns = [np.r_[np.minimum(a, b), v[held]], np.r_[np.maximum(a, b), np.array([key[r] for r in root[held].tolist()], np.int64)], np.r_[none, rows], np.r_[none, cell[held] >> 12 + extra].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "clump", "part"])
+            led = np.flatnonzero(root != np.arange(len(v)))
+            columns = [np.r_[np.minimum(a, b), v[root[led]]], np.r_[np.maximum(a, b), v[led]], np.r_[np.full(len(a), -1), cell[led]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "cell"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in by_group(batches, order):
+            v, clump, (i, j) = t["v"].to_numpy(), t["clump"].to_numpy(), pairs(t, bounds)
+            i, j = i[clump[i] != clump[j]], j[clump[i] != clump[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j]))], ["a", "b"])
 
-    rows = distinct.select("v", "size", *names, F.explode("cells").alias("cell"))
-    met = in_blocks(rows, "cell", "v", CELL).repartition(partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
-    found = materialize(met.mapInArrow(run, "a long, b long, clump boolean, part int"), "close")
-    large = found.filter("clump").select(F.col("a").alias("v"), F.col("b").alias("key"), "part")
-    least = large.groupBy("key").agg(F.min("v").alias("a"))
-    first = large.join(least, "key").filter("a <> v").select("a", F.col("v").alias("b"))
-    return found.filter("not clump").select("a", "b").unionByName(first).distinct(), large
+    found = materialize(met(distinct).mapInArrow(first, "a long, b long, cell long"), "close")
+    led = found.filter("cell >= 0").groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct("cell", "a"))), 1, LEADERS).alias("leaders"))
+    led = materialize(led.select(F.explode("leaders.a").alias("a"), "b").distinct(), "led")
+    held = found.filter("cell >= 0").select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    held = materialize(held.join(components(led).withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("root", "v").alias("clump")), "clumps")
+    more = met(distinct.join(held, "v")).mapInArrow(across, "a long, b long")
+    more = more.unionByName(led).unionByName(held.filter("v <> clump").select(F.col("clump").alias("a"), F.col("v").alias("b")))
+    return found.filter("cell < 0").select("a", "b").unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held
 
 
 def left_apart(docs: DataFrame, distinct: DataFrame, large: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
     """(a, b, sure): what pairs of sets in one clump, which different classes hold, add to the links: enough of them to join
     the classes. Blocks of a clump hold the sets themselves, or sketches of large ones."""
     rows = large.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    several = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    rows = materialize(rows.join(several, "key", "left_semi"), "apart")
-    sets = shingle_sets(docs, distinct, rows, shingle, MOST)
-    rows = rows.join(distinct.select("v", "cells"), "v").join(sets, "v")
-    order = ["key", "i", "j"]
+    several = rows.groupBy("clump").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("clump")
+    rows = materialize(rows.join(several, "clump", "left_semi"), "apart")
+    rows = rows.join(shingle_sets(docs, distinct, rows, shingle, MOST), "v")
+    order = ["clump", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in by_group(batches, order):
@@ -545,15 +557,13 @@ def left_apart(docs: DataFrame, distinct: DataFrame, large: DataFrame, roots: Da
                 g = t.slice(at, stop - at)
                 if stop - at < 2:
                     continue
-                part = int(g["part"][0].as_py())
-                cells = np.stack([x[: part + 1] for x in g["cells"].to_numpy()])
                 mins = np.frombuffer(b"".join(g["mins"].to_pylist()), np.uint8).reshape(stop - at, BANDS * WIDTH)
                 lists = [x.view(np.uint64) for x in g["hashes"].to_numpy()]
-                found = list(apart(g["v"].to_numpy(), g["root"].to_numpy(), part, cells, mins, lists, g["whole"].to_numpy()))
+                found = list(apart(g["v"].to_numpy(), g["root"].to_numpy(), mins, lists, g["whole"].to_numpy()))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "sure"])
 
-    met = in_blocks(rows, "key", "v", BLOCK).repartition(partitions(large.sparkSession), *order).sortWithinPartitions(*order)
+    met = in_blocks(rows, "clump", "v", BLOCK).repartition(partitions(large.sparkSession), *order).sortWithinPartitions(*order)
     return met.mapInArrow(run, "a long, b long, sure boolean")
 
 
@@ -564,7 +574,7 @@ def copies(docs: DataFrame, shingle: int) -> DataFrame:
     found = materialize(sketches(docs, shingle, extra), "sketches")
     distinct = found.groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), *(F.first(c).alias(c) for c in ("size", "cells", *_names(4))))
     distinct = materialize(distinct, "distinct")
-    pairs, large = candidates(distinct, extra)
+    pairs, large = candidates(distinct)
     edges = materialize(similar(docs, distinct, materialize(pairs, "pairs"), shingle), "links")
     roots = components(edges).withColumnRenamed("node", "v")
     rest = materialize(left_apart(docs, distinct, large, roots, shingle), "rest")

@@ -759,16 +759,15 @@ def test_near_copies_meet_by_simhash_and_pivots(spark, monkeypatch, extra, few,
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     found = simhash.sketches(docs, 5, extra).selectExpr("v", "size", "cells", "f0", "f1", "f2", "f3").dropDuplicates(["v"]).cache()
     assert {r.v: len(r.cells) for r in found.collect()} == {v: len(c) for v, c in cells.items()}
-    pairs, large = simhash.candidates(found, extra)
+    pairs, large = simhash.candidates(found)
     got = {(r.a, r.b) for r in pairs.collect()}
     if few:
         assert got == want and large.count() == 0
-    else:  # each pair is in a clump, which has a row of each text and hands on pairs with its least only
-        clumps = defaultdict(set)
-        for r in large.collect():
-            clumps[r.key].add(r.v)
-        assert got == {(min(c), v) for c in clumps.values() for v in c if v != min(c)}
-        assert all(any(a in c and b in c for c in clumps.values()) for a, b in want)
+    else:  # each pair is handed on, or within a clump, whose least all others meet
+        clump = {r.v: r.clump for r in large.collect()}
+        assert all(p in got or clump[p[0]] == clump[p[1]] for p in want) and want - got
+        assert all((min(v, c), max(v, c)) in got for v, c in clump.items() if v != c)
+        assert all(p in want or p[0] in clump.values() and clump[p[1]] == p[0] or clump[p[0]] == clump[p[1]] for p in got)
     alike = {(a, b) for a in sets for b in sets if a < b and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
     assert len(alike) > 20 and alike <= want
 
