@@ -17,10 +17,12 @@ the cell of its nearest pivot, and two texts meet in each cell that they share (
 number of parts is worked out from the chance that a part of a pair at SIMILAR shares its pivot: such a pair is missed with a
 probability below MISS, whatever the size of the table; larger tables add bits to the parts, and parts. Within a cell pairs stay
 whose first 256 bits differ by FAR at most, and of those that stay only pairs whose exact Jaccard similarity is SIMILAR or more are
-links. Where more than SMALL others are close to a text in a cell, not each pair is handed on: each text there keeps LEADERS texts
-that it hangs together with, what these connect is a clump, and a text is in one clump. All of it meets its leaders and the least,
-and then, block by block, all pairs that these links leave apart and whose minima don't rule SIMILAR out are compared where they
-meet; only of sets beyond MOST hashes some pairs are left to a join. Close pairs across clumps are handed on one by one.
+links. Where more than SMALL others are close to a text in a cell, not each pair is handed on: what hangs together there is a clump,
+and a text is in one clump. The cells of the first LEADERS parts make clumps, at most one leader a cell for each text; then all cells
+hand on the close pairs of different clumps, or join clumps where these are many. All of a clump meets its leaders and the least, and
+then, block by block, all pairs that these links leave apart and whose minima don't rule SIMILAR out are compared where they meet;
+only of sets beyond MOST hashes some pairs are left to a join. Texts of one clump don't meet in cells again, nor those of one class
+in a clump: in large groups the commonest clump or class goes to the blocks of the others only.
 
 Shingles are words of the text, ASCII letters in lower case, hashed by XXH64. Further 64-bit words of long
 fingerprints come from the same hash, mixed.
@@ -70,7 +72,7 @@ BANDS, WIDTH = 24, 5
 AGREE = 72
 #: Rows close to one in a cell whose pairs are handed on one by one, rows of a block, and pairs that a sweep holds at once.
 SMALL, CELL, SWEEP = 8, 4096, 1 << 22
-#: Texts that one of a clump is linked to.
+#: Parts whose cells make clumps, and texts that one of a clump is linked to at most, beside the least.
 LEADERS = 8
 #: Rows of a block of near copies, hashes of a set that it holds, and how far the similarity of two such sketches may be off (six
 #: standard errors of a sample of half of them).
@@ -200,6 +202,20 @@ def in_blocks(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
 
 
+def across_blocks(rows: DataFrame, key: str, by: str, same: str, most: int) -> DataFrame:
+    """rows with i and j, as in_blocks has them, where two rows meet only if they differ in same, which is never null: in a group of
+    more than most rows those of its commonest value go to the blocks of the others, and to no pair of their own."""
+    large = materialize(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most), "large")
+    top = rows.join(large, key).groupBy(key, "n", same).agg(F.count("*").alias("k")).groupBy(key, "n").agg(F.max(F.struct("k", same)).alias("top"))
+    blocks = lambda n: F.ceil(n / most).cast("int")
+    big = materialize(top.select(key, F.col("top")[same].alias("common"), blocks(F.col("n") - F.col("top.k")).alias("rest"), blocks(F.col("top.k")).alias("tops")), "big")
+    rows, rest, deal = rows.join(big, key, "left"), F.col("rest"), lambda n: F.pmod(F.xxhash64(by), n).cast("int")
+    rows = rows.withColumn("own", F.coalesce(F.when(F.col(same) == F.col("common"), rest + deal(F.col("tops"))).when(rest > 0, deal(rest)), F.lit(0)))
+    others = F.filter(F.sequence(F.lit(0), rest + F.col("tops") - 1), lambda x: (x != F.col("own")) & ((x < rest) | (F.col("own") < rest)))
+    rows = rows.withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("common", "rest", "tops", "own", "other")
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups, with the bounds of the groups, from batches in the order of keys."""
 
@@ -468,8 +484,9 @@ def apart(v: np.ndarray, root: np.ndarray, mins: np.ndarray, sets: list[np.ndarr
                     parent[max(a, b)] = min(a, b)
 
 
-def close(group: np.ndarray, size: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows in one group (rows come by groups) whose 256 bits differ by FAR at most and whose sizes allow SIMILAR."""
+def close(group: np.ndarray, size: np.ndarray, words: list[np.ndarray], clump: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in one group (rows come by groups), and in different clumps, whose 256 bits differ by FAR at most and whose sizes
+    allow SIMILAR."""
     rows, lag, out = np.arange(len(group)), 0, ([np.arange(0)], [np.arange(0)])
     _, index, count = np.unique(group, return_inverse=True, return_counts=True)
     more = count[index]
@@ -477,10 +494,13 @@ def close(group: np.ndarray, size: np.ndarray, words: list[np.ndarray]) -> tuple
         if lag % 32 == 0:  # whole groups that have no such lag are left out from time to time
             rows = rows[more[rows] > lag + 1]
             g, (w0, w1) = group[rows], (w[rows] for w in words[:2])
+            c = None if clump is None else clump[rows]
         lag += 1
         same = g[lag:] == g[:-lag]
         if not same.any():
             return np.concatenate(out[0]), np.concatenate(out[1])
+        if c is not None:
+            same &= c[lag:] != c[:-lag]
         same &= np.bitwise_count(w0[lag:] ^ w0[:-lag]) + np.bitwise_count(w1[lag:] ^ w1[:-lag]) <= HALF_FAR
         at = np.flatnonzero(same)
         i, j = rows[at], rows[at + lag]
@@ -508,38 +528,50 @@ def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     is in clumps, of which the pairs within one clump aren't all handed on."""
     names, order = _names(4), ["cell", "i", "j"]
 
-    def met(rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.explode("cells").alias("cell"), "v", "size", *names, *(c for c in rows.columns if c == "clump"))
-        return in_blocks(rows, "cell", "v", CELL).repartition(partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
+    def by_cells(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
 
-    def pairs(t: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return close(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t["size"].to_numpy(), [t[n].to_numpy().view(np.uint64) for n in names])
+    def crowded(t: pa.Table, bounds: np.ndarray, clump: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = close(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t["size"].to_numpy(), [t[n].to_numpy().view(np.uint64) for n in names], clump)
+        heavy = np.bincount(i, minlength=t.num_rows) + np.bincount(j, minlength=t.num_rows) > SMALL
+        return i, j, heavy[i] | heavy[j]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in by_group(batches, order):
-            v, cell, (i, j) = t["v"].to_numpy(), t["cell"].to_numpy(), pairs(t, bounds)
-            heavy = np.bincount(i, minlength=len(v)) + np.bincount(j, minlength=len(v)) > SMALL
-            large = heavy[i] | heavy[j]
-            a, b = v[i[~large]], v[j[~large]]
+            v, (i, j, large) = t["v"].to_numpy(), crowded(t, bounds)
             root = clumps(i[large], j[large], len(v))
             led = np.flatnonzero(root != np.arange(len(v)))
-            columns = [np.r_[np.minimum(a, b), v[root[led]]], np.r_[np.maximum(a, b), v[led]], np.r_[np.full(len(a), -1), cell[led]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[root[led]]), pa.array(v[led])], ["a", "b"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in by_group(batches, order):
-            v, clump, (i, j) = t["v"].to_numpy(), t["clump"].to_numpy(), pairs(t, bounds)
-            i, j = i[clump[i] != clump[j]], j[clump[i] != clump[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j]))], ["a", "b"])
-
-    found = materialize(met(distinct).mapInArrow(first, "a long, b long, cell long"), "close")
-    led = found.filter("cell >= 0").groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct("cell", "a"))), 1, LEADERS).alias("leaders"))
-    led = materialize(led.select(F.explode("leaders.a").alias("a"), "b").distinct(), "led")
-    held = found.filter("cell >= 0").select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    held = materialize(held.join(components(led).withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("root", "v").alias("clump")), "clumps")
-    more = met(distinct.join(held, "v")).mapInArrow(across, "a long, b long")
-    more = more.unionByName(led).unionByName(held.filter("v <> clump").select(F.col("clump").alias("a"), F.col("v").alias("b")))
-    return found.filter("cell < 0").select("a", "b").unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held
+            v, clump = t["v"].to_numpy(), t["clump"].to_numpy()
+            i, j, large = crowded(t, bounds, clump)
+            own, index = np.unique(np.r_[clump[i[large]], clump[j[large]]], return_inverse=True)
+            root = clumps(*np.split(index, 2), len(own))
+            led = np.flatnonzero(root != np.arange(len(own)))
+            i, j = i[~large], j[~large]
+            columns = [np.r_[np.minimum(v[i], v[j]), own[root[led]]], np.r_[np.maximum(v[i], v[j]), own[led]], np.r_[np.ones(len(i), bool), np.zeros(len(led), bool)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "pair"])
+
+    rows = distinct.select(F.explode(F.slice("cells", 1, LEADERS)).alias("cell"), "v", "size", *names)
+    big = materialize(rows.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL), "big")
+    block = F.pmod(F.xxhash64("cell", "v"), F.ceil(F.col("n") / CELL)).cast("int")  # others than those of one block meet in another cell, or below
+    rows = rows.join(big, "cell", "left").withColumn("i", F.coalesce(block, F.lit(0))).withColumn("j", F.col("i")).drop("n")
+    led = materialize(by_cells(rows).mapInArrow(first, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "led")
+
+    clump = distinct.join(components(led).withColumnRenamed("node", "v"), "v", "left").withColumn("clump", F.coalesce("root", "v"))
+    rows = clump.select(F.explode("cells").alias("cell"), "v", "size", *names, "clump")
+    found = materialize(by_cells(across_blocks(rows, "cell", "v", "clump", CELL)).mapInArrow(across, "a long, b long, pair boolean"), "close")
+
+    held = components(led.unionByName(found.filter("not pair").select("a", "b"))).select(F.col("node").alias("v"), F.col("root").alias("clump"))
+    held = materialize(held.unionByName(held.select(F.col("clump").alias("v"), "clump").distinct()), "clumps")
+    pairs = found.filter("pair").select("a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("v").alias(end), F.col("clump").alias(f"clump_{end}")), end, "left")
+    pairs = pairs.filter(F.coalesce(F.col("clump_a") != F.col("clump_b"), F.lit(True))).select("a", "b")
+    least = held.filter("v <> clump").select(F.col("clump").alias("a"), F.col("v").alias("b"))
+    return pairs.unionByName(led.unionByName(least).distinct()), held
 
 
 def left_apart(docs: DataFrame, distinct: DataFrame, large: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
@@ -563,7 +595,7 @@ def left_apart(docs: DataFrame, distinct: DataFrame, large: DataFrame, roots: Da
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "sure"])
 
-    met = in_blocks(rows, "clump", "v", BLOCK).repartition(partitions(large.sparkSession), *order).sortWithinPartitions(*order)
+    met = across_blocks(rows, "clump", "v", "root", BLOCK).repartition(partitions(large.sparkSession), *order).sortWithinPartitions(*order)
     return met.mapInArrow(run, "a long, b long, sure boolean")
 
 

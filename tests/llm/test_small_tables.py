@@ -772,6 +772,57 @@ def test_near_copies_meet_by_simhash_and_pivots(spark, monkeypatch, extra, few,
     assert len(alike) > 20 and alike <= want
 
 
+@pytest.mark.parametrize("cell", [4096, 40])
+def test_a_large_group_of_near_copies_hands_on_few_pairs(spark, monkeypatch, cell):
+    """A few leaders for each text, however many others are close to it; what is left out is compared where it meets."""
+    import random
+
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "BLOCK", min(simhash.BLOCK, cell))
+    rng = random.Random(13)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(60)]
+    rows = []
+    for k in range(600):
+        u = list(base)
+        for _ in range(k % 3 + 1):
+            u[rng.randint(0, 59)] = f"c{rng.randint(0, 10**9)}"
+        rows.append((k, " ".join(u), "en", "s", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = simhash.sketches(docs, 5, 0).selectExpr("v", "size", "cells", "f0", "f1", "f2", "f3").cache()
+    pairs, large = simhash.candidates(found)
+    assert len({r.v for r in large.collect()}) == large.count() > 500
+    assert pairs.count() < 3 * simhash.LEADERS * len(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(56)} for w in (r[1].split() for r in rows)]
+    root = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    want = {i for i, x in enumerate(root) if i == x}
+    assert 20 < len(want) < 580 and {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 100])
+def test_blocks_hold_all_pairs_that_differ(spark, most):
+    """Rows of one group meet if they differ; a group of one value goes nowhere, one with few others grows with these only."""
+    import random
+
+    rng = random.Random(14)
+    groups = {1: [5] * 40, 2: [5] * 60 + [6, 7], 3: [5] * 20 + [6] * 20, 4: [*range(30)], 5: [5, 6], 6: [-3]}
+    rows = [(key, rng.randint(0, 10**12), same) for key, values in groups.items() for same in values]
+    got = simhash.across_blocks(spark.createDataFrame(rows, "g long, v long, same long"), "g", "v", "same", most).collect()
+    met = defaultdict(list)
+    for r in got:
+        met[r.g, r.i, r.j].append(r)
+    pairs = {(a.v, b.v) for m in met.values() for a in m for b in m}
+    assert {(r.g, r.v, r.same) for r in got} >= {r for r in rows if len({*groups[r[0]]}) > 1}
+    assert all((a[1], b[1]) in pairs for a in rows for b in rows if a[0] == b[0] and a[2] != b[2])
+    if most < 40:
+        assert not any(r.g == 1 for r in got)
+        assert sum(r.g == 2 for r in got) <= 60 * -(-2 // most) + 2 * (60 // most + 3)
+
+
 @pytest.mark.parametrize("distance", [0, 2, 4])
 def test_pivot_cells_hold_every_close_pair_together(distance):
     import numpy as np
