@@ -68,10 +68,11 @@ def demultiplex(reads: DataFrame, sample_map: DataFrame, anchor7: str, anchor5:
 OVERALL = {"assigned": "assigned", "unrecognized_structure": "unrecognized", "unmatched_barcode": "unmatched", "ambiguous_barcode": "ambiguous"}
 
 
-def demux_summary(assigned: DataFrame, n: int = 100) -> DataFrame:
+def demux_summary(assigned: DataFrame, n: int = 100, matched_first: bool = False) -> DataFrame:
     """(Section, Key, Value), stacked: overall counts, orientations, mismatches, offsets and samples of the assigned reads,
     their pairs of the map with the statuses of all reads that fit best there, and the n most frequent pairs as observed (ties by
-    key). A matched pair with a blank sample name counts as matched_blank_sample, not as assigned."""
+    key). A matched pair with a blank sample name counts as matched_blank_sample, not as assigned. A pair's statuses are listed by
+    their names, or matched_first: by status, descending."""
     d = materialize(assigned, "assigned")
     matched = d.filter("status = 'assigned'")
     blank = F.coalesce(F.col("sample"), F.lit("")) == ""
@@ -82,7 +83,9 @@ def demux_summary(assigned: DataFrame, n: int = 100) -> DataFrame:
     overall = d.agg(*counts).unpivot([], keys, "Key", "Value").select(F.lit("overall").alias("Section"), "Key", "Value")
     by_status = d.filter("i7 is not null").groupBy("i7", "i5", "status").agg(F.count("*").alias("n"))
     name = F.when(F.col("status") == "assigned", "matched").otherwise(F.concat("status", F.lit("_barcode")))
-    listed = F.array_join(F.array_sort(F.collect_list(F.concat(name, F.lit(":"), F.col("n").cast("string")))), ";")  # one entry a status
+    text = F.concat(name, F.lit(":"), F.col("n").cast("string"))
+    each = F.sort_array(F.collect_list(F.struct("status", text.alias("text"))), False)["text"] if matched_first else F.array_sort(F.collect_list(text))
+    listed = F.array_join(each, ";")  # one entry a status
     canonical = by_status.groupBy("i7", "i5").agg(listed.alias("s"), F.sum(F.when(F.col("status") == "assigned", F.col("n"))).alias("Value")).filter("Value is not null")
     canonical = canonical.select(F.lit("canonical_pair").alias("Section"), F.concat_ws(",", "i7", "i5", "s").alias("Key"), "Value")
     out = overall.unionByName(part("orientation", F.col("orientation"), matched)).unionByName(part("barcode_mismatches", F.col("distance"), matched))

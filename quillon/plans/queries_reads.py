@@ -320,7 +320,7 @@ def j19_j20_demultiplex(d):
 
 @query(_SUMMARY)
 def s24_demux_summary(d):
-    return reads.demux_summary(reads.demultiplex(d.v_seq.select("read", "seq"), _samples(d), "GCA", "TAC", 4))
+    return reads.demux_summary(reads.demultiplex(d.v_seq.select("read", "seq"), _samples(d), "GCA", "TAC", 4), matched_first=True)
 
 
 @query("SELECT DISTINCT lang AS sample, CAST(doc_id AS VARCHAR) AS read_id FROM documents")

@@ -301,6 +301,13 @@ def test_summary_keeps_all_samples_and_sections(spark):
     assert got["canonical_pair"]["A0,C,ambiguous_barcode:1;matched:2"] == 2 and len(got["observed_pair"]) == 100 and len(got["canonical_pair"]) == 151
 
 
+def test_summary_lists_statuses_as_its_sql_does(spark):
+    rows = [(1, "assigned", "s", "forward", 0, "A", "C", "W", "V", 0, 0), (2, "ambiguous", None, None, None, "A", "C", None, None, None, None), (3, "ambiguous", None, None, None, "A", "C", None, None, None, None)]
+    d = spark.createDataFrame(rows, "read long, status string, sample string, orientation string, distance int, i7 string, i5 string, word7 string, word5 string, offset7 int, offset5 int")
+    got = reads.demux_summary(d, matched_first=True).filter("Section = 'canonical_pair'").collect()
+    assert [(r.Key, r.Value) for r in got] == [("A,C,matched:1;ambiguous_barcode:2", 1)]
+
+
 def test_greedy_spacing_takes_the_next_free_start(spark):
     import random
 
