@@ -166,12 +166,16 @@ def unassigned(all_ids: DataFrame, assigned: DataFrame, keys: Sequence[str]) ->
 def with_reference(df: DataFrame, value: str, condition: str, base: str, date: str, ref: str, ref_date: str, keys: Sequence[str] = ()) -> DataFrame:
     """Reference and delta = value - reference. The reference is the mean over the rows whose base condition is the one a
     row names (ref), of the date it names (ref_date null: any date); if there are none, over the rows whose condition starts
-    with that name; else null. Means are taken once for each named pair, not for each row; names meet conditions by an equi-join on
+    with that name; else null. Means are taken once for each named pair, not for each row, and don't depend on the order of the rows; names meet conditions by an equi-join on
     the beginnings of the lengths that names have."""
     named = df.select(*keys, F.trim(ref).alias("_ref"), F.col(ref_date).alias("_rd")).filter("_ref is not null").distinct()
-    rows = df.groupBy(*keys, F.col(condition).alias("_c"), F.col(base).alias("_b"), F.col(date).alias("_d")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    v = F.col(value).cast("double")
+    coarse = F.rint(v * 1024) / 1024  # sums of these are exact up to 2^43, and those of what is left round far below the mean's last bit
+    coarse = F.when(F.isnan(coarse) | (F.abs(v) > 2.0**43), v).otherwise(coarse)
+    fine = F.when(v == coarse, 0.0).otherwise(v - coarse)
+    rows = df.groupBy(*keys, F.col(condition).alias("_c"), F.col(base).alias("_b"), F.col(date).alias("_d")).agg(F.sum(coarse).alias("_s"), F.sum(fine).alias("_f"), F.count(value).alias("_n"))
     when = F.col("_rd").isNull() | (F.col("_rd") == F.col("_d"))
-    mean = F.try_divide(F.sum("_s"), F.sum("_n"))
+    mean = F.try_divide(F.sum("_s") + F.sum("_f"), F.sum("_n"))
 
     def of(match) -> DataFrame:
         same = [F.col(f"n.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]

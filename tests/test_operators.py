@@ -176,6 +176,18 @@ def test_qpcr(spark):
     assert [(r.id, r.Primer, r.ddCp, r.FoldChange) for r in got] == [(2, "X", 2.0, 0.25)]
 
 
+def test_reference_mean_does_not_depend_on_the_order_of_rows(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    cp = [round(rng.uniform(0, 9000), 6) for _ in range(20000)]
+    rows = [(i, "WT 1", 1, "G", "WT", 1, x, 0.0) for i, x in enumerate(cp)] + [(-1, "KO 1", 1, "G", "WT", 1, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, Condition string, Date int, Primer_ref string, FoldChange_ref string, FoldChange_ref_date int, X double, G double")
+    want = 1.0 - math.fsum(cp) / len(cp)
+    assert [composites.qpcr(d, ["X", "G"]).first().ddCp for d in (df.repartition(7), df.orderBy("X").coalesce(1))] == [want, want]
+
+
 def test_config_merge(spark):
     assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert spark.range(5).filter(build_filter({"id": {"above": 1, "most": 3}})).count() == 2
