@@ -155,9 +155,8 @@ def p21_p22_p24_sequence_rules(d):
 
 @query("SELECT read, CAST(i AS BIGINT) AS tile, length(seq) <> 31 OR contains(seq, 'N') OR regexp_matches(seq, 'A{5}|C{5}|G{5}|T{5}') OR len(list_distinct(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3)))) / (length(seq) - 2)::DOUBLE < 0.5 AS rejected FROM (SELECT read, i, substr(seq, CAST(i * 31 + 1 AS INT), 31) AS seq FROM (SELECT read, seq, unnest(range(0, CAST(ceil(length(seq) / 31.0) AS BIGINT))) AS i FROM v_seq) WHERE length(seq) - i * 31 >= 3)")
 def p23_reject(d):
-    tiles = d.v_seq.select("read", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("seq") / 31) - 1)).alias("tile")).filter("length(seq) - tile * 31 >= 3")
-    probe = F.substring(F.col("seq"), (F.col("tile") * 31 + 1).cast("int"), F.lit(31))
-    return tiles.select("read", "tile", Q.rejected(probe, 31).alias("rejected"))
+    tiles = d.v_seq.select("read", F.posexplode(Q.pieces_of(F.col("seq"), 31)).alias("tile", "probe")).filter("length(probe) >= 3")
+    return tiles.select("read", F.col("tile").cast("long").alias("tile"), Q.rejected(F.col("probe"), 31).alias("rejected"))
 
 
 @query("SELECT t.track, frame FROM v_track t JOIN (SELECT track FROM v_track GROUP BY track HAVING count(*) >= 60) g ON t.track = g.track")
