@@ -55,3 +55,17 @@ def test_tiles_of_long_sequences(spark, tmp_path):
             if len(p) >= 3:
                 want.append((i, t // 31, len(p) != 31 or low(p) or any(x * 5 in p for x in "ACGT")))
     assert got == want and time.time() - at < 20
+
+
+def test_pairs_of_a_long_sequence(spark, tmp_path):
+    s = letters(1_000_000)
+    sf = texts(spark, tmp_path, [s, s[:83]])
+    at = time.time()
+    runs = {(r.read, r.tile): r.run for r in catalog.QUERIES["f7_complement_run"](spark, sf).collect()}
+    ranks = catalog.QUERIES["o4_rank_pairs"](spark, sf).collect()
+    assert time.time() - at < 45
+    assert len(runs) == 49_999 + 3 and sorted(r.pair for r in ranks) == [*range(49_997), 100_000]
+    assert all(runs[1, t] == runs[0, t] for t in range(3))
+    for t in range(300):
+        x, y = s[20 * t : 20 * t + 20], s[20 * t + 4 : 20 * t + 24].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        assert runs[0, t] == max((n for n in range(1, 21) for i in range(21 - n) if x[i : i + n] in y), default=0)
