@@ -43,12 +43,15 @@ def demultiplex(reads: DataFrame, sample_map: DataFrame, anchor7: str, anchor5:
     of the barcode width at offsets -reach..reach before the first anchor7 and after the last anchor5 are candidates. Each side
     keeps, for each barcode, its best (Hamming, |offset|); a sample's total is the sum of both. Total over k: unmatched; a tie on
     (distance, offset), also of one sample's two orientations: ambiguous, with the first by name; no anchors: unrecognized."""
-    both = reads.select("read", F.upper("seq").alias("s"), F.lit("forward").alias("orientation")).unionByName(reads.select("read", revcomp(F.col("seq")).alias("s"), F.lit("reverse").alias("orientation")))
-    at7, at5 = find(F.col("s"), anchor7), rfind(F.col("s"), anchor5)
-    found = both.withColumn("_a", at7).withColumn("_b", at5).filter("_a >= 0 and _b >= 0")
+    whole = F.array(F.struct(F.col("seq").alias("q")))  # a sequence is worked out once, its strands are rows of their own
+    strands = lambda q: F.array(F.struct(F.upper(q["q"]).alias("s"), F.lit("forward").alias("orientation")), F.struct(revcomp(q["q"]).alias("s"), F.lit("reverse").alias("orientation")))
+    both = reads.select("read", F.inline(F.flatten(F.transform(whole, strands))))
+    at = both.select("read", "orientation", "s", find(F.col("s"), anchor7).alias("_a"), rfind(F.col("s"), anchor5).alias("_b")).filter("_a >= 0 and _b >= 0")
+    near7, near5 = (candidates(F.col("s"), p, width, reach) for p in (F.col("_a") - width, F.col("_b") + len(anchor5)))
+    found = materialize(at.select("read", "orientation", near7.alias("near7"), near5.alias("near5")), "found")
     sides = []
-    for name, at, code in (("7", F.col("_a") - width, "i7"), ("5", F.col("_b") + len(anchor5), "i5")):
-        words = found.select("read", "orientation", F.explode(candidates(F.col("s"), at, width, reach)).alias("c")).select("read", "orientation", "c.offset", "c.word")
+    for name, code in (("7", "i7"), ("5", "i5")):
+        words = found.select("read", "orientation", F.explode(f"near{name}").alias("c")).select("read", "orientation", "c.offset", "c.word")
         near = close_words(words, sample_map.select(F.col(code).alias("code")), k, width)
         best = words.join(near, "word").groupBy("read", "orientation", "code").agg(F.min(F.struct("d", F.abs("offset").alias("o"), "offset", "word")).alias(f"b{name}"))
         sides.append(best.withColumnRenamed("code", code))
