@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -302,24 +303,76 @@ def substring_lookup(df: DataFrame, text: str, plates: DataFrame, needle: str, o
     return rows.join(hit, "_row", "left").drop("_row")
 
 
+#: Bits of the filter that places pass before they meet seeds; its size, 32 MB, doesn't grow with the guides.
+FILTER = 28
+#: Letters of a contig whose places are looked at together.
+STRIDE = 1 << 20
+
+
+def _hashes(text: str, k: int) -> np.ndarray:
+    """A number below 2^FILTER for the k letters at each place of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points) - k + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for i in range(k if n > 0 else 0):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += points[i : i + n] + np.uint64(1)
+    return ((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """The bits of all seeds' hashes, set by tasks and put together word by word; only the words come to the driver."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.array([_hashes(s, len(s))[0] for s in b.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h >> 6), pa.array(np.int64(1) << (h & 63))], ["_w", "_b"])
+
+    words = seeds.mapInArrow(mark, "_w long, _b long").groupBy("_w").agg(F.bit_or("_b").alias("_b")).toArrow()
+    bits = np.zeros(1 << (FILTER - 6), np.int64)
+    bits[words["_w"].to_numpy()] = words["_b"].to_numpy()
+    return bits
+
+
 def _places(guides: DataFrame, genome: DataFrame, k: int) -> DataFrame:
     """(guide, contig, start0, strand, exact): places of the guides' seeds on either strand, and if all letters agree. Places of the
-    genome meet seeds with nothing but their piece and place; letters are looked up for those that met."""
+    genome pass a filter of the seeds where they are read; those that may have one meet the seeds, with the letters from there
+    on that the longest guide needs."""
     both = guides.select("guide", F.upper("seq").alias("g"), F.lit("+").alias("strand")).unionByName(guides.select("guide", revcomp(F.col("seq")).alias("g"), F.lit("-").alias("strand")))
-    both = both.filter("g <> ''").withColumn("_seed", F.left("g", F.lit(k)))
+    both = materialize(both.filter("g <> ''").withColumn("_seed", F.left("g", F.lit(k))), "seeds")
     chunked = "offset" in genome.columns
     at = [F.col("offset").cast("long").alias("_offset"), F.col("own").cast("long").alias("_own")] if chunked else [F.lit(0).cast("long").alias("_offset"), F.length("seq").cast("long").alias("_own")]
-    ref = genome.select("contig", *at, F.upper("seq").alias("_ref"))
-    longest = F.broadcast(guides.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("_longest")))
-    widths = F.broadcast(both.select(F.length("_seed").alias("_k")).distinct())  # k rows at most
-    cut = pieces(ref.crossJoin(longest), "_ref", F.col("_longest")).drop("_longest").withColumn("_p", F.monotonically_increasing_id())
-    cut = materialize(cut, "pieces")
-    starts = F.sequence(F.lit(1), F.least(F.length("_piece") - F.col("_k") + 1, F.lit(PIECE)))
-    at = cut.crossJoin(widths).filter(F.length("_piece") >= F.col("_k")).withColumn("_i", F.explode(starts)).filter(F.col("_start") + F.col("_i") <= F.col("_own"))
-    hit = at.select("_p", "_i", F.substring("_piece", F.col("_i"), F.col("_k")).alias("_seed")).join(both, "_seed")
-    full = hit.drop("_seed").join(cut, "_p")
-    start = (F.col("_offset") + F.col("_start") + F.col("_i") - 1).alias("start0")
-    return full.select("guide", "contig", start, "strand", (F.substring("_piece", F.col("_i"), F.length("g")) == F.col("g")).alias("exact")).distinct()
+    ref = genome.select("contig", *at, F.upper("seq").alias("_ref")).filter("_ref is not null")
+    longest = both.agg(F.coalesce(F.max(F.length("g")), F.lit(0))).first()[0]
+    widths = sorted(r[0] for r in both.select(F.length("_seed")).distinct().collect())  # k rows at most
+    bits = ref.sparkSession.sparkContext.broadcast(_filter(both.select("_seed").distinct()))
+    kind = ref.schema["contig"].dataType.simpleString()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            contigs, found, size = b.column("contig"), [], 0
+
+            def batch() -> pa.RecordBatch:
+                own, start, width, word = zip(*found, strict=True)
+                return pa.RecordBatch.from_arrays([contigs.take(pa.array(own)), pa.array(start, pa.int64()), pa.array([w[:n] for w, n in zip(word, width, strict=True)], pa.string()), pa.array(word, pa.string())], ["contig", "start0", "_seed", "_word"])
+
+            for i, (offset, own) in enumerate(zip(b.column("_offset").to_pylist(), b.column("_own").to_pylist(), strict=True)):
+                text = b.column("_ref")[i].as_py()
+                for first in range(0, min(own, len(text)), STRIDE):
+                    some = text[first : first + STRIDE + longest - 1]
+                    for n in widths:
+                        h = _hashes(some, n)[: min(STRIDE, own - first)]
+                        for p in np.flatnonzero(bits.value[h >> 6] >> (h & 63) & 1).tolist():
+                            found.append((i, offset + first + p, n, some[p : p + longest]))
+                            size += longest
+                            if size >= 1 << 22:
+                                yield batch()
+                                found, size = [], 0
+            if found:
+                yield batch()
+
+    met = ref.mapInArrow(pick, f"contig {kind}, start0 long, _seed string, _word string").join(both, "_seed")
+    return met.select("guide", "contig", "start0", "strand", F.startswith("_word", "g").alias("exact")).distinct()
 
 
 def placed(guides: DataFrame, genome: DataFrame, k: int = 20, strict: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,18 @@ def test_reads_are_worked_out_once_to_be_demultiplexed(spark):
     out = reads.demultiplex(df, reads.load_sample_map(codes), "GCA", "TAC", 1)
     assert "regexp_replace" not in out._jdf.queryExecution().executedPlan().toString()
     assert [(r.read, r.status, r.sample, r.distance) for r in out.collect()] == [(1, "assigned", "a", 0)]
+
+
+def test_places_that_hold_no_seed_are_not_dealt(spark):
+    """Only what passes the filter of seeds is shuffled: of 400,000 places two, where each place went with its letters before."""
+    s = letters(400_000)
+    genome = spark.createDataFrame([("a", s), ("b", letters(50))], "contig string, seq string")
+    rc = s[5000:5030].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    guides = spark.createDataFrame([(1, s[300:324]), (2, rc), (3, s[399_990:])], "guide int, seq string")
+    out = intervals.placed(guides.filter("guide < 3"), genome)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 300, "+"), (2, "a", 5000, "-")]
+    bits = intervals._filter(guides.select(F.left("seq", F.lit(20)).alias("s")))
+    h = intervals._hashes(s, 20)
+    assert len(h) == len(s) - 19 and {300} <= set(np.flatnonzero(bits[h >> 6] >> (h & 63) & 1).tolist()) <= {300} | set(range(len(s)))
+    assert np.count_nonzero(bits[h >> 6] >> (h & 63) & 1) < 5
+    assert (3, "a", 399_990, "+") in set(map(tuple, intervals.placed(guides, genome, strict=False).collect()))
