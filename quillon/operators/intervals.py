@@ -334,12 +334,12 @@ def _filter(seeds: DataFrame) -> np.ndarray:
     return bits
 
 
-def _places(guides: DataFrame, genome: DataFrame, k: int) -> DataFrame:
-    """(guide, contig, start0, strand, exact): places of the guides' seeds on either strand, and if all letters agree. Places of the
-    genome pass a filter of the seeds where they are read; those that may have one meet the seeds, with the letters from there
-    on that the longest guide needs."""
+def _met(guides: DataFrame, genome: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(guide, g, strand, _seed) of the guides on either strand, and (contig, start0, _seed, _word) of the genome's places that may
+    have a seed, with the letters from there on that the longest guide needs. Places pass a filter of the seeds where they are
+    read. Both are written: they grow with guides and places, not with their pairs."""
     both = guides.select("guide", F.upper("seq").alias("g"), F.lit("+").alias("strand")).unionByName(guides.select("guide", revcomp(F.col("seq")).alias("g"), F.lit("-").alias("strand")))
-    both = materialize(both.filter("g <> ''").withColumn("_seed", F.left("g", F.lit(k))), "seeds")
+    both = materialize(both.filter("g <> ''").distinct().withColumn("_seed", F.left("g", F.lit(k))), "seeds")
     chunked = "offset" in genome.columns
     at = [F.col("offset").cast("long").alias("_offset"), F.col("own").cast("long").alias("_own")] if chunked else [F.lit(0).cast("long").alias("_offset"), F.length("seq").cast("long").alias("_own")]
     ref = genome.select("contig", *at, F.upper("seq").alias("_ref")).filter("_ref is not null")
@@ -371,8 +371,16 @@ def _places(guides: DataFrame, genome: DataFrame, k: int) -> DataFrame:
             if found:
                 yield batch()
 
-    met = ref.mapInArrow(pick, f"contig {kind}, start0 long, _seed string, _word string").join(both, "_seed")
-    return met.select("guide", "contig", "start0", "strand", F.startswith("_word", "g").alias("exact")).distinct()
+    met = ref.mapInArrow(pick, f"contig {kind}, start0 long, _seed string, _word string")
+    return both, materialize(met.distinct(), "met")
+
+
+def _places(both: DataFrame, met: DataFrame) -> DataFrame:
+    """(guide, contig, start0, strand, exact): places of the guides' seeds, and if all letters agree. Pairs are made distinct only
+    where a guide has several texts or a place several words."""
+    out = met.join(both, "_seed").select("guide", "contig", "start0", "strand", F.startswith("_word", "g").alias("exact"))
+    twice = lambda d, *keys: not d.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty()
+    return out.distinct() if twice(both, "guide", "strand") or twice(met, "contig", "start0", F.length("_seed")) else out
 
 
 def placed(guides: DataFrame, genome: DataFrame, k: int = 20, strict: bool = True) -> DataFrame:
@@ -380,11 +388,13 @@ def placed(guides: DataFrame, genome: DataFrame, k: int = 20, strict: bool = Tru
     shorter ones, meet the genome's, and the rest is compared. strict: a guide without a place is an error. guides: guide, seq;
     genome: contig, seq, or chunks of contigs with offset and own as read_fasta_chunks() gives them, with a halo of at least the
     longest guide's letters less one."""
-    hits = _places(guides, genome, k).filter("exact").drop("exact")
+    both, met = _met(guides, genome, k)
+    hits = _places(both, met).filter("exact").drop("exact")
     if not strict:
         return hits
-    hits = materialize(hits, "places")
-    missing = guides.select("guide").distinct().join(hits, "guide", "left_anti").agg(F.min("guide").alias("g"), F.count("*").alias("n"))
+    words = met.select("_seed", "_word").distinct()
+    found = both.join(words, "_seed").filter(F.startswith("_word", "g")).select("guide").distinct()
+    missing = guides.select("guide").distinct().join(found, "guide", "left_anti").agg(F.min("guide").alias("g"), F.count("*").alias("n"))
     text = F.concat(F.lit("no full-length exact place for guide "), F.col("g").cast("string"), F.lit(" and "), (F.col("n") - 1).cast("string"), F.lit(" others"))
     check = missing.select(F.when(F.col("n") > 0, F.raise_error(text).cast("int")).otherwise(1).alias("_ok"))
     return hits.crossJoin(F.broadcast(check)).filter("_ok = 1").drop("_ok")
@@ -392,7 +402,7 @@ def placed(guides: DataFrame, genome: DataFrame, k: int = 20, strict: bool = Tru
 
 def partial_places(guides: DataFrame, genome: DataFrame, k: int = 20) -> DataFrame:
     """(guide, n): places of a guide's first k letters where the rest differs or the contig ends, 0 if none."""
-    n = _places(guides, genome, k).filter("not exact").groupBy("guide").agg(F.count("*").alias("n"))
+    n = _places(*_met(guides, genome, k)).filter("not exact").groupBy("guide").agg(F.count("*").alias("n"))
     return guides.select("guide").distinct().join(n, "guide", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
